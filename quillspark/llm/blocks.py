@@ -15,8 +15,8 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def block_count(docs: DataFrame) -> int:
-    """Two blocks for each split of the input, three for each shuffle partition: bounded work in a task at any size."""
-    return max(2 * docs.rdd.getNumPartitions(), 3 * shuffle_partitions(docs))
+    """Four blocks for each split of the input, one for each shuffle partition at least: bounded work in a task at any size."""
+    return max(4 * docs.rdd.getNumPartitions(), shuffle_partitions(docs))
 
 
 def in_blocks(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import in_blocks, shuffle_partitions
-from .words import Words, member, pack, run_hashes, unpack
+from .words import Words, member, pack, run_hashes, slices, unpack
 
 #: Prefix lengths in words that are tried in turn; the window's width follows as the last.
 PREFIXES = (1, 2, 4, 8)
@@ -38,7 +38,7 @@ def _bins(words: Words, at: np.ndarray, levels: tuple[int, ...], bins: int) -> I
 
 def _counted(batches: Iterator[pa.RecordBatch], levels: tuple[int, ...], bins: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros((len(levels), bins), np.int64)
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 0)):
         words = Words(batch.column(0))
         at, _ = words.runs(levels[-1])
         for i, x in enumerate(_bins(words, at, levels, bins)):
@@ -107,7 +107,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     counts = np.zeros((len(levels), bins), np.int64)
     for r in found.collect():  # at most levels x bins rows, whatever the corpus
         counts[r["level"], r["bin"]] = r["n"]
-    routes = Routes(counts, 4 * parts)
+    routes = Routes(counts, parts)
 
     def leaves(table: pa.Table) -> pa.Table:
         out = {"tree": [], "blk": [], "nodes": []}

@@ -7,9 +7,11 @@ without decoding them.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -118,6 +120,15 @@ def run_hashes(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return mix(total[at])
 
 
+def slices(batch: pa.RecordBatch, column: int | str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``limit`` bytes of text, so that a task's memory does not hang on Arrow's batch size."""
+    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(size) // limit
+    cut = np.flatnonzero(np.diff(group, prepend=-1))
+    for a, b in zip(cut, [*cut[1:], len(size)], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def pack(keys: np.ndarray, level: int = 1) -> bytes:
     """Sorted 64-bit numbers as zstd-compressed byte planes of their differences."""
     gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
