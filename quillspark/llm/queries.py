@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import jaccard_components
 from .substring_dedup import remove_repeats
 
 
@@ -17,5 +18,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup}
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
+QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op4_substring_dedup": op4_substring_dedup}
 ORACLE_SQL: dict[str, str] = {}
