@@ -2,25 +2,109 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import overlaps
+from .html_extract import extract
 from .jaccard_join import jaccard_components
+from .language_id import held_out, learned, with_language
+from .lattice_dedup import near_duplicates
+from .line_dedup import remove_spread_lines
+from .packing import best_fit, measured
+from .scratch import shared_dir
 from .substring_dedup import remove_repeats
+from .token_store import read_documents, write_shards
+from .url_filter import judged
+
+# The rules of op8 (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+MIN_SITES = 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/quillspark-shards-{uuid.uuid4().hex}"
+    write_shards(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_documents(spark, path)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit(measured(_table(spark, sf_dir, "documents")), capacity=2048)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"), width=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
-QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op4_substring_dedup": op4_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op7_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judged(_table(spark, sf_dir, "pages"), rules)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = learned(docs.where(~held_out()))
+    out = with_language(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_spread_lines(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), MIN_SITES)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_store, op3_best_fit_packing, op4_substring_dedup, op5_decontamination, op6_jaccard_join, op7_lattice_dedup, op8_url_filter, op9_language_id, op10_line_dedup)}
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+ORACLE_SQL = {
+    "op4_substring_dedup": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i+12], ' ')) AS h FROM t, UNNEST(range(1, len(w) - 11)) u(i)),
+first AS (SELECT h, min(doc_id) AS d FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS at FROM win JOIN first USING (h), UNNEST(range(0, 13)) v(k) WHERE doc_id > d),
+g AS (SELECT doc_id, list(at) AS gone FROM gone GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(gone, i)] END, ' ')) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)""",
+    "op8_url_filter": rf"""
+WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS h,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+v AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+rules(rh, rp, rv) AS (VALUES {_RULES}),
+hit AS (SELECT host, path, max({{'n': length(rh) + length(rp), 'h': length(rh), 'rule': rh || rp, 'verdict': rv}}) AS best
+        FROM (SELECT DISTINCT host, path FROM v) d JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path)
+SELECT page_id, v.host, v.path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM v LEFT JOIN hit USING (host, path)""",
+    "op10_line_dedup": rf"""
+WITH p AS (SELECT doc_id, text, source, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, source, i, trim(lines[i]) AS line FROM p, UNNEST(range(1, len(lines) + 1)) u(i) WHERE trim(lines[i]) <> ''),
+wide AS (SELECT line, min(doc_id) AS d FROM l GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}),
+g AS (SELECT doc_id, list(i) AS gone FROM l JOIN wide USING (line) WHERE doc_id > d GROUP BY doc_id)
+SELECT p.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       md5(CASE WHEN gone IS NULL THEN text ELSE array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(gone, i)], chr(10)) END) AS text_md5
+FROM p LEFT JOIN g USING (doc_id)""",
+}
