@@ -86,8 +86,8 @@ ORACLE_SQL = {
 WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i+12], ' ')) AS h FROM t, UNNEST(range(1, len(w) - 11)) u(i)),
 first AS (SELECT h, min(doc_id) AS d FROM win GROUP BY h),
-gone AS (SELECT DISTINCT doc_id, i + k AS at FROM win JOIN first USING (h), UNNEST(range(0, 13)) v(k) WHERE doc_id > d),
-g AS (SELECT doc_id, list(at) AS gone FROM gone GROUP BY doc_id)
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM win JOIN first USING (h), UNNEST(range(0, 13)) v(k) WHERE doc_id > d),
+g AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id)
 SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
        sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(gone, i)] END, ' ')) AS kept_sha256
 FROM t LEFT JOIN g USING (doc_id)""",

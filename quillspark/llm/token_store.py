@@ -41,7 +41,7 @@ class KeyIndex:
 
     @staticmethod
     def _at(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(size)).astype(np.int64)
+        return (mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(size)).astype(np.int64)
 
     @classmethod
     def built(cls, keys: np.ndarray) -> KeyIndex:
