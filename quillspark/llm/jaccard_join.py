@@ -4,7 +4,7 @@
    linked sets can differ: by ``differ`` shingles. Shingles are hashed into more groups than that, so linked
    sets agree wholly on some group; the group's content is the key under which both arrive. Keys that only
    one document has are dropped first, as packed numbers.
-2. Under a key, sets are points of 64 group counts. The sum of coordinate minima bounds the overlap, for two
+2. Under a key, sets are points of 128 group counts. The sum of coordinate minima bounds the overlap, for two
    points and for two boxes of an R-tree; surviving pairs are verified on whole sets.
 3. Every key's documents are first paired with the key's smallest id; once these links are known, the R-trees
    only pair documents that are not in one component yet. So copies cost what they number, not its square.
@@ -28,7 +28,7 @@ from .components import components
 from .scratch import written
 from .words import Words, member, mix, pack, run_hashes, unpack
 
-GROUPS = 64
+GROUPS = 128
 #: Rows of one key that meet in one task; larger keys are dealt out by pairs of chunks.
 CHUNK = 20_000
 FANOUT = 16
@@ -118,7 +118,7 @@ class Sets:
         """Group counts of these documents, one row each."""
         at = np.concatenate([np.arange(self.first[i], self.first[i + 1]) for i in docs]) if len(docs) else np.zeros(0, np.int64)
         row = np.repeat(np.arange(len(docs)), self.n[docs])
-        cell = row * GROUPS + (self.hashes[at] >> np.uint64(58)).astype(np.int64)
+        cell = row * GROUPS + (self.hashes[at] >> np.uint64(57)).astype(np.int64)
         return np.minimum(np.bincount(cell, minlength=len(docs) * GROUPS), 0xFFFFFFFF).astype("<u4").reshape(-1, GROUPS)
 
 
@@ -257,11 +257,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     found = components(links)
 
     placed = held.join(found.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "m")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "lo", "m")
+    # keys of one neighbourhood go to one bag, where a pair that shares many keys is given out once; large ones are split
+    wide = mixed.groupBy("lo").agg(F.ceil(F.sum("m") / F.lit(10 * CHUNK)).alias("split"))
+    mixed = mixed.join(wide.hint("merge"), "lo").select("key", "m", F.xxhash64("lo", F.pmod(F.xxhash64("key"), "split")).alias("near"))
     chunks = F.ceil(F.col("m") / F.lit(CHUNK)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
-    open_ = placed.join(mixed.hint("merge"), "key").select("key", "doc_id", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    open_ = written(open_.select("key", "doc_id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "open")
+    open_ = placed.join(mixed.hint("merge"), "key").select("key", "near", "doc_id", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    open_ = written(open_.select("key", "near", "doc_id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "open")
     bags = max(parts, math.ceil(open_.count() / CHUNK))
 
     def surviving(table: pa.Table) -> pa.Table:
@@ -280,7 +283,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
         return pa.table({"a": both[0], "b": both[1]})
 
-    with_points = open_.join(sets.select("doc_id", "n", "points").hint("merge"), "doc_id").withColumn("bag", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bags)))
+    with_points = open_.join(sets.select("doc_id", "n", "points").hint("merge"), "doc_id").withColumn("bag", F.pmod(F.xxhash64("near", "i", "j"), F.lit(bags)))
     rest = with_points.groupBy("bag").applyInArrow(surviving, "a long, b long").where("a < b").distinct()
     more = written(_verified(written(rest, "pairs"), sets, at), "links")
     found = components(links.unionByName(more))
