@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from ..operators import fingerprint
+from . import corpus, flows, live, records  # noqa: F401  (they register their queries)
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Near-duplicate documents: fingerprints, near pairs, verification, clusters."""
+    return fingerprint.clusters(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
