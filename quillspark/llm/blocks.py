@@ -26,7 +26,7 @@ def in_blocks(docs: DataFrame, columns: list[str], id_col: str = "doc_id") -> Da
     """
     n = block_count(docs)
     cuts = docs.select(F.percentile_approx(id_col, [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"] or []
-    splits = [float("-inf"), *sorted({float(x) for x in cuts}), float("inf")]
+    splits = [float("-inf"), *(sorted({float(x) for x in cuts}) or [0.0]), float("inf")]
     known = docs.select(*columns).withColumn("blk_id", F.coalesce(F.col(id_col).cast("double"), F.lit(0.0)))
     out = Bucketizer(splits=splits, inputCol="blk_id", outputCol="blk_at").transform(known)
     return out.select(*columns, F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.col("blk_at").cast("int")).alias("blk"))
