@@ -20,6 +20,8 @@ from .words import mix
 BITS_PER_KEY, PROBES = 16, 8
 #: Keys of a filter that is broadcast (64 MB); a longer list is joined without it.
 MAX_KEYS = 32_000_000
+#: Entries of a counted list that is itself broadcast to the hash join, so that a rule that fits most URLs is no hot key.
+FEW = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -106,6 +108,7 @@ def judged(pages: DataFrame, listed: DataFrame, otherwise: str = "allow") -> Dat
             yield pa.RecordBatch.from_arrays([*whole.columns, pa.array([hosts[i] for i in at], pa.string()), pa.array([paths[i] for i in at], pa.string())], names=["host", "path", "rule_host", "rule_path"])
 
     hits = urls.where("host <> ''").select("host", "path").distinct().mapInArrow(possible, "host string, path string, rule_host string, rule_path string")
-    exact = hits.join(rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict").hint("merge"), ["rule_host", "rule_path"])
+    entries = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
+    exact = hits.join(F.broadcast(entries) if n <= FEW else entries.hint("shuffle_hash"), ["rule_host", "rule_path"])
     best = exact.groupBy("host", "path").agg(F.max(F.struct((F.char_length("rule_host") + F.char_length("rule_path")).alias("n"), F.char_length("rule_host").alias("h"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")).alias("best"))
     return urls.join(best.hint("merge"), ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
