@@ -172,9 +172,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
                 keep.append(at.den * both >= at.num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long")
+    def could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("p", "q"))
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            keep = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= at.least_overlap(n, m)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def sides(pairs: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+        left = sets.select(F.col("doc_id").alias("a"), *[F.col(c).alias(x) for c, (x, _) in columns.items()])
+        right = sets.select(F.col("doc_id").alias("b"), *[F.col(c).alias(y) for c, (_, y) in columns.items()])
+        return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+
+    # sizes and group counts first: whole sets are only fetched for pairs that the bound lets through
+    sized = sides(pairs, {"n": ("n", "m")}).where(F.lit(at.den) * F.least("n", "m") >= F.lit(at.num) * F.greatest("n", "m"))
+    near = written(sides(sized.select("a", "b"), {"n": ("n", "m"), "points": ("p", "q")}).mapInArrow(could, "a long, b long"), "near")
+    return sides(near, {"hashes": ("x", "y")}).mapInArrow(exact, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
