@@ -6,8 +6,8 @@
    one document has are dropped first, as packed numbers.
 2. Under a key, sets are points of 128 group counts. The sum of coordinate minima bounds the overlap, for two
    points and for two boxes of an R-tree; surviving pairs are verified on whole sets.
-3. Every key's documents are first paired with the key's smallest id; once these links are known, the R-trees
-   only pair documents that are not in one component yet. So copies cost what they number, not its square.
+3. Every document is first paired with the smallest id among its keys' documents; once these links are known, the
+   R-trees only pair documents that are not in one component yet. So copies cost what they number, not its square.
 
 No step samples or caps; the links between different components are all found, hence components are exact.
 """
@@ -265,7 +265,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     sets = every.where("keys is not null")
     held = sets.select("doc_id", F.explode("keys").alias("key"))
     heads = held.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
-    spokes = written(held.join(heads.hint("merge"), "key").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct(), "spokes")
+    # one pair for each document first: the smallest of the heads of its keys; the R-trees see to all that this leaves apart
+    spokes = written(held.join(heads.hint("merge"), "key").where("doc_id > a").groupBy(F.col("doc_id").alias("b")).agg(F.min("a").alias("a")), "spokes")
     links = written(_verified(spokes, sets, at), "links")
     found = components(links)
 
