@@ -90,15 +90,19 @@ class Sets:
                 self.rep[i] = seen.setdefault(what, i)
         self.at = at
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(document, key), each document's and key's pair once; copies leave this to the first of them."""
-        docs, keys = [], []
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, key, 0 or 1 for the size class, how many keys of that class a linked document shares at least).
+
+        Linked sets agree on spare + 1 groups; those that may be empty, and so without a key, are taken off. Copies
+        leave this to the first of them.
+        """
+        docs, keys, scheme_of, least = [], [], [], []
         if self.known:
             mine = np.flatnonzero((self.n > 0) & (self.rep == np.arange(len(self.n))))
             pick = np.isin(self.of, mine)
             of, hashes = np.searchsorted(mine, self.of[pick]), self.hashes[pick]
             own = self.at.size_class(self.n[mine])
-            for scheme in (own, own + 1):
+            for which, scheme in enumerate((own, own + 1)):
                 groups, spare = self.at.groups[scheme], self.at.spare[scheme]
                 base = np.concatenate([[0], np.cumsum(groups)])
                 salt = mix(scheme.astype(np.uint64) + _SALT)
@@ -110,9 +114,14 @@ class Sets:
                 empty = groups - np.bincount(doc[filled], minlength=len(mine))
                 use = filled | (empty > spare)[doc]
                 group = (np.arange(base[-1]) - base[doc]).astype(np.uint64)
+                need = np.where(empty > spare, spare + 1, spare + 1 - empty)
+                scheme_of.append(np.full(int(use.sum()), which))
+                least.append(need[doc[use]])
                 docs.append(mine[doc[use]])
                 keys.append(mix(content[use] + mix(group[use] + salt[doc[use]])))
-        return (np.concatenate(docs), np.concatenate(keys)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        if not docs:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(docs), np.concatenate(keys), np.concatenate(scheme_of), np.concatenate(least)
 
     def points(self, docs: np.ndarray) -> np.ndarray:
         """Group counts of these documents, one row each."""
@@ -204,7 +213,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     parts = shuffle_partitions(docs)
 
     def offered(table: pa.Table) -> pa.Table:
-        _, keys = Sets(table, width, at).keys()
+        keys = Sets(table, width, at).keys()[1]
         keys = np.unique(keys)
         part = (keys % np.uint64(parts)).astype(np.int64)
         out = {"part": [], "blk": [], "keys": []}
@@ -234,9 +243,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
 
     def described(table: pa.Table, told: pa.Table) -> pa.Table:
         sets = Sets(table, width, at)
-        doc, key = sets.keys()
+        doc, key, which, least = sets.keys()
         order = np.argsort(key, kind="stable")
-        doc, key = doc[order], key[order]
+        doc, key, which, least = doc[order], key[order], which[order], least[order]
         keep = np.zeros(len(key), bool)
         same = key[1:] == key[:-1]
         keep[1:] |= same
@@ -245,6 +254,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         for p, packed in zip(told.column("part").to_pylist(), told.column("keys"), strict=True):
             mine = np.flatnonzero(part == p)
             keep[mine] |= member(key[mine] >> np.uint64(20), unpack(packed.as_py()))
+        # a document that shares fewer keys than any linked one would is nobody's candidate
+        shares = np.bincount(doc[keep] * 2 + which[keep], minlength=2 * len(sets.n))
+        keep &= shares[doc * 2 + which] >= least
         doc, key = doc[keep], key[keep]
         order = np.argsort(doc, kind="stable")
         doc, key = doc[order], key[order].view(np.int64)
