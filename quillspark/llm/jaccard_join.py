@@ -5,7 +5,8 @@
    sets agree wholly on some group; the group's content is the key under which both arrive. Keys that only
    one document has are dropped first, as packed numbers.
 2. Under a key, sets are points of 128 group counts. The sum of coordinate minima bounds the overlap, for two
-   points and for two boxes of an R-tree; surviving pairs are verified on whole sets.
+   points and for two boxes of an R-tree. Surviving pairs meet the same bound with 64 to 128 groups for each
+   shingle, which leaves few but the links; these are verified on whole sets.
 3. Every document is first paired with the smallest id among its keys' documents; once these links are known, the
    R-trees only pair documents that are not in one component yet. So copies cost what they number, not its square.
 
@@ -32,6 +33,10 @@ GROUPS = 128
 #: Rows of one key that meet in one task; larger keys are dealt out by pairs of chunks.
 CHUNK = 20_000
 FANOUT = 16
+#: Pairs that a task holds before the finer bound sifts them.
+PENDING = 200_000
+#: Ids that are broadcast to pick sets at their scan; with more of them the sets are shuffled whole.
+MOST_IDS = 500_000
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -131,6 +136,35 @@ class Sets:
         return np.minimum(np.bincount(cell, minlength=len(docs) * GROUPS), 0xFFFFFFFF).astype("<u4").reshape(-1, GROUPS)
 
 
+def fine_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the finer groups of a set of this size."""
+    return np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64) + 6
+
+
+def fine(hashes: np.ndarray) -> bytes:
+    """The finer groups of a set (leading bits of its sorted hashes, repeats included)."""
+    return pack(hashes >> np.uint64(64 - int(fine_bits(np.array(len(hashes))))))
+
+
+def sifted(x: np.ndarray, y: np.ndarray, n: np.ndarray, groups: list[np.ndarray], at: Threshold) -> np.ndarray:
+    """Which pairs (x, y) of these sets could still link, by their finer groups."""
+    keep = np.zeros(len(x), bool)
+    bits = fine_bits(n)
+    order = np.argsort(x, kind="stable")
+    cut = np.flatnonzero(np.diff(x[order], prepend=-1))
+    for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+        one, others = int(x[order[a]]), y[order[a:b]]
+        level = min(int(bits[one]), int(bits[others].min()))
+        has = np.zeros(1 << level, bool)
+        has[groups[one] >> np.uint64(bits[one] - level)] = True
+        for c in range(0, len(others), 256):
+            some = others[c : c + 256]
+            cells = np.concatenate([groups[o] >> np.uint64(bits[o] - level) for o in some.tolist()])
+            most = np.add.reduceat(has[cells], np.concatenate([[0], np.cumsum(n[some])[:-1]]), dtype=np.int64)
+            keep[order[a + c : a + c + len(some)]] = most >= at.least_overlap(n[one], n[some])
+    return keep
+
+
 class CountTree:
     """A packed R-tree over group counts; ``join`` walks it against itself."""
 
@@ -183,22 +217,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
 
     def could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("p", "q"))
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            keep = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= at.least_overlap(n, m)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n = np.concatenate([batch.column("n").to_numpy(), batch.column("m").to_numpy()])
+            groups = [unpack(x) for x in [*batch.column("p").to_pylist(), *batch.column("q").to_pylist()]]
+            x = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(sifted(x, x + batch.num_rows, n, groups, at), pa.bool_()))
 
     def sides(pairs: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
-        left = sets.select(F.col("doc_id").alias("a"), *[F.col(c).alias(x) for c, (x, _) in columns.items()])
-        right = sets.select(F.col("doc_id").alias("b"), *[F.col(c).alias(y) for c, (_, y) in columns.items()])
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        few = sets.join(ids.hint("broadcast"), "doc_id", "left_semi") if pairs.count() <= MOST_IDS // 2 else sets
+        left = few.select(F.col("doc_id").alias("a"), *[F.col(c).alias(x) for c, (x, _) in columns.items()])
+        right = few.select(F.col("doc_id").alias("b"), *[F.col(c).alias(y) for c, (_, y) in columns.items()])
         return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
-    # sizes and group counts first: whole sets are only fetched for pairs that the bound lets through
-    sized = sides(pairs, {"n": ("n", "m")}).where(F.lit(at.den) * F.least("n", "m") >= F.lit(at.num) * F.greatest("n", "m"))
-    near = written(sides(sized.select("a", "b"), {"n": ("n", "m"), "points": ("p", "q")}).mapInArrow(could, "a long, b long"), "near")
+    # sizes and finer groups first: whole sets are only fetched for pairs that the bound lets through
+    sized = sides(pairs, {"n": ("n", "m"), "fine": ("p", "q")}).where(F.lit(at.den) * F.least("n", "m") >= F.lit(at.num) * F.greatest("n", "m"))
+    near = written(sized.mapInArrow(could, "a long, b long"), "near")
     return sides(near, {"hashes": ("x", "y")}).mapInArrow(exact, "a long, b long")
 
 
+def _points(column: pa.ChunkedArray) -> np.ndarray:
+    """Group counts, one row for each set, from bytes of 1, 2 or 4 to a count."""
+    rows = column.to_pylist()
+    size = np.array([len(x) for x in rows]) // GROUPS
+    out = np.zeros((len(rows), GROUPS), "<u4")
+    for wide in np.unique(size).tolist():
+        at = np.flatnonzero(size == wide)
+        out[at] = np.frombuffer(b"".join([rows[i] for i in at]), f"<u{wide}").reshape(-1, GROUPS)
+    return out
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
@@ -262,17 +309,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         doc, key = doc[order], key[order].view(np.int64)
         of = np.unique(doc)
         cut = np.searchsorted(doc, [*of, np.iinfo(np.int64).max])
-        keys, points, hashes = ([None] * len(sets.n) for _ in range(3))
+        keys, points, finer, hashes = ([None] * len(sets.n) for _ in range(4))
         for i, row, a, b in zip(of.tolist(), sets.points(of), cut[:-1], cut[1:], strict=True):
             keys[i] = key[a:b]
-            points[i] = row.tobytes()
-            hashes[i] = sets.hashes[sets.first[i] : sets.first[i + 1]].tobytes()
+            points[i] = row.astype(f"<u{1 if row.max() < 1 << 8 else 2 if row.max() < 1 << 16 else 4}").tobytes()
+            mine = sets.hashes[sets.first[i] : sets.first[i + 1]]
+            finer[i], hashes[i] = fine(mine), mine.tobytes()
         ids = sets.ids.combine_chunks() if isinstance(sets.ids, pa.ChunkedArray) else sets.ids
-        return pa.table({"doc_id": ids, "n": pa.array(sets.n), "rep": ids.take(pa.array(sets.rep)), "keys": pa.array(keys, pa.list_(pa.int64())), "points": pa.array(points, pa.binary()), "hashes": pa.array(hashes, pa.binary())})
+        return pa.table({"doc_id": ids, "n": pa.array(sets.n), "rep": ids.take(pa.array(sets.rep)), "keys": pa.array(keys, pa.list_(pa.int64())), "points": pa.array(points, pa.binary()), "fine": pa.array(finer, pa.binary()), "hashes": pa.array(hashes, pa.binary())})
 
     offers = blocks.groupBy("blk").applyInArrow(offered, "part int, blk int, keys binary")
     told = offers.groupBy("part").applyInArrow(shared, "part int, blk int, keys binary")
-    kind = "doc_id long, n long, rep long, keys array<long>, points binary, hashes binary"
+    kind = "doc_id long, n long, rep long, keys array<long>, points binary, fine binary, hashes binary"
     every = written(blocks.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(described, kind), "sets")
     sets = every.where("keys is not null")
     held = sets.select("doc_id", F.explode("keys").alias("key"))
@@ -282,35 +330,64 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     links = written(_verified(spokes, sets, at), "links")
     found = components(links)
 
-    placed = held.join(found.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    placed = sets.select("doc_id", "keys").join(found.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left")
+    placed = placed.select("doc_id", F.coalesce("component", "doc_id").alias("comp"), F.explode("keys").alias("key"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", "lo", "m")
     # keys of one neighbourhood go to one bag, where a pair that shares many keys is given out once; large ones are split
-    wide = mixed.groupBy("lo").agg(F.ceil(F.sum("m") / F.lit(10 * CHUNK)).alias("split"))
+    wide = mixed.groupBy("lo").agg(F.ceil(F.sum("m") / F.lit(2 * CHUNK)).alias("split"))
     mixed = mixed.join(wide.hint("merge"), "lo").select("key", "m", F.xxhash64("lo", F.pmod(F.xxhash64("key"), "split")).alias("near"))
     chunks = F.ceil(F.col("m") / F.lit(CHUNK)).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), chunks).cast("int")
     open_ = placed.join(mixed.hint("merge"), "key").select("key", "near", "doc_id", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-    open_ = written(open_.select("key", "near", "doc_id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "open")
+    open_ = open_.select("key", "near", "doc_id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    # a document comes to a bag once, with all its keys there
+    open_ = written(open_.groupBy("near", "i", "j", "doc_id", "comp").agg(F.collect_list("key").alias("keys")), "open")
     bags = max(parts, math.ceil(open_.count() / CHUNK))
 
     def surviving(table: pa.Table) -> pa.Table:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        columns = [table.column(c).to_numpy() for c in ("key", "i", "j")]
-        order = np.lexsort(columns[::-1])
-        where = np.stack([c[order].astype(np.int64) for c in columns])
-        cut = np.flatnonzero(np.any(np.diff(where, axis=1, prepend=where[:, :1] - 1), axis=0))
-        ids, comp, n = (table.column(c).to_numpy()[order] for c in ("doc_id", "comp", "n"))
-        points = np.frombuffer(b"".join(table.column("points").take(pa.array(order)).to_pylist()), "<u4").reshape(-1, GROUPS)
-        for x, y in zip(cut, [*cut[1:], len(order)], strict=True):
-            if y - x > 1:
-                for p, q in CountTree(points[x:y], n[x:y], comp[x:y]).join(at):
-                    a.append(np.minimum(ids[x:y][p], ids[x:y][q]))
-                    b.append(np.maximum(ids[x:y][p], ids[x:y][q]))
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-        return pa.table({"a": both[0], "b": both[1]})
-
-    with_points = open_.join(sets.select("doc_id", "n", "points").hint("merge"), "doc_id").withColumn("bag", F.pmod(F.xxhash64("near", "i", "j"), F.lit(bags)))
-    rest = with_points.groupBy("bag").applyInArrow(surviving, "a long, b long").where("a < b").distinct()
+        ids, row, doc = np.unique(table.column("doc_id").to_numpy(), return_index=True, return_inverse=True)
+        comp, n = (table.column(c).to_numpy()[row] for c in ("comp", "n"))
+        points = _points(table.column("points").take(pa.array(row)))
+        groups = [unpack(x) for x in table.column("fine").take(pa.array(row)).to_pylist()]
+        lists = table.column("keys").combine_chunks()
+        of = np.repeat(np.arange(table.num_rows), pa.compute.list_value_length(lists).to_numpy())
+        where = np.stack([pa.compute.list_flatten(lists).to_numpy(), *(table.column(c).to_numpy()[of] for c in ("i", "j"))])
+        doc = doc[of]
+        order = np.lexsort([doc, *where[::-1]])
+        doc, where = doc[order], where[:, order]
+        new = np.ones(len(doc), bool)
+        new[1:] = np.any(where[:, 1:] != where[:, :-1], axis=0)
+        cut = np.flatnonzero(new)
+        out, pending, seen = [], [], set()
+
+        def sift() -> None:
+            both = np.unique(np.concatenate(pending))
+            pending.clear()
+            x, y = both // len(ids), both % len(ids)
+            keep = sifted(x, y, n, groups, at)
+            out.append(both[keep])
+
+        waiting = 0
+        for a, b in zip(cut, [*cut[1:], len(doc)], strict=True):
+            here = doc[a:b]
+            # keys with the same documents have the same pairs
+            if b - a < 2 or (what := here.tobytes()) in seen:
+                continue
+            seen.add(what)
+            for p, q in CountTree(points[here], n[here], comp[here]).join(at):
+                if len(p):
+                    pending.append(np.minimum(here[p], here[q]) * len(ids) + np.maximum(here[p], here[q]))
+                    waiting += len(p)
+                    if waiting > PENDING:
+                        sift()
+                        waiting = 0
+        if pending:
+            sift()
+        both = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        return pa.table({"a": ids[both // max(1, len(ids))], "b": ids[both % max(1, len(ids))]})
+
+    with_points = open_.join(sets.select("doc_id", "n", "points", "fine").hint("merge"), "doc_id").withColumn("bag", F.pmod(F.xxhash64("near", "i", "j"), F.lit(bags)))
+    rest = with_points.drop("near").groupBy("bag").applyInArrow(surviving, "a long, b long").distinct()
     more = written(_verified(written(rest, "pairs"), sets, at), "links")
     found = components(links.unionByName(more))
     out = every.select("doc_id", F.col("n").alias("n_shingles"), "rep")
