@@ -80,3 +80,11 @@ def test_units_and_sections(spark):
     at = spark.createDataFrame([(1, 1, 3), (1, 2, 4), (1, 2, 5), (1, 0, 0), (2, 1, 1)], "paper long, page long, depth long")
     assert {(r["paper"], r["page"], r["depth"]): r["section"] for r in rd.current_section(at, heads).collect()} == {(1, 1, 3): "Intro", (1, 2, 4): "Intro", (1, 2, 5): "End", (1, 0, 0): None, (2, 1, 1): None}
     assert rd.current_section(at.limit(0), heads).count() == 0 and rd.external_units(units.limit(0)).count() == 0
+
+
+def test_paper_language(spark):
+    rows = [(1, 1, i, "para", "der Hund und die Katze ist nicht mit dem Ball auf der Wiese") for i in range(80)] + [(1, 2, i, "para", "le chat est dans la maison avec les enfants et une table " * 99) for i in range(9)]
+    rows += [(2, 1, 0, "heading", "nothing"), (3, 1, 0, "para", None)]
+    blocks = spark.createDataFrame(rows, "doc_id long, page long, block_order long, kind string, text string")
+    got = {r["doc_id"]: r["lang"] for r in rd.paper_language(blocks).collect()}
+    assert got[1] == "de" and set(got) == {1, 3}
