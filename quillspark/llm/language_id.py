@@ -24,6 +24,8 @@ DIMS = 1 << 14
 #: Bounds of the fit: training rows of a language, of all languages, and landmarks.
 PER_LANGUAGE, TRAINING, LANDMARKS, RIDGE = 250, 10_000, 384, 1e-2
 BATCH = 128
+#: Classes of size: there are 2^14 n-grams at most.
+CLASSES = 15
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 
@@ -88,18 +90,62 @@ def fit(texts: list[str | None], languages: list[str]) -> Model:
     return Model(names, (z.T @ solved.astype(np.float32)).astype(np.float32))
 
 
-def learned(docs: DataFrame) -> Model:
-    """A model from ``docs`` (doc_id, text, lang): of each language the PER_LANGUAGE rows with the smallest id hash,
-    TRAINING rows at most; rows without a language teach nothing. Only these rows come to the driver."""
+def _sample(docs: DataFrame) -> list:
+    """Of each language the PER_LANGUAGE rows with the smallest id hash, TRAINING rows at most. Only these come to the driver."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE)
     ids = [r["doc_id"] for r in chosen.orderBy("r", "lang").limit(TRAINING).collect()]
     rows = known.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").limit(2 * TRAINING).collect() if ids else []
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["lang"]))
+    return sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["lang"]))
+
+
+def learned(docs: DataFrame) -> Model:
+    """A model from a sample of ``docs`` (doc_id, text, lang); rows without a language teach nothing."""
+    rows = _sample(docs)
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+def _top(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(best score, class of size: the power of two of the number of n-grams, or -1 without a letter) of each text."""
+    x, has = presence(texts)
+    size = x.sum(axis=1)
+    score = ((x @ model.weights) / np.sqrt(np.maximum(size, 1))[:, None]).max(axis=1, initial=0)
+    return score, np.where(has, np.log2(np.maximum(size, 1)).astype(np.int64), -1)
+
+
+def floors(model: Model, docs: DataFrame) -> np.ndarray:
+    """The score that a text of each class of size has to come up to, from a sample of ``docs`` that the model was not fitted on.
+
+    Scores rise with the size of a text, so a class has its own floor: half of the median there. Scores are linear in
+    the presence row, so half of what its size usually scores is a text of which half is in the language. The first
+    halves, quarters and so on of the texts count too, so that small sizes are known in a corpus of long texts.
+    """
+    texts = [r["text"] for r in _sample(docs) if r["text"] and r["lang"] in model.languages]
+    found = []
+    while texts:
+        found += [_top(model, texts[i : i + BATCH]) for i in range(0, len(texts), BATCH)]
+        texts = [t[: len(t) // 2] for t in texts if len(t) >= 2]
+    score, size = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0))
+    seen = [c for c in range(CLASSES) if (size == c).any()]
+    return np.interp(np.arange(CLASSES), seen, [np.median(score[size == c]) / 2 for c in seen], left=0) if seen else np.zeros(CLASSES)
+
+
+def in_learned_language(docs: DataFrame, model: Model, floor: np.ndarray) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and comes up to the floor of its size in one of the languages."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "text", 1_000_000)):
+            texts = batch.column("text").to_pylist()
+            keep = [np.zeros(0, bool)]
+            for i in range(0, len(texts), BATCH):
+                score, size = _top(model, texts[i : i + BATCH])
+                keep.append((size >= 0) & (score >= floor[size]) & bool(model.languages))
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(told, T.StructType(docs.schema.fields))
+
+
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1: the best regression's output).
 
