@@ -18,11 +18,16 @@ from pyspark.sql import types as T
 
 from .words import Words, mix, slices
 
-#: Offsets of the words that a mask picks. Together they hit every stretch of 13 words with 2 of them substituted.
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 3, 4, 7, 9, 10), (0, 1, 5, 7, 8, 10))
+#: Offsets of the words that a mask picks. Together they hit every stretch of 13 to 25 words of which 70 in 100 agree,
+#: wherever the others are; a longer stretch like that holds one of these lengths.
+MASKS = (
+    (0, 1, 2, 3, 5, 6), (0, 3, 4, 7, 9, 10), (0, 1, 5, 7, 8, 10), (0, 2, 4, 8, 9, 10), (0, 1, 2, 7, 11, 12),
+    (0, 1, 3, 4, 8, 9), (0, 1, 3, 4, 5, 7), (0, 1, 2, 6, 7, 9), (0, 2, 8, 10, 11, 12), (0, 2, 4, 6, 7, 8),
+    (0, 1, 2, 3, 9, 10), (0, 4, 7, 10, 11, 12), (0, 1, 2, 4, 7, 10), (0, 1, 2, 3, 4, 8), (0, 1, 2, 3, 4, 5),
+)
 MIN_WORDS, MIN_SHARE = 13, 0.7
-#: Benchmark words that are broadcast at once; more are taken in turns.
-BLOCK_WORDS = 2_000_000
+#: Benchmark words that are broadcast at once, with a seed of each mask; more are taken in turns.
+BLOCK_WORDS = 500_000
 _POLY = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -56,7 +61,7 @@ class Seeds:
             where.append(at)
         keys, where = np.concatenate(keys), np.concatenate(where)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.where = keys[order], where[order]
+        self.keys, self.where = keys[order], where[order].astype(np.int32)
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
@@ -92,6 +97,8 @@ class Seeds:
             same = words.hashes[a:b] == self.hashes[a + shift : b + shift]
             need = min(MIN_WORDS, int(self.first[i + 1] - self.first[i]))
             x, y, agree = _stretch(same)
+            if need == MIN_WORDS and (y - x < need or agree < MIN_SHARE * (y - x)):
+                x, y, agree = _longest(same)
             if y - x >= need and agree >= MIN_SHARE * (y - x):
                 found = (y - x, agree, -(a + x), t, i, a + x - int(words.first[t]), a + x - origin)
                 best[t, i] = max(best.get((t, i), found), found)
@@ -107,13 +114,24 @@ def _stretch(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def _longest(same: np.ndarray) -> tuple[int, int, int]:
+    """(start, end, agreeing words) of the first of the longest stretches of which MIN_SHARE agree; the sums are in tenths of a word."""
+    miss = round(10 * MIN_SHARE)
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 10 - miss, -miss))])
+    later = np.maximum.accumulate(sums[::-1])[::-1]  # the greatest sum from here on falls, so its last place of a height is sought
+    ends = np.searchsorted(-later, -sums, side="right") - 1
+    start = int(np.argmax(ends - np.arange(len(sums))))
+    return start, int(ends[start]), int(same[start : ends[start]].sum())
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[Seeds]:
     """Bounded parts of the benchmark, one at a time on the driver."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text")
+    items = benchmark.select("item_id", "text")
     words = items.agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
     n = max(1, math.ceil(words / BLOCK_WORDS))
     for k in range(n):
-        rows = sorted(items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect(), key=lambda r: (r["item_id"], r["text"] or ""))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        rows = sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"] or ""))
         if any((r["text"] or "").strip() for r in rows):
             yield Seeds([r["item_id"] for r in rows], [r["text"] for r in rows])
 
@@ -122,9 +140,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words, n_equal): the longest overlap of each document with each item.
 
     A-Z are lower-cased; words are runs of bytes other than 0x20 and 0x09-0x0D. An overlap has at least 13 aligned
-    words (for a shorter item: all its words, exactly) of which 70 in 100 agree. Null or empty texts overlap with
-    nothing; rows without an id are reported with a null one; the documents are read once for each two million
-    words of benchmark.
+    words (for a shorter item: all its words, exactly) of which 70 in 100 agree. Of an alignment the stretch in which
+    a word that agrees is worth 1 and another -2 is reported, or, if that is none, the longest one. Null or empty texts
+    overlap with nothing; rows without an id, of documents or of the benchmark, are reported with a null one; the
+    documents are read once for each half million words of benchmark.
     """
     schema = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_equal long"
     names = [x.split()[0] for x in schema.split(", ")]
