@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block-level stretch of text; what stands in menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments is markup too and leaves no line. Each
-line counts with its characters outside links. Sums over a sliding window of lines surge where the article
-begins and dive to nothing where it ends; the text between is kept.
+Markup is stripped into lines, one for each block-level stretch of text; what stands in elements for menus, headers,
+footers, asides, forms, scripts and styles is markup too and leaves no line. An element that only its class or id
+calls a sidebar, notice, advert or the like goes with its lines unless it holds the article or most of the page's
+text. Each line counts with its characters outside links. Sums over a sliding window of lines surge where a part of
+the article begins and dive to nothing where it ends; the text between is kept, of every part.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ NOT_ARTICLE = frozenset(
     "applet aside audio button canvas datalist dialog footer form frame frameset head header iframe input map menu nav noscript object "
     "script select style svg template textarea title video".split()
 )
+BOXES = frozenset("article blockquote div dl main ol section table td ul".split())
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 PART_NAMES = frozenset(
     "ad ads adbox advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist "
@@ -37,6 +40,8 @@ PART_NAMES = frozenset(
     "newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies respond search "
     "share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription teaser toolbar topbar tracking widget widgets".split()
 )
+#: What readers write may be longer than the article.
+READERS = frozenset("comment comments commentlist disqus replies".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
 
 _TOKEN = re.compile(
@@ -55,31 +60,51 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def _left_out(name: str, source: str) -> bool:
+    """Whether the element is no part of an article whatever it holds."""
     if name in NOT_ARTICLE:
         return True
     if "=" not in source and "hidden" not in source:
         return False
     a = _attributes(source)
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or _HIDDEN.search(a.get("style", "")):
-        return True
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or bool(_HIDDEN.search(a.get("style", "")))
+
+
+def _called(name: str, source: str) -> str:
+    """What class and id say of an element: "part" if a page part's name is among their words, "readers" if a name is all about reader comments."""
+    if "=" not in source:
+        return ""
+    a = _attributes(source)
     if name in ("html", "body", "article", "main") and "comment" not in a.get("class", "").lower():
-        return False
+        return ""
     said = {x for k in ("class", "id") for x in _PARTS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a.get(k, "")).lower())}
     if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
         said -= {"header", "banner"}
-    return not said.isdisjoint(PART_NAMES)
+    if said.isdisjoint(PART_NAMES):
+        return ""
+    return "part" if READERS.isdisjoint((a.get("class", "") + " " + a.get("id", "")).lower().split()) else "readers"
 
 
 def _is_main(name: str, source: str) -> bool:
     return name in ("article", "main") or "articlebody" in source.lower() or bool(re.search(r"role\s*=\s*[\"']?main\b", source, re.I))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article element) of each line of the page, in order."""
-    lines: list[tuple[str, int, bool]] = []
+class Line(NamedTuple):
+    text: str
+    own: int  # characters outside links
+    main: int  # number of the outermost article element, or 0
+    parts: tuple[int, ...]  # numbers of the elements around it that are called a page part; below 0 for reader comments
+    box: int  # number of the innermost element around it that groups lines, or 0
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of the page, in order."""
+    lines: list[Line] = []
     parts: list[str] = []
-    linked = inside = skipped = link = 0
-    open_: list[tuple[str, bool, bool]] = []  # name, left out, is main
+    linked = skipped = link = number = 0
+    mains: list[int] = []
+    called: list[int] = []
+    boxes: list[int] = []
+    open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, left out, is main, called a part, groups lines
     names: dict[str, int] = {}
 
     def end_line() -> None:
@@ -87,19 +112,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                lines.append((text, max(0, len(text) - linked), inside > 0))
+                lines.append(Line(text, max(0, len(text) - linked), mains[0] if mains else 0, tuple(called), boxes[-1] if boxes else 0))
             parts.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal skipped, inside
+        nonlocal skipped
         while len(open_) > upto:
-            name, out, main = open_.pop()
+            name, out, main, part, box = open_.pop()
             names[name] -= 1
-            if name in BLOCK or main:
+            if name in BLOCK or main or part:
                 end_line()
             skipped -= out
-            inside -= main
+            for stack, was in ((mains, main), (called, part), (boxes, box)):
+                if was:
+                    stack.pop()
 
     at, end = 0, len(page)
     while at < end:
@@ -143,41 +170,74 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             close(len(open_) - 1)
         out = not skipped and _left_out(name, source)
         main = not skipped and not out and _is_main(name, source)
+        said = "" if skipped or out else _called(name, source)
+        box = not skipped and not out and name in BOXES
         if source.endswith("/") and name in ("svg", "path"):
             continue
-        if out or main or skipped or name in BLOCK:
-            if out:
+        if out or main or said or skipped or name in BLOCK:
+            if out or main or said:
                 end_line()
-            open_.append((name, out, main))
+            open_.append((name, out, main, bool(said), box))
             names[name] = names.get(name, 0) + 1
             skipped += out
-            inside += main
+            number += 1
+            if main:
+                mains.append(number)
+            if said:
+                called.append(-number if said == "readers" else number)
+            if box:
+                boxes.append(number)
     end_line()
     return lines
 
 
+def _weights(lines: list[Line]) -> np.ndarray:
+    """What each line counts: all its characters inside article elements where the page has them, else those outside links."""
+    if any(x.main for x in lines):
+        return np.array([len(x.text) if x.main else 0 for x in lines], np.int64)
+    return np.array([x.own for x in lines], np.int64)
+
+
+def _without_parts(lines: list[Line]) -> list[Line]:
+    """The lines without the elements that are called a page part, but for those that hold the article.
+
+    That is the largest article element, or else more than half of what counts. Reader comments may be more than
+    half; they stay only if there is nothing else.
+    """
+    if not any(x.parts for x in lines):
+        return lines
+    weight = _weights(lines)
+    own: dict[int, int] = {}
+    text: dict[int, int] = {}
+    for x, w in zip(lines, weight.tolist(), strict=True):
+        for p in x.parts:
+            own[p] = own.get(p, 0) + w
+        text[x.main] = text.get(x.main, 0) + (len(x.text) if x.main else 0)
+    total, largest = int(weight.sum()), max(text, key=lambda k: text[k])
+    around = set.intersection(*(set(x.parts) for x in lines if x.main == largest)) if largest else set()
+    gone = {p for p, w in own.items() if p not in around and (w < total if p < 0 else 2 * w <= total)}
+    return [x for x in lines if gone.isdisjoint(x.parts)]
+
+
 def main_text(page: str | None) -> str:
-    """The lines between the surge and the dive of the page's text, joined by a blank line."""
-    lines = lines_of(page or "")
-    if any(main for _, _, main in lines):
-        weight = np.array([len(text) if main else 0 for text, _, main in lines])
-    else:
-        weight = np.array([own for _, own, _ in lines])
+    """The lines between each surge and dive of the page's text, joined by a blank line."""
+    lines = _without_parts(lines_of(page or ""))
+    if any(x.main for x in lines):
+        return "\n\n".join(x.text for x in lines if x.main)
+    weight = _weights(lines)
     if not weight.any():
         return ""
     # sum over the windows that hold a line: 0 where none of its neighbours has text of its own
     sums = np.convolve(weight, np.ones(WINDOW, np.int64))
     near = np.maximum(sums[: len(weight)], sums[WINDOW - 1 :]) > 0
     change = np.diff(np.concatenate([[0], near.astype(np.int8), [0]]))
-    spans = list(zip(np.flatnonzero(change > 0), np.flatnonzero(change < 0), strict=True))
-    mass = [int(weight[a:b].sum()) for a, b in spans]
-    kept: list[str] = []
-    for (a, b), m in zip(spans, mass, strict=True):
-        if 4 * m >= max(mass) or any(lines[i][2] for i in range(a, b)):
-            has = np.flatnonzero(weight[a:b]) + a  # surge and dive: the first and the last line with text
-            inner = range(int(has[0]), int(has[-1]) + 1)
-            kept += [lines[i][0] for i in inner if weight[i] or not any(main for _, _, main in lines)]
-    return "\n\n".join(kept)
+    kept = np.zeros(len(lines), bool)
+    for a, b in zip(np.flatnonzero(change > 0), np.flatnonzero(change < 0), strict=True):
+        has = np.flatnonzero(weight[a:b]) + a  # surge and dive: the first and the last line with text
+        kept[has[0] : has[-1] + 1] = True
+    # lines of links alone stay too where they stand in one element with text
+    boxes = {x.box for x in lines if x.own} - {0}
+    return "\n\n".join(x.text for x, k in zip(lines, kept, strict=True) if k or x.box in boxes)
 
 
 def extract(pages: DataFrame) -> DataFrame:
