@@ -9,21 +9,25 @@ found out by its fingerprint. Shards are rows of a Parquet table, so Spark's com
 
 from __future__ import annotations
 
+import itertools
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import in_blocks
-from .words import Words, mix
+from .scratch import written
+from .words import LOWER, Words, mix, span_hashes
 
 LEVELS, SPARE = 40, 2
-_SUFFIX = regex.compile(rb"[!-&(-/:-;=-@\[-`{-~]+\Z")  # ASCII punctuation without ' and <
+#: Keys of a lookup that are broadcast (8 MB), and shards that are named in the scan's filter.
+MOST_KEYS, FEW_SHARDS = 1_000_000, 1_000
 _tokenizers: dict = {}
 
 
@@ -89,17 +93,71 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 # --- encoding -------------------------------------------------------------
 
 
+def _settled_letters() -> np.ndarray:
+    """Code points below 0x530 of old alphabets that are letters and stay letters alone when normalised and lower-cased."""
+    out = np.zeros(0x800, bool)
+    for i in (*range(0xC0, 0x250), *range(0x386, 0x400), *range(0x400, 0x482), *range(0x48A, 0x530)):
+        lowered = unicodedata.normalize("NFC", chr(i)).lower()
+        out[i] = all(unicodedata.category(c).startswith("L") for c in (chr(i), *lowered))
+    return out
+
+
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+_CLASS[0x30:0x3A] = DIGIT
+_CLASS[[i for i in range(0x21, 0x7F) if not chr(i).isalnum() and chr(i) != "<"]] = SIGN
+_SETTLED = _settled_letters()
+
+
+def units(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) bytes of the units into which ``words`` fall: the pre-tokenizer's cuts, as far as they are sure.
+
+    The pre-tokenizer drops white space and takes runs of letters, single digits and runs of other signs apart. Words
+    of ASCII and of settled letters are cut in the same way; an apostrophe that is a sign run of its own stays with
+    the letters behind it, as both may be one contraction. A word with any other byte, or with a < (special tokens are
+    told before anything else), is one unit: what normalisation makes of it is the library's business.
+    """
+    data = words.data
+    kind = _CLASS[data]
+    high = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] < 0xE0)) if len(data) else np.zeros(0, np.int64)
+    code = ((data[high].astype(np.int64) & 0x1F) << 6) | (data[high + 1] & 0x3F) if len(high) else high
+    settled = high[_SETTLED[code]]
+    kind[settled] = kind[settled + 1] = LETTER
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data):
+        cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    cut[words.starts] = True
+    lone = np.flatnonzero((data == 0x27) & cut[:-1] & cut[1:])
+    lone = lone[lone + 1 < len(data)]
+    lone = lone[kind[lone + 1] == LETTER]
+    # the next word's start is a cut that stays
+    cut[lone + 1] = False
+    cut[words.starts] = True
+    odd = np.concatenate([[0], np.cumsum(kind == OTHER)])
+    whole = np.flatnonzero(odd[words.ends] > odd[words.starts])
+    edge = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edge, words.starts[whole] + 1, 1)
+    np.add.at(edge, words.ends[whole], -1)
+    cut &= np.cumsum(edge) == 0
+    starts = np.flatnonzero(cut[:-1] & (kind != SPACE)) if len(data) else np.zeros(0, np.int64)
+    # a unit ends where the next begins or where its word does
+    word_end = words.ends[np.searchsorted(words.starts, starts, side="right") - 1] if len(starts) else starts
+    return starts, np.minimum(np.append(starts[1:], len(data)), word_end)
+
+
 class Encoder:
-    """A tokenizer of the tokenizers library, asked once for each distinct word of a block.
+    """A tokenizer of the tokenizers library, asked once for each distinct unit of a run of texts.
 
-    The model is one whose pre-tokenizer drops white space and takes runs of letters, single digits and runs of
-    other signs apart, and that lower-cases: so a text's ids are its words' ids one after another, and a word of
-    letters with a tail of punctuation is the two parts' ids. Any word of another build is encoded whole.
+    The model is one whose normalizer and pre-tokenizer are those that ``units`` describes, so a text's ids are its units'
+    ids one after another. Units that were asked for lately are found by their 64-bit hash in a table of fixed size.
     """
 
-    KEEP = 200_000
+    SLOTS, KEEP = 1 << 19, 4_000_000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -108,57 +166,67 @@ class Encoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
-        self.cache: dict[bytes, np.ndarray] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-
-    def _letters(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
-        """Words of letters only, many in one call: each ends with the one id that closes a word."""
-        out: dict[bytes, np.ndarray] = {}
-        for a in range(0, len(words), 1000):
-            part = words[a : a + 1000]
-            ids = self._ids(b" ".join(part).decode())
-            ends = np.flatnonzero(self.last[ids]) + 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.named, self.begin, self.size = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64), np.full(self.SLOTS, -1, np.int32)
+        self.flat = np.zeros(0, np.int32)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, found: list[bytes]) -> list[list[int]]:
+        """Ids of units of letters only, many in one call: each ends with the one id that closes a word."""
+        out: list[list[int]] = []
+        for a in range(0, len(found), 1000):
+            part = found[a : a + 1000]
+            ids = self._ids([b" ".join(part).decode()])[0]
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) == len(part):
-                out.update(zip(part, np.split(ids, ends[:-1]), strict=True))
+                out += [ids[i:j] for i, j in zip([0, *ends], ends, strict=False)]
             else:
-                out.update((w, self._ids(w.decode())) for w in part)
+                out += self._ids([w.decode() for w in part])
         return out
 
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        cores, tails, known = [], [], self.cache
-        for w in words:
-            m = _SUFFIX.search(w)
-            core, tail = (w[: m.start()], m[0]) if m else (w, b"")
-            if not core.decode().isalpha() or b"<|" in w:
-                core, tail = w, b""
-            cores.append(core)
-            tails.append(tail)
-        new = {w for w in (*cores, *tails) if w and w not in known}
-        plain = [w for w in new if w.decode().isalpha()]
-        fresh = self._letters(plain) | {w: self._ids(w.decode()) for w in new.difference(plain)}
-        both = known | fresh if len(fresh) < len(known) else {**known, **fresh}
-        if len(known) + len(fresh) <= self.KEEP:
-            known.update(fresh)
-        return [np.concatenate([both[c], both[t]]) if t else both[c] for c, t in zip(cores, tails, strict=True)]
+    def _asked(self, found: list[bytes]) -> list[list[int]]:
+        plain = [w.isalpha() for w in found]  # ASCII letters
+        letters = iter(self._letters([w for w, p in zip(found, plain, strict=True) if p]))
+        others = iter(self._ids([w.decode() for w, p in zip(found, plain, strict=True) if not p]))
+        return [next(letters) if p else next(others) for p in plain]
+
+    def _placed(self, data: bytes, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``flat``, number of ids) of each unit; new ones are asked for."""
+        slot = (hashes >> np.uint64(45)).astype(np.int64)
+        known = (self.named[slot] == hashes) & (self.size[slot] >= 0)
+        begin, size = self.begin[slot], self.size[slot].astype(np.int64)
+        new = np.flatnonzero(~known)
+        if len(new):
+            named, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            at = new[first]
+            ids = self._asked([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            begins = len(self.flat) + np.cumsum(sizes) - sizes
+            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+            begin[new], size[new] = begins[which], sizes[which]
+            slot = (named >> np.uint64(45)).astype(np.int64)
+            self.named[slot], self.begin[slot], self.size[slot] = named, begins, sizes
+        return begin, size
 
     def texts(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids of all texts, number of ids of each text)."""
         words = Words(texts)
         if words.data.tobytes().find(b"<|") < 0:  # special tokens are told before lower-casing
-            words = Words(texts, lower=True)
-        if not len(words.starts):
-            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        _, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-        data = words.data.tobytes()
-        ids = self.words([data[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)])
-        size = np.array([len(x) for x in ids])
-        flat, begin = np.concatenate(ids), np.cumsum(size) - size
-        n = size[which]
-        at = np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        total = np.concatenate([[0], np.cumsum(n)])
-        return flat[at], np.diff(total[words.first])
+            words.data = LOWER[words.data]
+        starts, ends = units(words)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        if len(self.flat) > self.KEEP:
+            self._forget()
+        begin, n = self._placed(words.data.tobytes(), starts, ends, span_hashes(words.data, starts, ends))
+        upto = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(upto[-1])
+        at += np.repeat(begin - upto[:-1], n)
+        return self.flat[at], np.diff(upto[np.searchsorted(starts, words.offsets)])
 
 
 def _encoder(path: str) -> Encoder:
@@ -176,7 +244,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     """Encodes ``docs`` (doc_id, text), appends ``end_id`` to each, writes the shards to ``path``.
 
     A null or empty text is the end id alone. Rows that repeat a doc_id are stored one after another and found
-    together. Rows without a doc_id come first, in a shard of their own, and can't be looked up.
+    together. Rows without a doc_id come first, in shards below 0, and can't be looked up.
     """
 
     def encoded(table: pa.Table) -> pa.Table:
@@ -203,7 +271,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
         return pa.table({name: pa.array([row[name]], types[kind]) for name, kind in fields})
 
-    in_blocks(docs, ["doc_id", "text"]).groupBy("blk").applyInArrow(encoded, SHARD_SCHEMA).write.parquet(path)
+    in_blocks(docs, ["doc_id", "text"]).groupBy("blk").applyInArrow(encoded, SHARD_SCHEMA).write.option("parquet.page.size.row.check.min", "1").option("parquet.block.size", str(32 << 20)).parquet(path)
 
 
 class Shard:
@@ -257,30 +325,39 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """(doc_id, ids) for the keys (doc_id) that are stored; several rows where an id is. Foreign keys give none.
 
-    Keys are dealt to shards by the shards' ranges, then each shard answers its own from its index.
+    Keys are dealt to shards by the shards' ranges. Up to MOST_KEYS of them are sent to where the shards are read, and a
+    few shards are picked at the scan, so no payload is shuffled; more keys are joined with the store by shard.
     """
     stored = spark.read.schema(SHARD_SCHEMA).parquet(path).where("shard >= 0")
     bounds = sorted((r["first_id"], r["shard"]) for r in stored.select("first_id", "shard").collect())  # one for each shard
-    first, shards = np.array([b for b, _ in bounds], np.int64), [s for _, s in bounds]
+    first, shards = np.array([b for b, _ in bounds], np.int64), np.array([s for _, s in bounds], np.int32)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             at = np.searchsorted(first, ids, side="right") - 1
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at >= 0], pa.int64()), "shard": pa.array([shards[i] for i in at[at >= 0]], pa.int32())})
-
-    def answered(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        ids, found = [], []
-        for row in rows.to_pylist() if asked.num_rows else []:
-            shard, wanted = Shard(row), asked.column("doc_id").to_numpy()
-            for key, place in zip(wanted.tolist(), shard.find(wanted).tolist(), strict=True):
-                while 0 <= place < len(shard.keys) and shard.keys[place] == key:
-                    ids.append(key)
-                    found.append(shard.ids(place).astype(np.int32))
-                    place += 1
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(found, pa.list_(pa.int32()))})
-
-    asked = keys.select("doc_id").where("doc_id is not null").distinct().mapInArrow(dealt, "doc_id long, shard int")
-    return asked.groupBy("shard").cogroup(stored.groupBy("shard")).applyInArrow(answered, "doc_id long, ids array<int>")
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[at >= 0], pa.int64()), "shard": pa.array(shards[at[at >= 0]], pa.int32())})
 
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                shard, wanted = Shard(row), np.array(row["wanted"], np.int64)
+                ids, found = [], []
+                for key, place in zip(wanted.tolist(), shard.find(wanted).tolist(), strict=True):
+                    while 0 <= place < len(shard.keys) and shard.keys[place] == key:
+                        ids.append(key)
+                        found.append(shard.ids(place).astype(np.int32))
+                        place += 1
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(found, pa.list_(pa.int32()))})
 
+    asked = keys.select("doc_id").where("doc_id is not null").distinct().mapInArrow(dealt, "doc_id long, shard int")
+    asked = written(asked.groupBy("shard").agg(F.collect_list("doc_id").alias("wanted")), "asked")  # distinct keys: a list is no longer than its shard
+    n = asked.agg(F.sum(F.size("wanted")), F.count(F.lit(1))).first()
+    if (n[0] or 0) <= MOST_KEYS:
+        if n[1] <= FEW_SHARDS:
+            stored = stored.where(F.col("shard").isin([r["shard"] for r in asked.select("shard").collect()]))
+        both = stored.join(F.broadcast(asked), "shard")
+    else:
+        both = stored.join(asked.hint("merge"), "shard")
+    return both.mapInArrow(answered, "doc_id long, ids array<int>")

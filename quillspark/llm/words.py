@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POLY = np.uint64(0xD6E8FEB86659FD93)
@@ -34,6 +34,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each stretch of bytes; up to eight bytes of one length never collide."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _STEP)
+    if not len(size):
+        return out
+    eight = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    todo, at = np.arange(len(size)), 0
+    while len(todo):
+        left = size[todo] - at
+        part = eight[starts[todo] + at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        out[todo] = mix((out[todo] ^ part) * _STEP + np.uint64(at))
+        todo, at = todo[(left > 8) & (size[todo] <= _LONG)], at + 8
+    for i in np.flatnonzero(size > _LONG):
+        whole = data[starts[i] : ends[i]].tobytes()
+        out[i] = np.frombuffer(hashlib.blake2b(whole, digest_size=8).digest(), "<u8")[0]
+    return out
+
+
 class Words:
     """The words of an Arrow array of texts, in order; a null text has none.
 
@@ -53,7 +74,7 @@ class Words:
         self.data = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
         self.offsets = off - off[0]
         if lower:
-            self.data = _LOWER[self.data]
+            self.data = LOWER[self.data]
         ink = ~_SPACE[self.data]
         edge = np.zeros(len(ink) + 1, bool)
         edge[self.offsets] = True
@@ -75,28 +96,9 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            self._hashes = self._hash()
+            self._hashes = span_hashes(self.data, self.starts, self.ends)
         return self._hashes
 
-    def _hash(self) -> np.ndarray:
-        size = self.ends - self.starts
-        out = mix(size.astype(np.uint64) * _STEP)
-        if not len(size):
-            return out
-        eight = np.ndarray((len(self.data),), "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]).data, strides=(1,))
-        todo, at = np.arange(len(size)), 0
-        while len(todo):
-            left = size[todo] - at
-            part = eight[self.starts[todo] + at]
-            short = left < 8
-            part[short] &= (np.uint64(1) << (left[short].astype(np.uint64) * np.uint64(8))) - np.uint64(1)
-            out[todo] = mix((out[todo] ^ part) * _STEP + np.uint64(at))
-            todo, at = todo[(left > 8) & (size[todo] <= _LONG)], at + 8
-        for i in np.flatnonzero(size > _LONG):
-            whole = self.data[self.starts[i] : self.ends[i]].tobytes()
-            out[i] = np.frombuffer(hashlib.blake2b(whole, digest_size=8).digest(), "<u8")[0]
-        return out
-
     def runs(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(word at which it starts, hash) of each run of ``width`` words that lies in one text."""
         last = np.repeat(self.first[1:], self.counts) - width
@@ -151,3 +153,59 @@ def member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     at = np.searchsorted(among, keys)
     at[at == len(among)] = 0
     return among[at] == keys
+
+
+def runs_of(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of each run of equal values."""
+    if len(sorted_values):
+        cut = np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1
+        yield from zip([0, *cut.tolist()], [*cut.tolist(), len(sorted_values)], strict=True)
+
+
+# Which keys of a block another block has too: blocks offer their keys to parts, a part tells each block what it shares.
+# Keys travel without their last bits, so now and then a key is told that is not shared; what is told is looked at again.
+
+_CUT = np.uint64(24)
+
+
+def offered_keys(keys: np.ndarray, blk: int, parts: int) -> pa.Table:
+    """Rows (part, blk, keys) of a block's sorted, distinct keys."""
+    out = {"part": [], "blk": [], "keys": []}
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    for a, b in runs_of(part[order]):
+        out["part"].append(int(part[order[a]]))
+        out["blk"].append(blk)
+        out["keys"].append(pack(np.unique(keys[order[a:b]] >> _CUT)))
+    return pa.table(out, schema=pa.schema([("part", pa.int32()), ("blk", pa.int32()), ("keys", pa.binary())]))
+
+
+def repeated_keys(table: pa.Table) -> pa.Table:
+    """Of the rows that a part was offered, the same with the keys of two blocks or more."""
+    lists = [unpack(x.as_py()) for x in table.column("keys")]
+    keys = np.concatenate([np.zeros(0, np.uint64), *lists])
+    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    order = np.argsort(keys, kind="stable")
+    keys, of = keys[order], of[order]
+    same = keys[1:] == keys[:-1]
+    twice = np.zeros(len(keys), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    keys, of = keys[twice], of[twice]
+    order = np.argsort(of, kind="stable")
+    keys, of = keys[order], of[order]
+    blk, part = table.column("blk"), table.column("part")
+    out = [(part[int(of[a])].as_py(), blk[int(of[a])].as_py(), pack(keys[a:b])) for a, b in runs_of(of)]
+    return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "blk": pa.array([x[1] for x in out], pa.int32()), "keys": pa.array([x[2] for x in out], pa.binary())})
+
+
+def told_keys(keys: np.ndarray, told: pa.Table, parts: int) -> np.ndarray:
+    """Which of a block's keys are among those that it was told (part, blk, keys)."""
+    out = np.zeros(len(keys), bool)
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    begin = np.searchsorted(part[order], np.arange(parts + 1))
+    for p, packed in zip(told.column("part").to_pylist(), told.column("keys"), strict=True):
+        mine = order[begin[p] : begin[p + 1]]
+        out[mine] = member(keys[mine] >> _CUT, unpack(packed.as_py()))
+    return out
