@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .blocks import in_blocks, shuffle_partitions
 from .components import components
 from .scratch import written
-from .words import Words, member, mix, pack, run_hashes, unpack
+from .words import Words, member, mix, offered_keys, pack, repeated_keys, run_hashes, told_keys, unpack
 
 GROUPS = 128
 #: Rows of one key that meet in one task; larger keys are dealt out by pairs of chunks.
@@ -260,33 +260,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     parts = shuffle_partitions(docs)
 
     def offered(table: pa.Table) -> pa.Table:
-        keys = Sets(table, width, at).keys()[1]
-        keys = np.unique(keys)
-        part = (keys % np.uint64(parts)).astype(np.int64)
-        out = {"part": [], "blk": [], "keys": []}
-        for p in np.unique(part).tolist():
-            out["part"].append(p)
-            out["blk"].append(table.column("blk")[0].as_py())
-            out["keys"].append(pack(np.unique(keys[part == p] >> np.uint64(20))))
-        return pa.table(out, schema=pa.schema([("part", pa.int32()), ("blk", pa.int32()), ("keys", pa.binary())]))
-
-    def shared(table: pa.Table) -> pa.Table:
-        lists = [unpack(x.as_py()) for x in table.column("keys")]
-        keys = np.concatenate(lists)
-        of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        order = np.argsort(keys, kind="stable")
-        keys, of = keys[order], of[order]
-        same = keys[1:] == keys[:-1]
-        twice = np.zeros(len(keys), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        keys, of = keys[twice], of[twice]
-        order = np.argsort(of, kind="stable")
-        keys, of = keys[order], of[order]
-        cut = np.flatnonzero(np.diff(of, prepend=-1))
-        blk, part = table.column("blk"), table.column("part")
-        out = [(part[int(of[a])].as_py(), blk[int(of[a])].as_py(), pack(keys[a:b])) for a, b in zip(cut, [*cut[1:], len(of)], strict=True)]
-        return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "blk": pa.array([x[1] for x in out], pa.int32()), "keys": pa.array([x[2] for x in out], pa.binary())})
+        return offered_keys(np.unique(Sets(table, width, at).keys()[1]), table.column("blk")[0].as_py(), parts)
 
     def described(table: pa.Table, told: pa.Table) -> pa.Table:
         sets = Sets(table, width, at)
@@ -297,10 +271,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         same = key[1:] == key[:-1]
         keep[1:] |= same
         keep[:-1] |= same
-        part = (key % np.uint64(parts)).astype(np.int64)
-        for p, packed in zip(told.column("part").to_pylist(), told.column("keys"), strict=True):
-            mine = np.flatnonzero(part == p)
-            keep[mine] |= member(key[mine] >> np.uint64(20), unpack(packed.as_py()))
+        keep |= told_keys(key, told, parts)
         # a document that shares fewer keys than any linked one would is nobody's candidate
         shares = np.bincount(doc[keep] * 2 + which[keep], minlength=2 * len(sets.n))
         keep &= shares[doc * 2 + which] >= least
@@ -319,7 +290,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         return pa.table({"doc_id": ids, "n": pa.array(sets.n), "rep": ids.take(pa.array(sets.rep)), "keys": pa.array(keys, pa.list_(pa.int64())), "points": pa.array(points, pa.binary()), "fine": pa.array(finer, pa.binary()), "hashes": pa.array(hashes, pa.binary())})
 
     offers = blocks.groupBy("blk").applyInArrow(offered, "part int, blk int, keys binary")
-    told = offers.groupBy("part").applyInArrow(shared, "part int, blk int, keys binary")
+    told = offers.groupBy("part").applyInArrow(repeated_keys, "part int, blk int, keys binary")
     kind = "doc_id long, n long, rep long, keys array<long>, points binary, fine binary, hashes binary"
     every = written(blocks.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(described, kind), "sets")
     sets = every.where("keys is not null")
