@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block-level stretch of text; what stands in elements for menus, headers,
-footers, asides, forms, scripts and styles is markup too and leaves no line. An element that only its class or id
-calls a sidebar, notice, advert or the like goes with its lines unless it holds the article or most of the page's
-text. Each line counts with its characters outside links. Sums over a sliding window of lines surge where a part of
-the article begins and dive to nothing where it ends; the text between is kept, of every part.
+footers, asides, forms, scripts and styles is markup too and leaves no line. Each line weighs as many characters as it
+has outside links; lines in an element whose whole class or id names a page part (a sidebar, a notice, an advert) weigh
+nothing, unless most of the page hangs on that element. Sums of weights over a sliding window of lines surge where a
+stretch of text begins and dive to nothing where it ends. How high a surge has to come is read off the page's own
+lines. The stretches between surge and dive are the article's candidates, and their weights say whether it is in the
+page's article elements or, where these hold teasers only, in the stretches beside them.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
+#: A surge has to come up to this share of the median weight of the page's lines with weight, or to one printed line if that is less.
+SURGE, PRINTED_LINE = 0.25, 80
+#: The article elements are the article if their lines weigh at least this share of the stretches outside.
+ARTICLE = 0.5
 
 # Names of HTML elements and of page parts that are not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,14 +40,16 @@ NOT_ARTICLE = frozenset(
 )
 BOXES = frozenset("article blockquote div dl main ol section table td ul".split())
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
+#: Whole class names and ids; a last s is dropped before they are looked up.
 PART_NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist "
-    "consent cookie cookies copyright disclaimer disqus footer footnav form gdpr header login masthead menu menubar modal nav navbar navigation "
-    "newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies respond search "
-    "share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription teaser toolbar topbar tracking widget widgets".split()
+    "ad adbox advert advertisement advertising ad-box ad-banner adsense banner breadcrumb byline comment commentlist cookie cookie-banner cookie-notice "
+    "cookie-consent consent copyright disclaimer disqu footer footnav form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice "
+    "notification pager pagination popup promo promoted promotion recommended related related-post related-article replie respond search "
+    "share share-bar share-button sharing sidebar side-bar signup site-footer site-header site-nav skip skyscraper social social-share sponsor sponsored subscribe "
+    "subscription teaser toolbar topbar tracking widget".split()
 )
 #: What readers write may be longer than the article.
-READERS = frozenset("comment comments commentlist disqus replies".split())
+READERS = frozenset("comment commentlist comment-list comments-section comment-section comments-area disqu disqus_thread replie".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search status toolbar".split())
 
 _TOKEN = re.compile(
@@ -51,7 +59,6 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-_PARTS = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -70,18 +77,18 @@ def _left_out(name: str, source: str) -> bool:
 
 
 def _called(name: str, source: str) -> str:
-    """What class and id say of an element: "part" if a page part's name is among their words, "readers" if a name is all about reader comments."""
+    """What class and id say of an element: "part" if one of them as a whole names a page part, "readers" if that is reader comments."""
     if "=" not in source:
         return ""
     a = _attributes(source)
-    if name in ("html", "body", "article", "main") and "comment" not in a.get("class", "").lower():
+    said = {x.rstrip("s") for x in (a.get("class", "") + " " + a.get("id", "")).lower().split()}
+    if not said.isdisjoint(READERS):
+        return "readers"
+    if name in ("html", "body", "article", "main"):
         return ""
-    said = {x for k in ("class", "id") for x in _PARTS.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a.get(k, "")).lower())}
     if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
         said -= {"header", "banner"}
-    if said.isdisjoint(PART_NAMES):
-        return ""
-    return "part" if READERS.isdisjoint((a.get("class", "") + " " + a.get("id", "")).lower().split()) else "readers"
+    return "" if said.isdisjoint(PART_NAMES) else "part"
 
 
 def _is_main(name: str, source: str) -> bool:
@@ -93,6 +100,7 @@ class Line(NamedTuple):
     own: int  # characters outside links
     main: int  # number of the outermost article element, or 0
     parts: tuple[int, ...]  # numbers of the elements around it that are called a page part; below 0 for reader comments
+    paragraph: bool  # in a p element, which weighs a printed line by itself
     box: int  # number of the innermost element around it that groups lines, or 0
 
 
@@ -112,7 +120,7 @@ def lines_of(page: str) -> list[Line]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                lines.append(Line(text, max(0, len(text) - linked), mains[0] if mains else 0, tuple(called), boxes[-1] if boxes else 0))
+                lines.append(Line(text, max(0, len(text) - linked), mains[0] if mains else 0, tuple(called), bool(names.get("p")), boxes[-1] if boxes else 0))
             parts.clear()
         linked = 0
 
@@ -191,60 +199,70 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
-def _weights(lines: list[Line]) -> np.ndarray:
-    """What each line counts: all its characters inside article elements where the page has them, else those outside links."""
-    if any(x.main for x in lines):
-        return np.array([len(x.text) if x.main else 0 for x in lines], np.int64)
-    return np.array([x.own for x in lines], np.int64)
-
-
 def _without_parts(lines: list[Line]) -> list[Line]:
-    """The lines without the elements that are called a page part, but for those that hold the article.
+    """The lines without the elements that are called a page part, but for those on which most of the page hangs.
 
-    That is the largest article element, or else more than half of what counts. Reader comments may be more than
-    half; they stay only if there is nothing else.
+    That is all around the largest article element, or else more than half of the page's weight. Reader comments may
+    be more than half; they stay only if there is nothing else.
     """
     if not any(x.parts for x in lines):
         return lines
-    weight = _weights(lines)
-    own: dict[int, int] = {}
     text: dict[int, int] = {}
-    for x, w in zip(lines, weight.tolist(), strict=True):
+    for x in lines:
+        text[x.main] = text.get(x.main, 0) + (len(x.text) if x.main else 0)
+    weight = [(len(x.text) if x.main else 0) if max(text) else x.own for x in lines]
+    own: dict[int, int] = {}
+    for x, w in zip(lines, weight, strict=True):
         for p in x.parts:
             own[p] = own.get(p, 0) + w
-        text[x.main] = text.get(x.main, 0) + (len(x.text) if x.main else 0)
-    total, largest = int(weight.sum()), max(text, key=lambda k: text[k])
+    total, largest = sum(weight), max(text, key=lambda k: text[k])
     around = set.intersection(*(set(x.parts) for x in lines if x.main == largest)) if largest else set()
     gone = {p for p, w in own.items() if p not in around and (w < total if p < 0 else 2 * w <= total)}
     return [x for x in lines if gone.isdisjoint(x.parts)]
 
 
+def stretches(weight: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
+    """(first line, end) between each surge and dive of the window sums: their windows all hold weight, one comes up to the page's bound."""
+    if not weight.any():
+        return []
+    sums = np.convolve(weight, np.ones(window, np.int64))
+    bound = min(PRINTED_LINE, SURGE * float(np.median(weight[weight > 0])))
+    # a line is inside if all windows of the lines up to it, or of those from it on, have weight
+    inside = np.maximum(sums[: len(weight)], sums[window - 1 :]) > 0
+    change = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+    out = []
+    for a, b in zip(np.flatnonzero(change > 0).tolist(), np.flatnonzero(change < 0).tolist(), strict=True):
+        has = np.flatnonzero(weight[a:b]) + a
+        if sums[has[0] : has[-1] + window].max() >= bound:
+            out.append((int(has[0]), int(has[-1]) + 1))
+    return out
+
+
 def main_text(page: str | None) -> str:
-    """The lines between each surge and dive of the page's text, joined by a blank line."""
+    """The article's lines joined by a blank line."""
     lines = _without_parts(lines_of(page or ""))
-    if any(x.main for x in lines):
-        return "\n\n".join(x.text for x in lines if x.main)
-    weight = _weights(lines)
-    if not weight.any():
-        return ""
-    # sum over the windows that hold a line: 0 where none of its neighbours has text of its own
-    sums = np.convolve(weight, np.ones(WINDOW, np.int64))
-    near = np.maximum(sums[: len(weight)], sums[WINDOW - 1 :]) > 0
-    change = np.diff(np.concatenate([[0], near.astype(np.int8), [0]]))
+    weight = np.array([x.own + PRINTED_LINE * (x.paragraph and x.own > 0) for x in lines], np.int64)
+    main = np.array([x.main > 0 for x in lines], bool)
     kept = np.zeros(len(lines), bool)
-    for a, b in zip(np.flatnonzero(change > 0), np.flatnonzero(change < 0), strict=True):
-        has = np.flatnonzero(weight[a:b]) + a  # surge and dive: the first and the last line with text
-        kept[has[0] : has[-1] + 1] = True
-    # lines of links alone stay too where they stand in one element with text
-    boxes = {x.box for x in lines if x.own} - {0}
-    return "\n\n".join(x.text for x, k in zip(lines, kept, strict=True) if k or x.box in boxes)
+    for a, b in stretches(np.where(main, 0, weight)):
+        kept[a:b] = True
+    kept &= ~main
+    inside = sum(len(x.text) for x in lines if x.main)
+    if inside and inside >= ARTICLE * sum(x.own for x, k in zip(lines, kept.tolist(), strict=True) if k):
+        return "\n\n".join(x.text for x in lines if x.main)
+    for a, b in stretches(weight):  # teasers beside it may belong to the text
+        kept[a:b] = True
+    # lines of links alone stay too where they stand in one element with text that stays
+    boxes = {x.box for x, k in zip(lines, kept, strict=True) if k and x.own} - {0}
+    return "\n\n".join(x.text for x, k in zip(lines, kept, strict=True) if k or (x.box in boxes and not x.own))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html).
 
     The text is the article's blocks in page order, character references decoded, white space inside a block made
-    one space, joined by two line feeds. Where a page has article or main elements, only their lines count. A
+    one space, joined by two line feeds. Where a page's article or main elements hold its text, all their lines and no
+    others are the article. A
     null or empty page, or one without text, gives an empty text; rows repeat if they do in the input; ids and
     urls may be null. Other columns are not read.
     """
