@@ -14,7 +14,7 @@ from quillspark.llm.decontaminate import MASKS, overlaps, without_overlaps
 from quillspark.llm.html_extract import extract, main_text
 from quillspark.llm.jaccard_join import jaccard_components
 from quillspark.llm.language_id import learned, with_language
-from quillspark.llm.lattice_dedup import decode, near_duplicates
+from quillspark.llm.lattice_dedup import PLANS, cells, decode, near_duplicates
 from quillspark.llm.line_dedup import remove_spread_lines
 from quillspark.llm.packing import best_fit
 from quillspark.llm.substring_dedup import codes, deep_nodes, packed_suffixes, remove_repeats, routes, unpacked_suffixes
@@ -212,6 +212,58 @@ def test_lattice(spark):
     assert got[0] == (3, 0, True) and got[25] == (1, 5, False) and all(got[i] == (0, i, True) for i in range(100, 105))
 
 
+def brute_links(rows, threshold=0.9):
+    """vec_id -> (n_links, component_id) over distinct ids."""
+    good = {i: np.array(v, np.float64) / np.abs(v).max() for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
+    ids = sorted(good)
+    parent, n = {i: i for i, _ in rows}, dict.fromkeys((i for i, _ in rows), 0)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if len(good[i]) == len(good[j]) and good[i] @ good[j] / np.linalg.norm(good[i]) / np.linalg.norm(good[j]) >= threshold:
+                n[i] += 1
+                n[j] += 1
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: (n[i], root(i)) for i in parent}
+
+
+def test_lattice_against_brute_force(spark):
+    base = rng.normal(size=(60, 48))
+    rows = [(5 * i, list(map(float, v))) for i, v in enumerate([*base, *(base[:40] + rng.normal(size=(40, 48)) * 0.2), *(base[:9] + rng.normal(size=(9, 48)) * 0.1), *base[:5], *([base[3]] * 30)])]
+    rows += [(1000, None), (1001, [0.0] * 48), (1002, [float("inf")] * 48), (1003, [1e-300] * 48), (1004, [])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_links(rows) and len({c for _, c in got.values()}) < len(got)
+
+
+def test_lattice_rows_that_repeat_an_id(spark):
+    v, w = [1.0, 0.0, 0.5], [0.0, 1.0, 0.0]
+    docs = spark.createDataFrame([(7, v, "x"), (7, w, "x"), (7, v, "y"), (8, w, "z"), (None, v, "n")], "vec_id long, embedding array<double>, name string")
+    assert sorted(map(tuple, near_duplicates(docs).collect()), key=str) == sorted([(7, 1, 7, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (None, 0, None, None)], key=str)
+
+
+@pytest.mark.parametrize("plan", PLANS)
+def test_lattice_recall_at_the_threshold(plan):
+    _, blocks, tables, cell = plan
+    n, dims = 1500, 64
+    a = rng.normal(size=(n, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=(n, dims))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    (own_a, near_a), (own_b, near_b) = cells(a, blocks, tables, cell), cells(b, blocks, tables, cell)
+    met = (own_a == own_b) | (near_a == own_b[:, :, None]).any(axis=2) | (near_b == own_a[:, :, None]).any(axis=2)
+    assert met.any(axis=1).mean() >= 0.94
+    far = np.roll(np.arange(n), 1)  # unrelated pairs
+    apart = (own_a == own_a[far]) | (near_a == own_a[far][:, :, None]).any(axis=2)
+    assert apart.any(axis=1).mean() <= 0.002
+
+
 def test_url_filter(spark):
     rows = [(1, "http://A.Example.ORG/en/12?q"), (2, "x"), (3, None), (4, "http://sub.shop.com/de/1#a"), (5, "http://shop.net/de/"), (6, "ftp://org"), (1, "http://a.example.org/es/1")]
     rules = spark.createDataFrame([("org", "/", "allow"), ("example.org", "/en/1", "block"), ("example.org", "/es/", "block"), ("com", "/de/", "block"), (None, "/", "block")], "host string, path string, verdict string")
