@@ -60,8 +60,14 @@ class Seeds:
             keys.append(seed_hashes(self.hashes, at, mask))
             where.append(at)
         keys, where = np.concatenate(keys), np.concatenate(where)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.where = keys[order], where[order].astype(np.int32)
+        order = np.lexsort((where, keys))
+        keys, self.where = keys[order], where[order].astype(np.int32)
+        # places of one seed in one item are a run
+        item = self.item_of(self.where)
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])
+        self.run = np.append(np.flatnonzero(new), len(keys))
+        self.keys, self.item = keys[new], item[new]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
@@ -70,7 +76,7 @@ class Seeds:
 
     def found(self, words: Words) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, start in text, start in item, words, agreeing words), the longest stretch of each text and item."""
-        texts, at_text, at_item = [], [], []
+        places, runs = [], []
         last = np.repeat(words.first[1:], words.counts)
         place = np.arange(len(last))
         for mask in self.masks:
@@ -79,32 +85,56 @@ class Seeds:
             some = self.maybe[(keys >> np.uint64(42)).astype(np.int64)]
             at, keys = at[some], keys[some]
             low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
-            n = high - low
-            hit = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at_text.append(np.repeat(at, n))
-            at_item.append(self.where[hit])
-        at_text, at_item = np.concatenate(at_text), np.concatenate(at_item)
-        if not len(at_text):
+            places.append(np.repeat(at, high - low))
+            runs.append(_ranges(low, high - low))
+        places, runs = np.concatenate(places), np.concatenate(runs)
+        if not len(places):
             return []
-        text, item = words.texts_of(at_text), self.item_of(at_item)
-        # where the item's first word would be in the text: one alignment however many seeds hit it
-        lines = np.unique(np.stack([text, item, at_text - at_item + self.first[item]]), axis=1)
+        both = words.texts_of(places) * len(self.ids) + self.item[runs]
+        pairs, of = np.unique(both, return_inverse=True)
+        hits = np.bincount(of, np.diff(self.run)[runs]).astype(np.int64)
+        text, item = pairs // len(self.ids), pairs % len(self.ids)
+        in_text, in_item = words.counts[text], np.diff(self.first)[item]
+        # an alignment is named by where the item's first word would be in the text; if hits outnumber the alignments that there are, all are looked at
+        many = hits >= in_text + in_item
+        rest = ~many[of]
+        n = np.diff(self.run)[runs[rest]]
+        at_item = self.where[_ranges(self.run[runs[rest]], n)]
+        which, origin = np.repeat(of[rest], n), np.repeat(places[rest], n)
+        origin = origin - at_item + self.first[item[which]]
+        every = np.flatnonzero(many)
+        span = in_text[every] + in_item[every] - 1
+        which, origin = np.append(which, np.repeat(every, span)), np.append(origin, _ranges(words.first[text[every]] - in_item[every] + 1, span))
+        start, end = np.maximum(origin, words.first[text[which]]), np.minimum(origin + in_item[which], words.first[text[which] + 1])
+        order = np.lexsort((start, start - end, which))
+        which, origin, start, end = which[order], origin[order], start[order], end[order]
+        new = np.ones(len(which), bool)
+        new[1:] = (which[1:] != which[:-1]) | (origin[1:] != origin[:-1])
         best: dict = {}
-        for t, i, origin in lines.T.tolist():
-            a = max(origin, int(words.first[t]))
-            b = min(origin + int(self.first[i + 1] - self.first[i]), int(words.first[t + 1]))
-            shift = int(self.first[i]) - origin
+        for w, o, a, b in zip(which[new].tolist(), origin[new].tolist(), start[new].tolist(), end[new].tolist(), strict=True):
+            # alignments come by falling length: one that can't beat the best so far is skipped
+            if w in best and best[w][:3] >= (b - a, b - a, -a):
+                continue
+            t, i = int(text[w]), int(item[w])
+            shift = int(self.first[i]) - o
             same = words.hashes[a:b] == self.hashes[a + shift : b + shift]
-            need = min(MIN_WORDS, int(self.first[i + 1] - self.first[i]))
+            need = min(MIN_WORDS, int(in_item[w]))
+            if np.count_nonzero(same) < MIN_SHARE * need:
+                continue
             x, y, agree = _stretch(same)
             if need == MIN_WORDS and (y - x < need or agree < MIN_SHARE * (y - x)):
                 x, y, agree = _longest(same)
             if y - x >= need and agree >= MIN_SHARE * (y - x):
-                found = (y - x, agree, -(a + x), t, i, a + x - int(words.first[t]), a + x - origin)
-                best[t, i] = max(best.get((t, i), found), found)
+                stretch = (y - x, agree, -(a + x), t, i, a + x - int(words.first[t]), a + x - o)
+                best[w] = max(best.get(w, stretch), stretch)
         return [(t, i, s, p, n, agree) for n, agree, _, t, i, s, p in best.values()]
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each, n of them."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 def _stretch(same: np.ndarray) -> tuple[int, int, int]:
     """(start, end, agreeing words) of the stretch with the greatest sum, where a word that agrees is worth 1 and another -2."""
     sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])

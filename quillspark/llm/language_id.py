@@ -91,13 +91,13 @@ def fit(texts: list[str | None], languages: list[str]) -> Model:
 
 
 def _sample(docs: DataFrame) -> list:
-    """Of each language the PER_LANGUAGE rows with the smallest id hash, TRAINING rows at most. Only these come to the driver."""
+    """(text, lang) of the PER_LANGUAGE ids with the smallest hash of each language, TRAINING at most; of rows with one id the least. Only these come to the driver."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE)
     ids = [r["doc_id"] for r in chosen.orderBy("r", "lang").limit(TRAINING).collect()]
-    rows = known.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").limit(2 * TRAINING).collect() if ids else []
-    return sorted(rows, key=lambda r: (r["doc_id"], r["text"] or "", r["lang"]))
+    rows = known.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")) if ids else None
+    return [r["row"] for r in sorted(rows.collect(), key=lambda r: r["doc_id"])] if ids else []
 
 
 def learned(docs: DataFrame) -> Model:
@@ -150,9 +150,11 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1: the best regression's output).
 
     The prediction reads ``text`` alone. A text that is null or has no letter is ``und`` with score 0, and so is
-    every text if the model knows no language. Ties go to the language first in the alphabet.
+    every text if the model knows no language. Ties go to the language first in the alphabet. Rows without an id or with a
+    repeated one are told like any other; columns of ``docs`` called lang_pred or score are replaced.
     """
     kept = model
+    docs = docs.drop("lang_pred", "score")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text", 1_000_000)):

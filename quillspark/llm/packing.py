@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .token_store import with_token_counts
+
 #: Documents in a shard, about.
 SHARD = 4000
 
@@ -93,8 +95,8 @@ def best_fit(docs: DataFrame, capacity: int = 2048) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(packed, "doc_id long, piece long, start long, n_tokens long, bin_id long, bin_offset long")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, source) as best_fit takes them: size is the number of words and an end token;
-    exact copies share a cluster."""
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select("doc_id", "source", F.unhex(F.md5("text")).alias("cluster"), (words + 1).alias("size"))
+def measured(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """``docs`` (doc_id, text, source) as best_fit takes them: size is the number of ids and an end id; exact copies share
+    a cluster, and null or empty texts none. Near copies do too if the caller has a cluster for them."""
+    counted = with_token_counts(docs.select("doc_id", "source", "text"), tokenizer)
+    return counted.select("doc_id", "source", F.unhex(F.md5(F.nullif("text", F.lit("")))).alias("cluster"), (F.col("n_tokens") + 1).alias("size"))

@@ -23,6 +23,7 @@ from .url_filter import judged
 # The rules of op8 (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 MIN_SITES = 10
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +36,12 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quillspark-shards-{uuid.uuid4().hex}"
-    write_shards(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    write_shards(_table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=1)
     return read_documents(spark, path)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(measured(_table(spark, sf_dir, "documents")), capacity=2048)
+    return best_fit(measured(_table(spark, sf_dir, "documents"), TOKENIZER), capacity=2048)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

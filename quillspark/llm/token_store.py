@@ -20,10 +20,11 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import in_blocks
 from .scratch import written
-from .words import LOWER, Words, mix, span_hashes
+from .words import LOWER, Words, mix, slices, span_hashes
 
 LEVELS, SPARE = 40, 2
 #: Keys of a lookup that are broadcast (8 MB), and shards that are named in the scan's filter.
@@ -235,6 +236,19 @@ def _encoder(path: str) -> Encoder:
     return _tokenizers[path]
 
 
+def with_token_counts(docs: DataFrame, tokenizer: str, column: str = "n_tokens") -> DataFrame:
+    """``docs`` (text and any others) with the number of ids of each text, 0 where it is null; an older ``column`` is replaced."""
+    docs = docs.drop(column)
+    names = docs.columns
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            n = _encoder(tokenizer).texts(pa.chunked_array([batch.column("text")]))[1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*names, column])
+
+    return docs.mapInArrow(told, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
+
+
 # --- files ----------------------------------------------------------------
 
 SHARD_SCHEMA = "shard int, n_docs long, n_ids long, first_id long, last_id long, width int, keys binary, lengths binary, perfect binary, prints binary, places binary, payload binary"

@@ -1,22 +1,25 @@
 """Each operator on small tables against a brute-force version or an exact round trip, with the awkward rows."""
 
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import blocks  # noqa: F401
-from quillspark.llm.decontaminate import MASKS, overlaps, without_overlaps
+from quillspark.llm import line_dedup
+from quillspark.llm.decontaminate import MASKS, Seeds, overlaps, without_overlaps
 from quillspark.llm.html_extract import extract, main_text
 from quillspark.llm.jaccard_join import jaccard_components
-from quillspark.llm.language_id import learned, with_language
+from quillspark.llm.language_id import held_out, learned, with_language
 from quillspark.llm.lattice_dedup import PLANS, cells, decode, near_duplicates
 from quillspark.llm.line_dedup import remove_spread_lines
-from quillspark.llm.packing import best_fit
+from quillspark.llm.packing import best_fit, measured
+from quillspark.llm.queries import TOKENIZER
 from quillspark.llm.substring_dedup import codes, deep_nodes, packed_suffixes, remove_repeats, routes, unpacked_suffixes
 from quillspark.llm.token_store import Encoder, KeyIndex, lookup, read_documents, write_shards
 from quillspark.llm.url_filter import judged
@@ -176,6 +179,37 @@ def test_packing(spark):
             assert len(seen) == len(set(seen))
 
 
+def test_packing_is_best_fit(spark):
+    """Against the rule by hand: of all open bins the fullest that has room and no conflict, else a new one."""
+    sizes = [int(n) for n in rng.integers(1, 250, 300)]
+    rows = [(i, None if i % 11 == 0 else f"s{i % 9}", None if i % 3 else bytes([i % 13]), n) for i, n in enumerate(sizes)] + [(900 + i, "s0", b"x", 40) for i in range(8)]
+    got = best_fit(spark.createDataFrame(rows, "doc_id long, source string, cluster binary, size long"), 100).collect()
+    bins, wanted = [], {}
+    for d, source, cluster, n in sorted(rows, key=lambda r: (-(r[3] % 100), r[0])):
+        n %= 100
+        if n:
+            fits = [(b["left"], k) for k, b in enumerate(bins) if b["left"] >= n and (source is None or source not in b["s"]) and (cluster is None or cluster not in b["c"])]
+            if fits:
+                k = min(fits)[1]
+            else:
+                k = len(bins)
+                bins.append({"left": 100, "s": set(), "c": set()})
+            wanted[d] = (k, 100 - bins[k]["left"])
+            bins[k]["left"] -= n
+            bins[k]["s"].add(source)
+            bins[k]["c"].add(cluster)
+    rests = {r["doc_id"]: (r["bin_id"] & 0xFFFFFFFF, r["bin_offset"]) for r in got if r["n_tokens"] < 100}
+    assert rests == wanted
+    assert best_fit(spark.createDataFrame([], "doc_id long, source string, cluster binary, size long"), 100).count() == 0
+
+
+def test_packing_sizes_are_token_counts(spark, texts):
+    t = Tokenizer.from_file(TOKENIZER)
+    docs = spark.createDataFrame([(d, x, "s", 5) for d, x in texts], "doc_id long, text string, source string, n_tokens int")
+    got = sorted((r["doc_id"], r["size"], r["cluster"] is None) for r in measured(docs, TOKENIZER).where("doc_id is not null").collect())
+    assert got == sorted((d, len(t.encode(x or "", add_special_tokens=False).ids) + 1, not x) for d, x in texts if d is not None)
+
+
 def test_masks_hit_every_stretch_with_two_substitutions():
     for a in range(13):
         for b in range(a, 13):
@@ -194,6 +228,74 @@ def test_decontamination(spark):
     assert overlaps(frame(spark, rows), bench.where("false")).count() == 0
 
 
+def brute_overlaps(docs, items):
+    """The longest overlap of each document and item, over all alignments."""
+    out = {}
+    for d, text in docs:
+        w = words((text or "").lower())
+        for i, other in items:
+            v = words((other or "").lower())
+            best = None
+            for shift in range(-len(v) + 1, len(w)):
+                a, b = max(0, shift), min(len(w), shift + len(v))
+                same = [w[k] == v[k - shift] for k in range(a, b)]
+                if len(v) < 13:
+                    found = [(len(v), len(v), 0)] if b - a == len(v) and all(same) else []
+                else:
+                    found = [(y - x, sum(same[x:y]), x) for x in range(len(same)) for y in range(x + 13, len(same) + 1) if 10 * sum(same[x:y]) >= 7 * (y - x)]
+                if v and found:
+                    best = max(best or (0,), (max(f[0] for f in found),))
+            if best:
+                out[d, i] = best[0]
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    vocab = [f"v{i}" for i in range(6)]
+    items = [(i, " ".join(rng.choice(VOCAB if i % 2 else vocab, int(n)))) for i, n in enumerate([30, 20, 18, 40, 13, 14, 5, 1])] + [(50, None), (51, "")]
+    docs = []
+    for i in range(30):
+        mid = (items[i % 8][1] if i % 3 else prose(15)).split()
+        mid = [w if rng.random() > 0.15 else "other" for w in mid]
+        docs.append((i, " ".join([prose(6), *mid, prose(5)])))
+    docs += [(90, None), (91, ""), (92, " ".join(["v0"] * 60))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in overlaps(frame(spark, docs), bench).collect()}
+    wanted = brute_overlaps(docs, items)
+    assert set(got) == set(wanted) and len(wanted) > 15
+    # what is reported is the densest stretch, which may be shorter than the longest
+    assert all(n <= wanted[k] for k, n in got.items())
+    assert sorted(r["doc_id"] for r in without_overlaps(frame(spark, docs), bench).collect()) == sorted(d for d, _ in docs if d not in {k[0] for k in wanted})
+
+
+def test_decontamination_of_repeated_words_is_quick():
+    start = time.perf_counter()
+    seeds = Seeds([1, 2], ["same " * 2000, "a b " * 1000])
+    got = seeds.found(Words(pa.array(["same " * 30_000, "a b " * 3000, "b " * 50, None, ""]), lower=True))
+    assert sorted((t, i, n, agree) for t, i, _, _, n, agree in got) == [(0, 0, 2000, 2000), (1, 1, 2000, 2000)]
+    assert time.perf_counter() - start < 5
+
+
+def test_line_dedup_awkward(spark):
+    rows = [(i, f"own {i}\nfooter", f"s{i}", "x", 1, i) for i in range(6)]
+    rows += [(8, "keep me\nfooter", "s8", "x", 1, 0), (8, "footer\nkeep me B", "s8", "x", 1, 0), (9, "f" * 200_000 + "\nfooter", "s9", "x", 1, 0), (10, "footer\nfooter", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, gone string, n_lines int, line_hash int")
+    out = remove_spread_lines(docs, 5)
+    assert out.columns == ["doc_id", "text", "source", "gone", "line_hash", "n_lines", "n_removed"]
+    got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"], r["gone"]) for r in out.where("gone is not null").collect())
+    assert got == sorted([(0, "own 0\nfooter", 2, 0, "x"), *[(i, f"own {i}", 2, 1, "x") for i in range(1, 6)], (8, "keep me", 2, 1, "x"), (8, "keep me B", 2, 1, "x"), (9, "f" * 200_000, 2, 1, "x")])
+    assert [r["text"] for r in out.where("gone is null").collect()] == [""]
+
+
+@pytest.mark.parametrize("few", [300_000, 0])
+def test_line_dedup_at_the_threshold(spark, monkeypatch, few):
+    """Lists that are broadcast and lists that are salted, with lines on 9, 10 and 11 sources."""
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    rows = [(100 * n + k, f"line {n}\nown {n} {k}", f"s{k}") for n in (8, 9, 10, 11, 30) for k in range(n)] + [(5000 + k, "same source\nx", "s") for k in range(40)]
+    got = {r["doc_id"]: r["n_removed"] for r in remove_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10).collect()}
+    assert got == {d: int(100 <= d < 5000 and d // 100 in (10, 11, 30) and d % 100 > 0) for d, _, _ in rows}
+
+
 def test_line_dedup(spark):
     rows = [(i, f"own {i}\nfooter \n\nfooter", f"s{i}") for i in range(5)] + [(9, None, "s0"), (10, "", "s1"), (None, "footer", "s9")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -271,6 +373,64 @@ def test_url_filter(spark):
     assert got == sorted([(1, "example.org/en/1", "block"), (2, None, "allow"), (3, None, "allow"), (4, "com/de/", "block"), (5, None, "allow"), (6, None, "allow"), (1, "example.org/es/", "block")], key=str)
 
 
+def test_url_filter_in_parts(spark):
+    hosts = ["com", "shop.com", "org", "a.org", "b.a.org", "x.y.z.net"]
+    rules = [(h, p, v) for i, h in enumerate(hosts) for p, v in (("/", "allow"), (f"/{i}", "block"), ("/longer/path", "block" if i % 2 else "allow"))] + [("com", "/", "block")]
+    rows = [(i, f"HTTP://{'www.' * (i % 3)}{hosts[i % 6]}{('/', '/3x', '/longer/path/z?q', '', '#f', '/1')[i % 5]}") for i in range(60)] + [(70, None), (71, "no scheme"), (72, "http:///only"), (73, "http://" + "a." * 200 + "com/" + "p" * 5000)]
+    docs, listed = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
+    best = {}
+    for h, p, v in rules:
+        best[h, p] = min(v, best.get((h, p), v))
+    wanted = []
+    for i, u in rows:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(h) + len(p), len(h), h + p, v) for (h, p), v in best.items() if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        wanted.append((i, host, path, *(max(fits)[2:] if fits else (None, "allow"))))
+    for most in (32_000_000, 4):
+        assert sorted(map(tuple, judged(docs, listed, most_keys=most).collect()), key=str) == sorted(wanted, key=str)
+    assert judged(docs.where("false"), listed).count() == 0 and {r["verdict"] for r in judged(docs, listed.where("false")).collect()} == {"allow"}
+
+
+@pytest.fixture(scope="module")
+def spoken():
+    """Texts of four invented languages that share words, with other columns that say something else."""
+    random = np.random.default_rng(11)
+    syllables = {"aa": "ka lo mi tu re", "bb": "sch ung ein der lo", "cc": "eau ille ou re ka", "dd": "ção nho ar mi os"}
+    rows = []
+    for i in range(600):
+        lang = list(syllables)[i % 4]
+        text = " ".join("".join(random.choice(syllables[lang].split(), int(random.integers(1, 4)))) for _ in range(int(random.integers(3, 60))))
+        rows.append((i, text, lang, "one"))
+    return rows
+
+
+def test_language_id_held_out(spark, spoken):
+    docs = spark.createDataFrame(spoken, "doc_id long, text string, lang string, source string")
+    told = lambda df: {r["doc_id"]: (r["lang_pred"], r["score"]) for r in with_language(df, learned(df.where(~held_out()))).collect()}
+    got = told(docs)
+    out = [i for i, *_ in spoken if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(out) > 100 and {r["doc_id"] for r in docs.where(held_out()).collect()} == set(out)
+    assert np.mean([got[i][0] == spoken[i][2] for i in out]) >= 0.97
+    # neither the language of held-out rows nor source or id is read
+    lied = docs.withColumn("lang", F.when(held_out(), F.lit("aa")).otherwise(F.col("lang"))).withColumn("source", F.lit(None).cast("string"))
+    assert told(lied) == got
+    # the prediction is a function of the text
+    model = learned(docs.where(~held_out()))
+    moved = with_language(docs.withColumn("doc_id", -F.col("doc_id")), model)
+    assert {-r["doc_id"]: (r["lang_pred"], r["score"]) for r in moved.collect()} == got
+
+
+def test_language_id_awkward(spark, spoken):
+    long = " ".join(t for _, t, lang, _ in spoken if lang == "cc") * 3
+    rows = [*[(i, t, lang, 5.0, "zz") for i, t, lang, _ in spoken], *[(3, t, "aa", None, None) for _, t, lang, _ in spoken[:40:4]], (None, spoken[1][1], "bb", 1.0, None), (900, long, None, None, None), (901, None, "aa", None, None), (902, "", None, None, None), (903, "12 !?", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    out = with_language(docs, learned(docs.where(~held_out())))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and out.count() == len(rows)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in out.collect()}
+    assert got[900][0] == "cc" and got[901] == got[902] == got[903] == ("und", 0.0) and got[None][0] == "bb"
+
+
 def test_language_id(spark):
     known = {"de": "der hund und die katze laufen schnell über die straße", "en": "the dog and the cat run quickly over the road", "fr": "le chien et le chat courent vite dans la rue"}
     rows = [(i, t + f" {i}", lang) for i, (lang, t) in enumerate(list(known.items()) * 5)] + [(90, None, "en"), (91, "123 !!", None), (92, "die katze läuft", None), (93, "", "de")]
@@ -296,6 +456,10 @@ def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
     write_shards(none, str(tmp_path / "none"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     assert read_documents(spark, str(tmp_path / "none")).count() == 0
+    bench = spark.createDataFrame([(1, prose(20))], "item_id long, text string")
+    assert overlaps(none, bench).count() == 0 and without_overlaps(none, bench).count() == 0 and overlaps(none, bench.where("false")).count() == 0
+    assert best_fit(measured(none, TOKENIZER), 2048).count() == 0
+    assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert remove_repeats(none).count() == 0 and jaccard_components(none).count() == 0 and remove_spread_lines(none).count() == 0
     assert with_language(none.select("doc_id", "text"), learned(none)).count() == 0
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
