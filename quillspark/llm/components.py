@@ -1,7 +1,7 @@
 """Connected components of a graph of document ids, by alternating large-star and small-star rounds.
 
 Both rounds are joins and grouped minima, so no component meets in one task, and each round's edges are
-written to the shared folder. The number of rounds grows with the logarithm of the longest chain.
+written to the shared folder in place of the last round's. The number of rounds grows with the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,8 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = written(small.select("e.*").where("u <> v").distinct(), "edges")
+        last, now = now, written(small.select("e.*").where("u <> v").distinct(), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        dropped(last)
         if state == before:
             roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -3,8 +3,11 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from corpus_pipeline import run
+from corpus_pipeline import STAGES, run
+from quillspark.llm.queries import TOKENIZER
 
 KNOWN = {
     "de": "der die das und ein eine hund katze straße haus läuft schnell über durch nicht auch wird werden zeit jahr schule kinder wasser stadt grün später zwischen immer wieder gegen möchte können",
@@ -65,4 +68,29 @@ def test_run(spark, tmp_path):
                 least[b] = min(least[b], least[a])
     kept = {d: t for d, t in docs.items() if least[d] == d and item not in t}
     assert 200 < len(kept) < len(docs) < len(rows)
-    assert got == {d: len(words(t)) + 1 for d, t in kept.items()}
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    assert got == {d: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for d, t in kept.items()}
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(KNOWN[lang].split(), 40)), lang, f"s{i % 12}", 0, "x", 1, None) for i, lang in enumerate(list(KNOWN) * 20)]
+    clean = len(rows)
+    other = " ".join(rng.choice(KNOWN["fr"].split(), 40))
+    rows += [(None, rows[0][1], "de", "s1", 0, "y", 2, 3), (500, None, "en", None, None, None, None, None), (501, "", None, "s1", 0, None, None, None), (7, other, "fr", "s", 0, "z", 4, 5), (502, rows[1][1] * 300, "en", "s3", 1, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, gone string, n_lines int, score double"
+    rows = [(*r[:7], None if r[7] is None else float(r[7])) for r in rows]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, "no such passage in any of these documents at all it seems to be")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        kept = {r["doc_id"]: r for r in out.collect()}
+        assert set(range(clean)) <= set(kept), name
+        assert kept[7]["text"] in (rows[7][1], other) and kept[0]["gone"] == "x" and kept[0]["n_lines"] == 1
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    packed = STAGES[-1][1](spark, docs, str(tmp_path))
+    sizes = {r["doc_id"]: r["n"] for r in packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    assert sizes[500] == sizes[501] == 1 and sizes[502] == len(tokenizer.encode(rows[-1][1], add_special_tokens=False).ids) + 1
+    assert STAGES[-1][1](spark, docs.where("false"), str(tmp_path)).count() == 0
