@@ -32,6 +32,8 @@ from .words import Words, member, mix, offered_keys, pack, repeated_keys, run_ha
 GROUPS = 128
 #: Rows of one key that meet in one task; larger keys are dealt out by pairs of chunks.
 CHUNK = 20_000
+#: Rows of all the neighbourhoods that are put together in one group, about.
+BAG = 5_000
 FANOUT = 16
 #: Pairs that a task holds before the finer bound sifts them.
 PENDING = 200_000
@@ -185,8 +187,8 @@ class CountTree:
 
     def _down(self, depth: int, i: np.ndarray, j: np.ndarray, at: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         most, n, low, high = self.levels[depth]
-        for a in range(0, len(i), 50_000):
-            x, y = i[a : a + 50_000], j[a : a + 50_000]
+        for a in range(0, len(i), 16_000):
+            x, y = i[a : a + 16_000], j[a : a + 16_000]
             open_ = (low[x] != high[x]) | (low[y] != high[y]) | (low[x] != low[y])
             x, y = x[open_], y[open_]
             could = np.minimum(most[x], most[y]).sum(axis=1, dtype=np.int64) >= at.least_overlap(n[x], n[y])
@@ -313,13 +315,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     open_ = open_.select("key", "near", "doc_id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     # a document comes to a bag once, with all its keys there
     open_ = written(open_.groupBy("near", "i", "j", "doc_id", "comp").agg(F.collect_list("key").alias("keys")), "open")
-    bags = max(parts, math.ceil(open_.count() / CHUNK))
+    bags = max(parts, math.ceil(open_.count() / BAG))
 
     def surviving(table: pa.Table) -> pa.Table:
         ids, row, doc = np.unique(table.column("doc_id").to_numpy(), return_index=True, return_inverse=True)
         comp, n = (table.column(c).to_numpy()[row] for c in ("comp", "n"))
         points = _points(table.column("points").take(pa.array(row)))
-        groups = [unpack(x) for x in table.column("fine").take(pa.array(row)).to_pylist()]
+        # as 32 bits wherever they fit: these arrays are most of a bag
+        groups = [g.astype(np.uint32) if bits <= 32 else g for g, bits in zip(map(unpack, table.column("fine").take(pa.array(row)).to_pylist()), fine_bits(n), strict=True)]
         lists = table.column("keys").combine_chunks()
         of = np.repeat(np.arange(table.num_rows), pa.compute.list_value_length(lists).to_numpy())
         where = np.stack([pa.compute.list_flatten(lists).to_numpy(), *(table.column(c).to_numpy()[of] for c in ("i", "j"))])
