@@ -58,16 +58,17 @@ def _bits(values: list, only_repeated: bool) -> list[int]:
     return [bit.get(v, 0) for v in values]
 
 
-def best_fit(docs: DataFrame, capacity: int = 2048) -> DataFrame:
+def best_fit(docs: DataFrame, capacity: int = 2048, rows: int | None = None) -> DataFrame:
     """(doc_id, piece, start, n_tokens, bin_id, bin_offset) for ``docs`` (doc_id, source, cluster, size).
 
     No bin holds two pieces of one source or of one cluster; a null source or cluster conflicts with nothing.
     A document larger than ``capacity`` is cut into full pieces, each a bin of its own, and one rest, which is
     packed as any other document; nothing is dropped. A size below 1 or null makes no piece. Ties go to the
-    smaller doc_id. Bins never mix shards; bin_id is unique over all.
+    smaller doc_id. Bins never mix shards; bin_id is unique over all. ``rows`` is about how many rows there are, where
+    counting ``docs`` would be dear.
     """
-    rows = docs.select("doc_id", "source", "cluster", F.col("size").cast("long").alias("size")).where("size >= 1")
-    shards = max(1, math.ceil(docs.count() / SHARD))
+    sized = docs.select("doc_id", "source", "cluster", F.col("size").cast("long").alias("size")).where("size >= 1")
+    shards = max(1, math.ceil((docs.count() if rows is None else rows) / SHARD))
 
     def packed(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -91,7 +92,7 @@ def best_fit(docs: DataFrame, capacity: int = 2048) -> DataFrame:
         columns["bin_id"] = [(shard << 32) + b for b in columns["bin_id"]]
         return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)))
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(packed, "doc_id long, piece long, start long, n_tokens long, bin_id long, bin_offset long")
 
 

@@ -41,7 +41,8 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit(measured(_table(spark, sf_dir, "documents"), TOKENIZER), capacity=2048)
+    docs = _table(spark, sf_dir, "documents")
+    return best_fit(measured(docs, TOKENIZER), capacity=2048, rows=docs.count())
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
