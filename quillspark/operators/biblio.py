@@ -38,9 +38,9 @@ def title_edges(records: DataFrame, distance: int = 6) -> DataFrame:
     loose = records.where("doi IS NULL AND arxiv_id IS NULL").select(F.col("rec_id").alias("doc_id"), F.col("title").alias("text"))
     prints = simhash(loose).where("has_features")
     heads = prints.groupBy("simhash").agg(F.min("doc_id").alias("head"))
-    same = prints.join(heads, "simhash").where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
+    same = prints.join(heads.hint("merge"), "simhash").where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     near = hashes_within(heads.select("simhash"), distance)
-    ends = near.join(heads.select(F.col("simhash").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("simhash").alias("b"), F.col("head").alias("y")), "b")
+    ends = near.join(heads.select(F.col("simhash").alias("a"), F.col("head").alias("x")).hint("merge"), "a").join(heads.select(F.col("simhash").alias("b"), F.col("head").alias("y")).hint("merge"), "b")
     return same.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
@@ -94,9 +94,8 @@ def source_status(log: DataFrame, sources: list[str]) -> DataFrame:
 def abstract(index: Column) -> Column:
     """Text from a map of words to positions 0 to 4999; of words that claim a position the last one has it."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(F.filter(e["value"], lambda p: (p >= 0) & (p < 5000)), lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
-    ordered = F.array_sort(placed)
-    last = F.filter(ordered, lambda x, k: (k == F.size(ordered) - 1) | (F.get(ordered, k + 1)["p"] != x["p"]))
-    return F.array_join(F.transform(last, lambda x: x["w"]), " ")
+    last = lambda ordered: F.filter(ordered, lambda x, k: (k == F.size(ordered) - 1) | (F.get(ordered, k + 1)["p"] != x["p"]))
+    return F.array_join(F.transform(tx.let(F.array_sort(placed), last), lambda x: x["w"]), " ")
 
 
 def atom_records(feeds: DataFrame) -> DataFrame:

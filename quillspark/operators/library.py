@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 # --- filters
 
 
@@ -48,6 +50,16 @@ def shelf(papers: DataFrame, by: str = "opened") -> DataFrame:
     return papers.orderBy(F.col("pinned_at").desc_nulls_last(), *key, last.desc(), "id")
 
 
+def placed(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Rows of a sorted table with their place from 1 on: places inside partitions and the sizes of the partitions before, so no task sees all rows."""
+    kept = checkpointed(rows.withColumn("_at", F.monotonically_increasing_id()))  # partition and row, as they were sorted
+    part = F.shiftright("_at", 33)
+    sizes = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each partition
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.withColumn("_part", part).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + inside + 1).alias(name))
+
+
 def top_by(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import names as nm
 from ..functions import text as tx
 
@@ -16,17 +17,20 @@ GRAPH_PAPER = (
     "paperId string, title string, year int, abstract string, citationCount long, authors array<struct<name: string>>, "
     "externalIds struct<DOI: string, ArXiv: string>, openAccessPdf struct<url: string>"
 )
-# Fixed value: hosts that answer programs with a page instead of the file.
-BLOCKED_HOSTS = r"(?i)^https://([^/]+\.)?(ncbi\.nlm\.nih\.gov|europepmc\.org|preprints\.org|researchgate\.net|ssrn\.com|academia\.edu)/"
-ARXIV_COPY = r"(?i)arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})"
 
 
 def downloadable(locations: Column) -> tuple[Column, Column]:
-    """(pdf_url, arxiv_id) of the copy to fetch: an arXiv one, else the first https one of an open repository."""
-    ids = F.transform(locations, lambda x: F.regexp_extract(F.concat_ws(" ", F.coalesce(x["landing_page_url"], F.lit("")), F.coalesce(x["pdf_url"], F.lit(""))), ARXIV_COPY, 1))
-    arxiv = F.get(F.filter(ids, lambda i: i != ""), F.lit(0))
-    fit = F.filter(locations, lambda x: (x["source"]["type"] == "repository") & x["pdf_url"].rlike("(?i)^https://") & ~x["pdf_url"].rlike(BLOCKED_HOSTS))
-    return F.coalesce(F.concat(F.lit("https://arxiv.org/pdf/"), arxiv), F.get(fit, F.lit(0))["pdf_url"]), arxiv
+    """(pdf_url, arxiv_id) of the copy to fetch: the best of all locations, arXiv copies before open repositories, then in their order."""
+
+    def ranked(x: Column, i: Column) -> Column:
+        arxiv = F.nullif(F.regexp_extract(F.concat_ws(" ", x["landing_page_url"], x["pdf_url"]), fixed.ARXIV_COPY, 1), F.lit(""))
+        open_ = (x["source"]["type"] == "repository") & F.startswith(F.lower(x["pdf_url"]), F.lit("https://")) & ~x["pdf_url"].rlike(fixed.BLOCKED_HOSTS)
+        rank = F.when(arxiv.isNotNull(), 0).when(open_, 1)
+        url = F.coalesce(F.concat(F.lit("https://arxiv.org/pdf/"), arxiv), x["pdf_url"])
+        return F.when(rank.isNotNull(), F.struct(rank.alias("rank"), i.alias("i"), url.alias("url"), arxiv.alias("arxiv")))
+
+    best = F.array_min(F.transform(locations, ranked))
+    return best["url"], best["arxiv"]
 
 
 def open_graph_records(works: DataFrame, keep: list[str]) -> DataFrame:

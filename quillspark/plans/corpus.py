@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as tx
 from ..operators import fingerprint as fp
 from ..operators import library as lib
@@ -36,7 +37,7 @@ def _(t):
 
 def _latin_sql() -> str:
     parts = []
-    for lang, words in tx.FUNCTION_WORDS.items():
+    for lang, words in fixed.FUNCTION_WORDS.items():
         said = ", ".join(f"'{w}'" for w in words.split())
         parts.append(f"len(list_filter(w, lambda x: x IN ({said}))) AS {lang}")
     return rf"""
@@ -55,7 +56,14 @@ def _(t):
     return t("documents").select("doc_id", tx.cjk_dominant(F.col("text")).alias("cjk"))
 
 
-@query("txt12_reference_entry")
+_ENTRY = rf"""
+SELECT block_id, length(x) <= {fixed.ENTRY_LONGEST} AND regexp_matches(x, '{fixed.ENTRY_YEAR}') AND (
+  (regexp_matches(x, '{fixed.ENTRY_NUMBER}') AND regexp_matches(x, '{fixed.ENTRY_NAMES}'))
+  OR (len(w) >= 2 AND len(list_filter(w, lambda y: regexp_matches(y, '^[A-Z]'))) >= {fixed.ENTRY_CAPITALS} * len(w) AND regexp_matches(x, '{fixed.ENTRY_VENUE}'))) AS entry
+FROM (SELECT block_id, trim(text) AS x, list_filter(string_split_regex(string_split_regex(trim(text), '\.\s+')[1], '\s+'), lambda y: y <> '') AS w FROM f_blocks)"""
+
+
+@query("txt12_reference_entry", _ENTRY)
 def _(t):
     return t("f_blocks").select("block_id", tx.reference_entry(F.col("text")).alias("entry"))
 
@@ -70,13 +78,19 @@ def _(t):
     return t("documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("txt16_human_tokens", "SELECT event_id, CASE WHEN input_tokens >= 1000 THEN concat(format('{:.1f}', input_tokens / 1000.0::DOUBLE), 'k') ELSE CAST(input_tokens AS VARCHAR) END AS shown FROM f_usage WHERE input_tokens < 1000000 AND input_tokens % 100 <> 50")
+@query("txt16_human_tokens", "SELECT event_id, CASE WHEN input_tokens >= 1000000 THEN concat((input_tokens + 50000) // 1000000, '.', (input_tokens + 50000) // 100000 % 10, 'M') WHEN input_tokens >= 1000 THEN concat((input_tokens + 50) // 1000, '.', (input_tokens + 50) // 100 % 10, 'k') ELSE CAST(input_tokens AS VARCHAR) END AS shown FROM f_usage")
 def _(t):
-    u = t("f_usage").where("input_tokens < 1000000 AND input_tokens % 100 <> 50")
-    return u.select("event_id", tx.human_tokens(F.col("input_tokens")).alias("shown"))
+    return t("f_usage").select("event_id", tx.human_tokens(F.col("input_tokens")).alias("shown"))
+
 
+_FRAGMENT = rf"""
+SELECT block_id, n > 0 AND (n <= {fixed.FORMULA_TINY}
+  OR (n <= {fixed.FORMULA_SHORT} AND len(regexp_extract_all(x, '[a-zA-Z]{{4,}}')) <= {fixed.FORMULA_WORDS} AND regexp_matches(x, '{fixed.FORMULA_SIGNS}'))
+  OR (n <= {fixed.FORMULA_LONG} AND len(regexp_extract_all(x, '\b[A-Z]\b')) >= {fixed.FORMULA_CAPITALS} AND regexp_matches(x, '{fixed.FORMULA_RELATION}'))) AS fragment
+FROM (SELECT block_id, trim(text) AS x, length(trim(text)) AS n FROM f_blocks)"""
 
-@query("txt17_formula_fragment", r"SELECT block_id, length(trim(text)) > 0 AND (length(trim(text)) <= 8 OR (length(trim(text)) <= 90 AND len(regexp_extract_all(trim(text), '[a-zA-Z]{4,}')) <= 2 AND regexp_matches(trim(text), '[∈×∑∏√≤≥±≈≠→←∇∂∞∝⊙⊗⊕·∀∃∫αβγδεζηθικλμνξπρστυφχψωΓΔΘΛΞΠΣΦΨΩ]|\^|_')) OR (length(trim(text)) <= 160 AND len(regexp_extract_all(trim(text), '\b[A-Z]\b')) >= 3 AND regexp_matches(trim(text), '[=∈]'))) AS fragment FROM f_blocks")
+
+@query("txt17_formula_fragment", _FRAGMENT)
 def _(t):
     return t("f_blocks").select("block_id", tx.formula_fragment(F.col("text")).alias("fragment"))
 
@@ -86,12 +100,18 @@ def _(t):
     return t("f_lines").select("doc_id", "block_order", tx.numeric_noise(F.col("line")).alias("noise"))
 
 
-@query("txt20_broad_question", "SELECT conv_id, turn, regexp_matches(text, '(?i)contribution|novel|innovation|summar|overview|main idea|key idea|takeaway|what (?:is|does) (?:this|the) paper|about\\?') AS broad FROM conversations")
+@query("txt20_broad_question", f"SELECT conv_id, turn, regexp_matches(text, '(?i){fixed.BROAD_HAN}|{fixed.BROAD_LATIN}') AS broad FROM conversations")
 def _(t):
     return t("conversations").select("conv_id", "turn", tx.broad_question(F.col("text")).alias("broad"))
 
 
-@query("txt22_open_ends")
+_OPEN = rf"""
+SELECT block_id, length(e) >= {fixed.OPEN_LENGTH} AND len(regexp_extract_all(e, '\b[a-z]{{3,}}\b')) >= {fixed.OPEN_WORDS} AND NOT regexp_matches(e, '{fixed.LINK_AT_END}') AND NOT contains('{fixed.CLOSING_SIGNS}', right(e, 1)) AS ends,
+  regexp_matches(b, '^(?:{fixed.GOES_ON})') AND NOT regexp_matches(b, '^(?:{fixed.LINK_AT_START}|{fixed.LIST_LABEL})') AS starts
+FROM (SELECT block_id, regexp_replace(text, '[\s*^~]+$', '') AS e, regexp_replace(text, '^[\s*]+', '') AS b FROM f_blocks)"""
+
+
+@query("txt22_open_ends", _OPEN)
 def _(t):
     return t("f_blocks").select("block_id", tx.ends_mid_sentence(F.col("text")).alias("ends"), tx.starts_mid_sentence(F.col("text")).alias("starts"))
 

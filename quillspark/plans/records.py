@@ -16,10 +16,11 @@ def _(t):
     return t("f_papers").orderBy(F.coalesce("last_opened_at", "added_at").desc(), "id").select("id", F.coalesce("last_opened_at", "added_at").alias("used_at"))
 
 
-@query("src3_atom_records", "SELECT doc_id, concat('24', lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0'), '.', lpad(CAST(doc_id % 211 AS VARCHAR), 5, '0')) AS arxiv_id, trim(regexp_replace(substr(first_line, 1, 80), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS title FROM f_first WHERE NOT regexp_matches(substr(first_line, 1, 80), '[<&]')")
+@query("src3_atom_records", "SELECT doc_id, concat('24', lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0'), '.', lpad(CAST(doc_id % 211 AS VARCHAR), 5, '0')) AS arxiv_id, trim(regexp_replace(first_line, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS title FROM f_first")
 def _(t):
-    entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/24"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad((F.col("doc_id") % 211).cast("string"), 5, "0"), F.lit("v1</id><title>"), F.substring("first_line", 1, 80), F.lit("</title></entry>"))
-    return bib.atom_records(t("f_first").where(~F.substring("first_line", 1, 80).rlike("[<&]")).select("doc_id", entry.alias("xml")))
+    title = F.replace(F.replace("first_line", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/24"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad((F.col("doc_id") % 211).cast("string"), 5, "0"), F.lit("v1</id><title>"), title, F.lit("</title></entry>"))
+    return bib.atom_records(t("f_first").select("doc_id", entry.alias("xml")))
 
 
 @query("src4_page_metadata", "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages")
@@ -27,11 +28,12 @@ def _(t):
     return t("pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
 
 
-@query("src7_inverted_abstracts", "SELECT doc_id, array_to_string(list_slice(w, 1, 30), ' ') AS abstract FROM (SELECT doc_id, list_filter(string_split_regex(first_line, '[ \\t]+'), lambda x: x <> '') AS w FROM f_first)")
+@query("src7_inverted_abstracts", "SELECT doc_id, array_to_string(list_slice(w, 1, 5000), ' ') AS abstract FROM (SELECT doc_id, list_filter(string_split_regex(first_line, '[ \\t]+'), lambda x: x <> '') AS w FROM f_first)")
 def _(t):
-    words = t("f_first").select("doc_id", F.slice(F.filter(F.split("first_line", r"[ \t]+"), lambda w: w != ""), 1, 30).alias("w"))
-    index = F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x, F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i) == x))))
-    return words.select("doc_id", F.when(F.size("w") > 0, bib.abstract(index)).otherwise("").alias("abstract"))
+    words = t("f_first").select("doc_id", F.posexplode_outer(F.filter(F.split("first_line", r"[ \t]+"), lambda w: w != "")).alias("pos", "word"))
+    entries = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
+    index = entries.groupBy("doc_id").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("word", "at")), lambda e: e["word"].isNotNull())).alias("index"))
+    return index.select("doc_id", bib.abstract(F.col("index")).alias("abstract"))
 
 
 @query("src16_upsert_papers", "SELECT o.id, CASE WHEN o.meta_edited THEN o.title WHEN o.doc_id % 3 = 0 THEN concat(o.title, ' II') ELSE o.title END AS title, o.year FROM f_papers o")
@@ -97,13 +99,9 @@ def _(t):
     return lib.tag_counts(t("f_papers"))
 
 
-@query("top1_shelf", "SELECT id, CAST(row_number() OVER (ORDER BY pinned_at DESC NULLS LAST, year DESC NULLS LAST, coalesce(last_opened_at, added_at) DESC, id) AS BIGINT) AS place FROM f_papers QUALIFY place <= 100")
+@query("top1_shelf", "SELECT id, row_number() OVER (ORDER BY pinned_at DESC NULLS LAST, year DESC NULLS LAST, coalesce(last_opened_at, added_at) DESC, id) AS place FROM f_papers")
 def _(t):
-    from pyspark.sql import Window
-
-    top = lib.shelf(t("f_papers"), "year").limit(100)  # the shelf's first screen
-    order = Window.orderBy(F.col("pinned_at").desc_nulls_last(), F.col("year").desc_nulls_last(), F.coalesce("last_opened_at", "added_at").desc(), "id")
-    return top.select("id", F.row_number().over(order).cast("long").alias("place"))
+    return lib.placed(lib.shelf(t("f_papers"), "year").select("id"))
 
 
 @query("top2_continue_reading", "SELECT id, progress FROM f_papers WHERE progress > 0 AND progress < 100 ORDER BY coalesce(last_opened_at, added_at) DESC, id LIMIT 3")
@@ -154,12 +152,12 @@ def _(t):
     return bib.linked(t("f_bib"))
 
 
-@query("bib6_agg11_merged", "SELECT doi AS cluster_doi, min_by(title, rk * 1000000000 + rec_id) AS title, max(citations) AS citations, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM (SELECT *, CASE source WHEN 'arXiv' THEN 0 WHEN 'S2' THEN 1 ELSE 2 END AS rk FROM f_bib WHERE doi IS NOT NULL) GROUP BY doi")
+@query("bib6_agg11_merged", "SELECT coalesce(doi, CAST(rec_id AS VARCHAR)) AS of, min_by(title, rk * 1000000000 + rec_id) AS title, max(citations) AS citations, string_agg(DISTINCT source, '+' ORDER BY source) AS sources FROM (SELECT *, CASE source WHEN 'arXiv' THEN 0 WHEN 'S2' THEN 1 ELSE 2 END AS rk FROM f_bib) GROUP BY 1")
 def _(t):
-    r = t("f_bib").where("doi IS NOT NULL")
-    heads = r.groupBy("doi").agg(F.min("rec_id").alias("cluster"))
-    m = bib.merged(r, r.join(heads.hint("merge"), "doi").select("rec_id", "cluster"))
-    return m.select(F.col("doi").alias("cluster_doi"), "title", "citations", F.array_join(F.array_sort(F.split("sources", r"\+")), "+").alias("sources"))
+    r = t("f_bib").withColumn("of", F.coalesce("doi", F.col("rec_id").cast("string")))
+    heads = r.groupBy("of").agg(F.min("rec_id").alias("cluster"))
+    m = bib.merged(r, r.join(heads.hint("merge"), "of").select("rec_id", "cluster"))
+    return m.join(heads.hint("merge"), "cluster").select("of", "title", "citations", F.array_join(F.array_sort(F.split("sources", r"\+")), "+").alias("sources"))
 
 
 @query("bib7_explained", "SELECT rec_id, array_to_string(list_filter(['with', 'eron', 'ther'], lambda w: w <> 'with' AND contains(lower(title), w)), ',') AS hits, CASE WHEN len(list_filter(['eron', 'ther'], lambda w: contains(lower(title), w))) > 0 THEN 'hits' WHEN citations > 100 THEN 'cited' ELSE 'related' END AS why FROM f_bib")
