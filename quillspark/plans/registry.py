@@ -56,6 +56,11 @@ SELECT sha1(CAST(doc_id AS {S})) AS id, doc_id, substr(first_line, 1, 200) AS ti
   1700000000000 + doc_id AS added_at, CASE WHEN doc_id % 4 <> 0 THEN 1710000000000 + doc_id * 7 % 1000 END AS last_opened_at,
   CASE WHEN doc_id % 50 = 0 THEN 1720000000000 + doc_id END AS pinned_at, doc_id % 10 = 0 AS meta_edited,
   CASE WHEN doc_id % 6 <> 0 THEN CAST(2000 + doc_id % 25 AS INT) END AS year, concat('t', CAST(doc_id % 7 AS {S})) AS tag1, concat('t', CAST(doc_id % 5 AS {S})) AS tag2 FROM {f_first}""",
+    # lines at places on pages: headings are larger, every sixth line is set off, every ninth is out of order
+    "f_placed": """
+SELECT doc_id, page, block_order, text, kind = 'heading' AS heading, CAST(CASE WHEN kind = 'heading' THEN 14.2 ELSE 9.9 END AS DOUBLE) AS size,
+  CAST(50 + doc_id % 7 AS BIGINT) AS x, CAST(800 - 12 * (block_order % 10) - CASE WHEN block_order % 10 >= 6 THEN 20 ELSE 0 END + CASE WHEN block_order % 9 = 8 THEN 40 ELSE 0 END AS BIGINT) AS y,
+  CAST(5 * length(text) AS BIGINT) AS width, CAST(10 AS BIGINT) AS height FROM {f_blocks}""",
     "f_search_log": "SELECT event_id, ts, user_id % 20 AS query_norm, event_type AS source, CASE WHEN event_id % 9 = 0 THEN 429 ELSE 200 END AS status FROM {events}",
 }
 
