@@ -35,15 +35,15 @@ def _(t):
     return t("documents").select("doc_id", c["latin"].alias("latin"), c["han"].alias("han"))
 
 
-def _latin_sql() -> str:
+def _latin_sql(table: str = "documents", key: str = "doc_id") -> str:
     parts = []
     for lang, words in fixed.FUNCTION_WORDS.items():
         said = ", ".join(f"'{w}'" for w in words.split())
         parts.append(f"len(list_filter(w, lambda x: x IN ({said}))) AS {lang}")
     return rf"""
-SELECT doc_id, CASE WHEN n < 6 OR greatest(d, f, e) = 0 THEN 'en' WHEN d = greatest(d, f, e) THEN 'de' WHEN f = greatest(d, f, e) THEN 'fr' ELSE 'es' END AS told FROM (
-SELECT doc_id, n, CASE WHEN de >= 2 AND de / n >= 0.04 THEN de ELSE 0 END AS d, CASE WHEN fr >= 2 AND fr / n >= 0.04 THEN fr ELSE 0 END AS f, CASE WHEN es >= 2 AND es / n >= 0.04 THEN es ELSE 0 END AS e
-FROM (SELECT doc_id, len(w) AS n, {", ".join(parts)} FROM (SELECT doc_id, list_filter(string_split_regex(lower(regexp_replace(text, '(?i)\bet[ \t\n\r]+al\b\.?', ' ', 'g')), '[^\p{{L}}]+'), lambda x: x <> '') AS w FROM documents)))"""
+SELECT {key}, CASE WHEN n < 6 OR greatest(d, f, e) = 0 THEN 'en' WHEN d = greatest(d, f, e) THEN 'de' WHEN f = greatest(d, f, e) THEN 'fr' ELSE 'es' END AS told FROM (
+SELECT {key}, n, CASE WHEN de >= 2 AND de / n >= 0.04 THEN de ELSE 0 END AS d, CASE WHEN fr >= 2 AND fr / n >= 0.04 THEN fr ELSE 0 END AS f, CASE WHEN es >= 2 AND es / n >= 0.04 THEN es ELSE 0 END AS e
+FROM (SELECT {key}, len(w) AS n, {", ".join(parts)} FROM (SELECT {key}, list_filter(string_split_regex(lower(regexp_replace(text, '(?i)\bet[ \t\n\r]+al\b\.?', ' ', 'g')), '[^\p{{L}}]+'), lambda x: x <> '') AS w FROM {table})))"""
 
 
 @query("txt9_language", _latin_sql())
@@ -68,7 +68,7 @@ def _(t):
     return t("f_blocks").select("block_id", tx.reference_entry(F.col("text")).alias("entry"))
 
 
-@query("txt13_skip_translation")
+@query("txt13_skip_translation", f"SELECT block_id, NOT regexp_matches(text, '[A-Za-z]{{2,}}') OR told = 'de' OR entry AS skip FROM f_blocks JOIN ({_latin_sql('f_blocks', 'block_id')}) USING (block_id) JOIN ({_ENTRY}) USING (block_id)")
 def _(t):
     return t("f_blocks").select("block_id", tx.skip_translation(F.col("text"), "de").alias("skip"))
 
@@ -131,7 +131,7 @@ def _(t):
     return t("events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("stamp"))
 
 
-@query("js1_tolerant_json")
+@query("js1_tolerant_json", "SELECT event_id, CASE WHEN json_valid(props) THEN CAST(len(json_keys(props)) AS BIGINT) ELSE 0 END AS n_keys FROM events")
 def _(t):
     return t("events").select("event_id", F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("m")).select("event_id", F.size("m").cast("long").alias("n_keys"))
 
