@@ -18,12 +18,23 @@ STOP_WORDS = (
 )
 
 
+# The longest title, abstract and name, the most names, and the years (both excluded) between which one is kept.
+LONGEST_TITLE, LONGEST_ABSTRACT, LONGEST_NAME, MOST_AUTHORS, YEARS = 300, 4000, 120, 60, (1500, 2200)
+
+
 def sanitized(records: DataFrame) -> DataFrame:
-    """Fields clamped; records without title and ids are dropped; implausible years become null."""
-    title = tx.clamp(F.coalesce("title", F.lit("")), 300)
-    year = F.when((F.col("year") > 1500) & (F.col("year") < 2200), F.col("year"))
-    known = (title != "") | F.col("doi").isNotNull() | F.col("arxiv_id").isNotNull()
-    return records.where(known).withColumns({"title": title, "year": year})
+    """Fields cut to size; records without title and ids are dropped; implausible years become null, as do blank abstracts.
+
+    ``abstract``, ``authors`` (an array, whose blank names go) and ``pdf_url`` are looked at where there are any.
+    """
+    made = {"title": tx.clamp(F.coalesce("title", F.lit("")), LONGEST_TITLE), "year": F.when((F.col("year") > YEARS[0]) & (F.col("year") < YEARS[1]), F.col("year"))}
+    if "abstract" in records.columns:
+        made["abstract"] = F.nullif(tx.clamp(F.col("abstract"), LONGEST_ABSTRACT), F.lit(""))
+    if "authors" in records.columns:
+        names = F.transform(F.slice(F.coalesce("authors", F.array().cast("array<string>")), 1, MOST_AUTHORS), lambda n: tx.clamp(n, LONGEST_NAME))
+        made["authors"] = F.filter(names, lambda n: n != "")
+    ids = [c for c in ("doi", "arxiv_id", "pdf_url") if c in records.columns]
+    return records.withColumns(made).where(F.concat_ws("", "title", *ids) != "")
 
 
 def key_edges(records: DataFrame, key: Column) -> DataFrame:
@@ -61,11 +72,15 @@ def merged(records: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def explained(records: DataFrame, query: str) -> DataFrame:
-    """why: up to four query words that the title has; else cited, if over a hundred times; else related."""
-    said = F.regexp_extract_all(F.lower(F.lit(query)), F.lit("[a-z0-9]{3,}"), 0)
-    terms = F.filter(said, lambda w: ~w.isin(*STOP_WORDS.split()) & ~w.rlike(r"^\d+$"))
-    hits = F.slice(F.array_distinct(F.filter(terms, lambda w: F.contains(F.lower(F.col("title")), w))), 1, 4)
-    return records.withColumn("hits", hits).withColumn("why", F.when(F.size("hits") > 0, "hits").when(F.col("citations") > 100, "cited").otherwise("related"))
+    """why: the id that the query names; else up to four query words (or runs of Han) in title or abstract; else cited, if over a hundred times; else related."""
+    asked = F.lit(query)
+    words = F.filter(F.regexp_extract_all(F.lower(asked), F.lit("[a-z0-9]{3,}"), 0), lambda w: ~w.isin(*STOP_WORDS.split()) & ~w.rlike(r"^\d+$"))
+    terms = F.array_distinct(F.concat(words, F.regexp_extract_all(asked, F.lit(r"[\x{4e00}-\x{9fff}]{2,}"), 0)))
+    among = F.lower(F.concat_ws(" ", *[c for c in ("title", "abstract") if c in records.columns]))
+    exact = F.coalesce(F.col("arxiv_id") == tx.arxiv_id(asked), F.lit(False))
+    hits = F.when(exact, F.array().cast("array<string>")).otherwise(tx.let(among, lambda a: F.slice(F.filter(terms, lambda w: F.contains(a, w)), 1, 4)))
+    told = records.withColumns({"exact": exact, "hits": hits})
+    return told.withColumn("why", F.when(F.col("exact"), "id").when(F.size("hits") > 0, "hits").when(F.col("citations") > 100, "cited").otherwise("related")).drop("exact")
 
 
 def in_library(records: DataFrame, papers: DataFrame) -> DataFrame:

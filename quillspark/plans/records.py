@@ -136,9 +136,20 @@ def _(t):
     return t("f_bib").select("rec_id", tx.title_key(F.col("title")).alias("key"))
 
 
-@query("bib1_sanitized", r"SELECT rec_id, substr(trim(regexp_replace(coalesce(title, ''), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 300) AS title, year FROM f_bib")
+_FULL = "SELECT r.rec_id, r.title, r.year, r.doi, r.arxiv_id, r.citations, d.text AS abstract FROM f_bib r JOIN documents d ON d.doc_id = r.rec_id"
+
+
+def _full(t):
+    """Records whose abstract is the document."""
+    return t("f_bib").join(t("documents").select(F.col("doc_id").alias("rec_id"), F.col("text").alias("abstract")).hint("merge"), "rec_id")
+
+
+@query("bib1_sanitized", rf"""SELECT rec_id, substr(trim(regexp_replace(coalesce(title, ''), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 300) AS title, CASE WHEN year * (rec_id % 2 + 1) < 2200 THEN year * (rec_id % 2 + 1) END AS year,
+  nullif(substr(trim(regexp_replace(abstract, '[ \t\n\r\f\v]+', ' ', 'g')), 1, 4000), '') AS abstract, CASE WHEN rec_id % 3 = 0 THEN '' ELSE concat(array_to_string(list_transform(range(1, CAST(least(rec_id % 90 + 1, 60) AS INT) + 1), lambda i: concat('A. ', CAST(i AS VARCHAR))), ',')) END AS authors FROM ({_FULL})""")
 def _(t):
-    return bib.sanitized(t("f_bib")).select("rec_id", "title", "year")
+    named = F.when(F.col("rec_id") % 3 != 0, F.transform(F.sequence(F.lit(1), (F.col("rec_id") % 90 + 1).cast("int")), lambda i: F.concat(F.lit(" A.\n "), i.cast("string"))))
+    made = _full(t).withColumns({"authors": named, "year": (F.col("year") * (F.col("rec_id") % 2 + 1)).cast("long")})
+    return bib.sanitized(made).select("rec_id", "title", "year", "abstract", F.array_join("authors", ",").alias("authors"))
 
 
 @query("bib2_bib3_edges", "SELECT a, b FROM (SELECT min(rec_id) OVER (PARTITION BY doi) AS a, rec_id AS b FROM f_bib WHERE doi IS NOT NULL UNION SELECT min(rec_id) OVER (PARTITION BY arxiv_id), rec_id FROM f_bib WHERE arxiv_id IS NOT NULL) WHERE a <> b")
@@ -160,9 +171,10 @@ def _(t):
     return m.join(heads.hint("merge"), "cluster").select("of", "title", "citations", F.array_join(F.array_sort(F.split("sources", r"\+")), "+").alias("sources"))
 
 
-@query("bib7_explained", "SELECT rec_id, array_to_string(list_filter(['with', 'eron', 'ther'], lambda w: w <> 'with' AND contains(lower(title), w)), ',') AS hits, CASE WHEN len(list_filter(['eron', 'ther'], lambda w: contains(lower(title), w))) > 0 THEN 'hits' WHEN citations > 100 THEN 'cited' ELSE 'related' END AS why FROM f_bib")
+@query("bib7_explained", f"""SELECT rec_id, CASE WHEN exact THEN '' ELSE array_to_string(hits, ',') END AS hits, CASE WHEN exact THEN 'id' WHEN len(hits) > 0 THEN 'hits' WHEN citations > 100 THEN 'cited' ELSE 'related' END AS why
+  FROM (SELECT rec_id, citations, coalesce(arxiv_id = '2402.00001', false) AS exact, list_filter(['eron', 'ther', 'tur'], lambda w: contains(lower(concat(title, ' ', coalesce(abstract, ''))), w)) AS hits FROM ({_FULL}))""")
 def _(t):
-    return bib.explained(t("f_bib"), "with Eron ther 2024").select("rec_id", F.array_join("hits", ",").alias("hits"), "why")
+    return bib.explained(_full(t), "with Eron ther tur 2402.00001").select("rec_id", F.array_join("hits", ",").alias("hits"), "why")
 
 
 @query("bib8_source_status", "SELECT q.query_norm, s.source, coalesce(n, 0) AS n, CAST(coalesce(failed, 0) AS BIGINT) AS failed, n IS NULL AS pending FROM (SELECT DISTINCT query_norm FROM f_search_log) q CROSS JOIN (VALUES ('view'), ('click'), ('nowhere')) s(source) LEFT JOIN (SELECT query_norm, source, count(*) AS n, sum(CASE WHEN status = 429 THEN 1 ELSE 0 END) AS failed FROM f_search_log GROUP BY ALL) c ON c.query_norm = q.query_norm AND c.source = s.source")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -70,22 +72,35 @@ def throttled(events: DataFrame, key: str, millis: int = 600) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(fold, "key long, event_id long, at long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _repeats(rows: DataFrame, keys: list[str], millis: int) -> DataFrame:
+    """Rows (keys, event_id, at) with ``repeat``: less than ``millis`` after the key's last row that was no repeat; without a time it is none.
+
+    A window brings a key's rows in order of time; the fold keeps one number of the key it is in, so a key of any size streams through.
+    """
+    names = [*rows.columns, "repeat"]
+    ordered = rows.withColumn("first", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "event_id")) == 1)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            told = []
+            for at, first in zip(batch.column("at").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                last = None if first else last
+                repeat = at is not None and last is not None and at - last < millis
+                last = last if repeat or at is None else at
+                told.append(repeat)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.bool_())], names=names)
+
+    return ordered.mapInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("repeat", T.BooleanType())]))
+
+
 def throttled_batch(events: DataFrame, key: str, millis: int = 600) -> DataFrame:
-    """The same on a table, as a fold over each key's ordered times."""
-    listed = events.groupBy(F.col(key).cast("long").alias("key")).agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id"))).alias("xs"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<at:bigint,event_id:bigint>>").alias("out"))
-    step = lambda a, x: F.when(a["last"].isNull() | (x["at"] - a["last"] >= millis), F.struct(x["at"].alias("last"), F.concat(a["out"], F.array(x)).alias("out"))).otherwise(a)
-    return listed.select("key", F.explode(F.aggregate("xs", start, step)["out"]).alias("e")).select("key", "e.event_id", "e.at")
+    """The same on a table."""
+    rows = events.select(F.col(key).cast("long").alias("key"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return _repeats(rows, ["key"], millis).where("NOT repeat").drop("repeat")
 
 
 def cached(log: DataFrame, hours: int = 24) -> DataFrame:
     """(event_id, hit): a repeat of (query, source) within the lifetime of the last store is a hit; a miss stores anew."""
-    millis = hours * 3_600_000
-    listed = log.groupBy("query_norm", "source").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_id"))).alias("xs"))
-    start = F.struct(F.lit(None).cast("long").alias("stored"), F.array().cast("array<struct<event_id:bigint,hit:boolean>>").alias("out"))
-
-    def step(a, x):
-        hit = F.coalesce(x["at"] - a["stored"] < millis, F.lit(False))
-        return F.struct(F.when(hit, a["stored"]).otherwise(x["at"]).alias("stored"), F.concat(a["out"], F.array(F.struct(x["event_id"].alias("event_id"), hit.alias("hit")))).alias("out"))
-
-    return listed.select(F.explode(F.aggregate("xs", start, step)["out"]).alias("e")).select("e.event_id", "e.hit")
+    rows = log.select("query_norm", "source", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return _repeats(rows, ["query_norm", "source"], hours * 3_600_000).select("event_id", F.col("repeat").alias("hit"))
