@@ -93,3 +93,36 @@ def failures(translations: DataFrame, blocks: DataFrame) -> DataFrame:
     both = translations.join(blocks.select("block_id", F.col("text").alias("source_text")).hint("merge"), "block_id", "left")
     reason = F.when(F.trim("text") == "", "empty").when(F.contains("text", F.lit("think>")), "thinking").when(~F.coalesce(tx.preserves_inline(F.col("source_text"), F.col("text")), F.lit(True)), "inline")
     return both.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Languages in the order in which versions of the instructions are numbered.
+TARGETS = ("zh", "en", "ja", "ko", "de", "fr", "es")
+
+
+def version_key(base: Column, lang: Column) -> Column:
+    """The version of the instructions for a language: a thousand of numbers for each; an unknown language counts as the first."""
+    return base + 1000 * (F.greatest(F.array_position(F.array(*[F.lit(x) for x in TARGETS]), lang), F.lit(1)) - 1)
+
+
+def restored(text: Column, formulas: Column) -> Column:
+    """The text with its placeholders replaced by ``formulas`` (map of number and text); those that it does not know go."""
+    pieces = F.split(text, tx.PLACEHOLDER, -1)
+    values = F.transform(placeholder_numbers(text), lambda n: F.coalesce(F.try_element_at(formulas, n), F.lit("")))
+    return F.array_join(F.zip_with(pieces, values, lambda piece, v: F.concat(piece, F.coalesce(v, F.lit("")))), "")
+
+
+def batch_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, text) of answers (keys, text) whose parts begin with 【n】 at a line's start; blank parts give none, of equal numbers the last counts."""
+    return _parts(answers, keys, r"(?ms)^【(\d{1,9})】[ \t]*(.*?)(?=^【\d+】|\z)")
+
+
+def outline_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of lines "n) title" (or with another sign behind the number); lines of another form are left out."""
+    return _parts(answers, keys, r"(?m)^[^\S\n]*(\d{1,9})[^\S\n]*[)）.、．]([^\n]+)$")
+
+
+def _parts(answers: DataFrame, keys: list[str], pattern: str) -> DataFrame:
+    group = lambda g: F.regexp_extract_all("text", F.lit(pattern), g)
+    rows = answers.select(*keys, F.posexplode(F.arrays_zip(group(1).alias("n"), group(2).alias("text"))).alias("at", "part"))
+    said = rows.select(*keys, "at", F.col("part.n").cast("long").alias("n"), F.regexp_replace("part.text", r"\A\s+|\s+\z", "").alias("text")).where("text <> ''")
+    return said.groupBy(*keys, "n").agg(F.max_by("text", "at").alias("text"))

@@ -23,8 +23,9 @@ def price(model: Column, local: Column | None = None, prices: list[tuple] = PRIC
     return out
 
 
-def cost(usage: DataFrame) -> DataFrame:
-    p = price(F.col("model"))
+def cost(usage: DataFrame, local: Column | None = None, prices: list[tuple] = PRICES) -> DataFrame:
+    """Usage with ``usd``: null where no price is known, 0 where ``local`` says that the model runs here. ``prices`` may have rows of the caller's before these."""
+    p = price(F.col("model"), local, prices)
     return usage.withColumn("usd", (F.col("input_tokens") * p["in"] + F.col("output_tokens") * p["out"]) / 1_000_000)
 
 

@@ -16,10 +16,12 @@ TABLES = ("documents", "pages", "events", "conversations", "benchmark", "labels"
 _SPARK = {
     "f_lines": "SELECT doc_id, CAST(pos AS BIGINT) AS block_order, line FROM {documents} LATERAL VIEW posexplode(split(text, '\n')) t AS pos, line",
     "f_first": "SELECT doc_id, n_chars, split(text, '\n')[0] AS first_line FROM {documents}",
+    "f_words": "SELECT doc_id, w FROM (SELECT doc_id, explode(regexp_extract_all(text, '[a-z][a-z]+', 0)) AS w FROM {documents})",
 }
 _DUCK = {
     "f_lines": "SELECT doc_id, CAST(i-1 AS BIGINT) AS block_order, string_split(text, chr(10))[i] AS line FROM documents, UNNEST(range(1, len(string_split(text, chr(10)))+1)) u(i)",
     "f_first": "SELECT doc_id, n_chars, string_split(text, chr(10))[1] AS first_line FROM documents",
+    "f_words": "SELECT doc_id, unnest(regexp_extract_all(text, '[a-z][a-z]+')) AS w FROM documents",
 }
 _BOTH = {
     "f_blocks": """
@@ -61,6 +63,16 @@ SELECT sha1(CAST(doc_id AS {S})) AS id, doc_id, substr(first_line, 1, 200) AS ti
 SELECT doc_id, page, block_order, text, kind = 'heading' AS heading, CAST(CASE WHEN kind = 'heading' THEN 14.2 ELSE 9.9 END AS DOUBLE) AS size,
   CAST(50 + doc_id % 7 AS BIGINT) AS x, CAST(800 - 12 * (block_order % 10) - CASE WHEN block_order % 10 >= 6 THEN 20 ELSE 0 END + CASE WHEN block_order % 9 = 8 THEN 40 ELSE 0 END AS BIGINT) AS y,
   CAST(5 * length(text) AS BIGINT) AS width, CAST(10 AS BIGINT) AS height FROM {f_blocks}""",
+    # notes on paragraphs; their numbers have gaps
+    "f_notes": """
+SELECT paper_id, CAST(floor(block_order/4) AS BIGINT) + 1 AS n, block_id, block_order, CAST(0 AS BIGINT) AS char_start, CAST(length(text) AS BIGINT) AS char_end, substr(text, 1, 160) AS excerpt,
+  concat('2026-08-', lpad(CAST(block_order * 5 % 28 + 1 AS {S}), 2, '0'), ' 10:00') AS stamp, concat('On "', substr(text, 1, 20), '".') AS text, section AS title
+FROM {f_blocks} WHERE kind = 'para' AND block_order % 4 = 2""",
+    # a large dictionary: words of the documents, every seventh with a capital as well
+    "f_dictionary": """
+SELECT CASE WHEN rec % 7 = 0 THEN concat(upper(substr(w, 1, 1)), substr(w, 2)) ELSE w END AS word, CASE WHEN rec % 3 = 0 THEN w END AS phonetic, CASE WHEN rec % 11 = 0 THEN '' WHEN rec % 5 = 0 THEN concat(w, '的复数') ELSE concat('n. ', w) END AS translation,
+  CASE WHEN rec % 2 = 0 THEN 0 ELSE rec * 1000 END AS frq, CASE WHEN rec % 4 = 0 THEN rec END AS bnc, CAST(0 AS BIGINT) AS collins, rec % 9 AS oxford, '' AS tag, rec AS seq
+FROM (SELECT min(doc_id) AS rec, lower(w) AS w FROM {f_words} GROUP BY lower(w))""",
     "f_search_log": "SELECT event_id, ts, user_id % 20 AS query_norm, event_type AS source, CASE WHEN event_id % 9 = 0 THEN 429 ELSE 200 END AS status FROM {events}",
 }
 
