@@ -126,3 +126,22 @@ def _parts(answers: DataFrame, keys: list[str], pattern: str) -> DataFrame:
     rows = answers.select(*keys, F.posexplode(F.arrays_zip(group(1).alias("n"), group(2).alias("text"))).alias("at", "part"))
     said = rows.select(*keys, "at", F.col("part.n").cast("long").alias("n"), F.regexp_replace("part.text", r"\A\s+|\s+\z", "").alias("text")).where("text <> ''")
     return said.groupBy(*keys, "n").agg(F.max_by("text", "at").alias("text"))
+
+
+def repaired_marks(source: Column, translated: Column) -> Column:
+    """The translation with the source's script marks: of each as many as the source has, from the left; others lose their signs, missing ones come before the final stop."""
+    marks = lambda c: F.regexp_extract_all(c, F.lit(tx.SCRIPT_MARK), 0)
+    times = lambda among, m: F.size(F.filter(among, lambda x: x == m))
+
+    def made(pair: Column) -> Column:
+        want, got = pair["want"], pair["got"]
+        kept = F.transform(got, lambda m, i: F.when(times(F.slice(got, F.lit(1), i + 1), m) <= times(want, m), m).otherwise(F.substring(m, F.lit(2), F.char_length(m) - 2)))
+        text = F.array_join(F.zip_with(F.split(translated, tx.SCRIPT_MARK, -1), kept, lambda piece, m: F.concat(piece, F.coalesce(m, F.lit("")))), "")
+        missing = F.array_join(F.transform(F.array_distinct(want), lambda m: F.repeat(m, F.greatest(times(want, m) - times(got, m), F.lit(0)))), "")
+        return tx.let(F.struct(text.alias("text"), F.regexp_extract(text, r"[。．.！!？?]\s*\z", 0).alias("stop"), missing.alias("missing")), _before_stop)
+
+    return tx.let(F.struct(marks(source).alias("want"), marks(translated).alias("got")), made)
+
+
+def _before_stop(t: Column) -> Column:
+    return F.concat(F.substring(t["text"], F.lit(1), F.char_length(t["text"]) - F.char_length(t["stop"])), t["missing"], t["stop"])

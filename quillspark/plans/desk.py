@@ -8,6 +8,7 @@ from ..operators import dictionary as dic
 from ..operators import memory as tm
 from ..operators import notes as nt
 from ..operators import usage as use
+from ..streaming import answers as ans
 from .registry import query
 
 _ANCHOR = "to_json({'block_id': block_id, 'char_start': char_start, 'char_end': char_end, 'excerpt': excerpt})"
@@ -121,3 +122,29 @@ SELECT w AS term, word, phonetic, translation FROM placed JOIN kept USING (word)
 def _(t):
     ending = F.when(F.char_length("w") % 3 == 0, "s").when(F.char_length("w") % 3 == 1, "ing").otherwise("")
     return dic.looked_up(t("f_words").where("length(w) <= 20").select(F.concat("w", ending).alias("term")), dic.trimmed(t("f_dictionary")))
+
+
+@query("tm13_repaired_marks", "SELECT block_id, concat(text, ' ^2^ 9', '^2^~i~', '. ') AS text FROM f_translations")
+def _(t):
+    source = F.concat("source", F.lit(" ^2^ ~i~ ^2^"))
+    both = t("f_translations").select("block_id", F.concat("text", F.lit(" ^2^ ^9^. ")).alias("text")).join(t("f_blocks").select("block_id", F.col("text").alias("source")).hint("merge"), "block_id")
+    return both.select("block_id", tm.repaired_marks(source, F.col("text")).alias("text"))
+
+
+def _chunks(t, text):
+    """Chunks of seven characters of ``text`` for each turn of the conversations."""
+    rows = t("conversations").where("text IS NOT NULL").select(F.struct("conv_id", "turn").alias("key"), text.alias("t"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("t") - 1) / 7).cast("int")), lambda i: F.substring("t", i * 7 + 1, F.lit(7)))
+    return rows.select("key", F.posexplode(cut).alias("seq", "chunk"))
+
+
+@query("str9_without_thinking", "SELECT conv_id, turn, concat('Aha. ', text) AS text FROM conversations WHERE text IS NOT NULL")
+def _(t):
+    said = F.concat(F.lit("Aha. <think>so\n"), "text", F.lit("</think>"), "text", F.lit("<think>more"))
+    return ans.whole_answers(_chunks(t, said)).select("key.conv_id", "key.turn", "text")
+
+
+@query("str10_parts", "SELECT conv_id, turn, CAST(n AS BIGINT) AS n, trim(text) AS text FROM conversations, (VALUES (1), (3)) v(n) WHERE trim(text) <> ''")
+def _(t):
+    said = F.concat(F.lit("Well:\n【1】"), F.trim("text"), F.lit("\n【2】 <think>hm</think>\n【3】 "), F.trim("text"))
+    return ans.whole_parts(_chunks(t, said)).select("key.conv_id", "key.turn", "n", "text")
