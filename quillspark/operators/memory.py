@@ -95,7 +95,8 @@ def failures(translations: DataFrame, blocks: DataFrame) -> DataFrame:
     return both.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Languages in the order in which versions of the instructions are numbered.
+# The mark between the parts of a unit, and languages in the order in which versions of the instructions are numbered.
+PAGE_BREAK = "⟦pb⟧"
 TARGETS = ("zh", "en", "ja", "ko", "de", "fr", "es")
 
 
@@ -111,6 +112,17 @@ def restored(text: Column, formulas: Column) -> Column:
     return F.array_join(F.zip_with(pieces, values, lambda piece, v: F.concat(piece, F.coalesce(v, F.lit("")))), "")
 
 
+def joined_units(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text): the parts (keys, block_order, text) of a unit in order with page breaks between; placeholders count on from part to part."""
+    before = Window.partitionBy(*keys).orderBy("block_order").rowsBetween(Window.unboundedPreceding, -1)
+    most = F.greatest(F.coalesce(F.array_max(placeholder_numbers(F.col("text"))), F.lit(0)), F.lit(0))
+    placed = parts.withColumn("most", most).withColumn("offset", F.coalesce(F.sum("most").over(before), F.lit(0)))
+    marks = F.transform(placeholder_numbers(F.col("text")), lambda n: F.concat(F.lit("⟦f"), (n + F.col("offset")).cast("string"), F.lit("⟧")))
+    shifted = F.array_join(F.zip_with(F.split("text", tx.PLACEHOLDER, -1), marks, lambda piece, m: F.concat(piece, F.coalesce(m, F.lit("")))), "")
+    listed = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block_order", shifted.alias("text")))).alias("parts"))
+    return listed.select(*keys, F.array_join("parts.text", f" {PAGE_BREAK} ").alias("text"))
+
+
 def batch_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, text) of answers (keys, text) whose parts begin with 【n】 at a line's start; blank parts give none, of equal numbers the last counts."""
     return _parts(answers, keys, r"(?ms)^【(\d{1,9})】[ \t]*(.*?)(?=^【\d+】|\z)")

@@ -77,6 +77,14 @@ def _(t):
     return t("f_blocks").select("block_id", tm.restored(F.col("text"), formulas).alias("text"))
 
 
+@query("seg4_units", """SELECT doc_id, chain, string_agg(replace(text, '⟦f1⟧', concat('⟦f', CAST(1 + coalesce("before", 0) AS VARCHAR), '⟧')), ' ⟦pb⟧ ' ORDER BY block_order) AS text
+  FROM (SELECT *, CAST(sum(CASE WHEN contains(text, '⟦f1⟧') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, chain ORDER BY block_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS "before"
+    FROM (SELECT doc_id, block_order, text, CAST(floor(block_order / 12) AS BIGINT) AS chain FROM f_blocks)) GROUP BY doc_id, chain""")
+def _(t):
+    parts = t("f_blocks").select("doc_id", F.floor(F.col("block_order") / 12).alias("chain"), "block_order", "text")
+    return tm.joined_units(parts, ["doc_id", "chain"])
+
+
 @query("seg8_batch_answers", "SELECT doc_id, page, block_order AS n, trim(text) AS text FROM f_blocks")
 def _(t):
     part = F.concat(F.lit("【"), F.col("block_order").cast("string"), F.lit("】 "), "text")

@@ -55,6 +55,11 @@ def test_answers(spark):
     assert {(r["n"], r["text"]) for r in tm.outline_answers(lines, ["k"]).collect()} == {(1, "One"), (2, "Two"), (5, "Five")}
 
 
+def test_units(spark):
+    parts = spark.createDataFrame([(1, 2, "b ⟦f2⟧ ⟦f1⟧"), (1, 1, "a ⟦f3⟧"), (1, 3, ""), (1, 4, "c ⟦f1⟧"), (2, 1, "alone")], "k int, block_order int, text string")
+    assert {r["k"]: r["text"] for r in tm.joined_units(parts, ["k"]).collect()} == {1: "a ⟦f3⟧ ⟦pb⟧ b ⟦f5⟧ ⟦f4⟧ ⟦pb⟧  ⟦pb⟧ c ⟦f6⟧", 2: "alone"}
+
+
 @pytest.mark.parametrize(("text", "told"), [("a ⟦f1⟧ b ⟦f02⟧⟦f3⟧", "a x b ⟦f1⟧"), ("⟦f1⟧", "x"), ("none", "none"), ("", "")])
 def test_restored(spark, text, told):
     df = spark.createDataFrame([(text, {1: "x", 2: "⟦f1⟧"})], "t string, f map<int,string>")
