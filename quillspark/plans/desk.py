@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.sql import register
 from ..operators import dictionary as dic
 from ..operators import memory as tm
 from ..operators import notes as nt
 from ..operators import usage as use
+from ..sources import files as fs
 from ..streaming import answers as ans
 from .registry import query
 
@@ -156,3 +158,24 @@ def _(t):
 def _(t):
     said = F.concat(F.lit("Well:\n【1】"), F.trim("text"), F.lit("\n【2】 <think>hm</think>\n【3】 "), F.trim("text"))
     return ans.whole_parts(_chunks(t, said)).select("key.conv_id", "key.turn", "n", "text")
+
+
+_FILE = "concat('%PDF ', CAST(page_id % 300 AS VARCHAR), ' ', CASE WHEN page_id % 7 = 0 THEN html ELSE '' END)"
+
+
+@query("src13_ingested", f"""SELECT id, min(path) AS path FROM (SELECT sha1({_FILE}) AS id, concat('/in/', lpad(CAST(page_id AS VARCHAR), 12, '0'), '.PDF') AS path, page_id FROM pages WHERE page_id % 5 <> 0 AND html IS NOT NULL AND page_id % 11 <> 0)
+  WHERE id NOT IN (SELECT sha1({_FILE}) FROM pages WHERE html IS NOT NULL AND page_id % 13 = 0) GROUP BY id""")
+def _(t):
+    # files as pages make them: some of another kind, some that are none, repeats, and some known before
+    ending = F.when(F.col("page_id") % 5 == 0, ".txt").otherwise(".PDF")
+    content = F.when(F.col("page_id") % 11 != 0, F.expr(_FILE.replace("VARCHAR", "STRING")).cast("binary"))
+    files = t("pages").where("html IS NOT NULL").select("page_id", F.concat(F.lit("/in/"), F.lpad(F.col("page_id").cast("string"), 12, "0"), ending).alias("path"), content.alias("content"))
+    known = t("pages").where("html IS NOT NULL AND page_id % 13 = 0").select(F.sha1(F.expr(_FILE.replace("VARCHAR", "STRING"))).alias("id"))
+    return fs.ingested(files, known)[0].select("id", "path")
+
+
+@query("udf6_text_words", "SELECT doc_id, CAST(i - 1 AS INT) AS place, k[i] AS word FROM (SELECT doc_id, regexp_extract_all(lower(regexp_replace(first_line, '([a-zA-Z])-[ \\t\\n\\r\\f\\v]+([a-zA-Z])', '\\1\\2', 'g')), '[a-z0-9]+|[一-鿿㐀-䶿]') AS k FROM f_first), UNNEST(range(1, len(k) + 1)) u(i)")
+def _(t):
+    lines = t("f_first")
+    register(lines.sparkSession)
+    return lines.sparkSession.sql("SELECT doc_id, place, word FROM {lines}, LATERAL text_words(first_line)", lines=lines)

@@ -1,12 +1,16 @@
 """Notes, answers and the dictionary, by example and against plain versions."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions.sql import register
 from quillspark.operators import dictionary as dic
 from quillspark.operators import memory as tm
 from quillspark.operators import notes as nt
 from quillspark.operators.fingerprint import simhash
+from quillspark.sources.files import ingested
 
 NOTE = "paper_id string, title string, n long, block_id string, char_start long, char_end long, excerpt string, stamp string, text string"
 
@@ -78,3 +82,19 @@ def test_dictionary(spark):
     asked = spark.createDataFrame([(w,) for w in ("Running ", "runs", "occurred", "unmodel", "models", "cities", "cities", "rarest", "x1", "", None, "un")], "term string")
     got = {r["term"]: r["word"] for r in dic.looked_up(asked, kept).collect()}
     assert got == {"Running ": "running", "runs": "run", "occurred": "occur", "unmodel": "model", "models": "model", "cities": "city"}
+
+
+def test_ingested(spark, tmp_path):
+    for name, content in {"a.pdf": b"%PDF one", "b.PDF": b"%PDF one", "c.pdf": b"%PDF two", "d.txt": b"%PDF six", "f.pdf": b"no"}.items():
+        (tmp_path / name).write_bytes(content)
+    known = spark.createDataFrame([(hashlib.sha1(b"%PDF two").hexdigest(),)], "id string")
+    read = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    new, failed = ingested(read.unionByName(spark.createDataFrame([("/e.pdf", bytearray()), ("/g.pdf", None)], "path string, content binary")), known)
+    assert [(r["id"], r["path"][-5:], r["length"]) for r in new.collect()] == [(hashlib.sha1(b"%PDF one").hexdigest(), "a.pdf", 8)]
+    assert {(r["path"][-5:], r["reason"]) for r in failed.collect()} == {("e.pdf", "empty"), ("g.pdf", "empty"), ("f.pdf", "not a PDF")}
+
+
+def test_words_in_sql(spark):
+    register(spark)
+    rows = spark.sql("SELECT k, place, word FROM VALUES (1, 'Aug- mented 中文'), (2, ''), (3, NULL) t(k, x), LATERAL text_words(x)").collect()
+    assert sorted(rows) == [(1, 0, "augmented"), (1, 1, "中"), (1, 2, "文")]
