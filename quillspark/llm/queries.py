@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode, with_sha256
 from .decontaminate import overlaps
 from .html_extract import extract
 from .jaccard_join import jaccard_components
@@ -24,6 +25,7 @@ from .url_filter import judged
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 MIN_SITES = 10
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +81,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_store, op3_best_fit_packing, op4_substring_dedup, op5_decontamination, op6_jaccard_join, op7_lattice_dedup, op8_url_filter, op9_language_id, op10_line_dedup)}
+def op11_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = with_sha256(encode(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_store, op3_best_fit_packing, op4_substring_dedup, op5_decontamination, op6_jaccard_join, op7_lattice_dedup, op8_url_filter, op9_language_id, op10_line_dedup, op11_bpe_words)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
