@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import written
+from .scratch import bucketed
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
 CHUNK = 8_000_000
@@ -165,55 +165,87 @@ def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids", text: str = "tex
     empty one; an id that the vocabulary lacks is nothing, as in the library. An older ``text`` is replaced.
     """
     names = [c for c in tokens.columns if c != text]
-    rows = tokens.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_kept"), F.col(f"`{ids}`").alias("_ids"))
-    at = rows.select("_row", "_kept", F.posexplode_outer("_ids").alias("_at", "id"))
-    joined = at.join(F.broadcast(pieces(tokens.sparkSession, tokenizer)), "id", "left")  # bounded by MOST_PIECES
-    whole = joined.groupBy("_row").agg(F.first("_kept").alias("_kept"), F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("_at", F.hex("piece").alias("h"))))).alias("_p"))
-    made = F.make_valid_utf8(F.unhex(F.array_join(F.transform("_p", lambda p: p["h"]), "")).cast("string"))
-    return whole.select(*[F.col("_kept")[c].alias(c) for c in names], F.when(F.col("_kept")[ids].isNotNull(), made).alias(text))
-
-
-def word_table(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, ids, text) of each distinct ``word``: encoded once by the library, decoded once through the pieces."""
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = T.StructType([*[tokens.schema[c] for c in names], T.StructField(text, T.StringType())])
+    # a row's ids stay together, as neither the explode nor the broadcast join moves rows; the row itself comes with its first
+    rows = tokens.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept"), F.posexplode_outer(f"`{ids}`").alias("at", "id"))
+    rows = rows.select(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("kept")).alias("kept"), "at", "id")
+    joined = rows.join(F.broadcast(pieces(tokens.sparkSession, tokenizer)), "id", "left").select("kept", "at", "piece")  # bounded by MOST_PIECES
+
+    def told(kept: pa.Array, found: pa.Array, begin: np.ndarray) -> pa.RecordBatch:
+        columns = dict(zip(names, kept.flatten(), strict=True))
+        found = found.cast(pa.large_binary()).fill_null(b"")
+        upto = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+        gone = columns[ids].is_null()
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(kept), [None, pa.py_buffer(upto[begin]), found.buffers()[2] or pa.py_buffer(b"")])
+        try:
+            texts = whole.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([x.decode(errors="replace") for x in whole.to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays([*columns.values(), pc.if_else(gone, pa.scalar(None, pa.string()), texts)], names=out.names)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, parts = None, []  # of the row that the next batch may go on with
         for batch in batches:
-            found = [x.ids for x in _tokenizer(tokenizer).encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return decode(words.select("word").distinct().mapInArrow(encoded, "word string, ids array<int>"), tokenizer)
+            row, place, piece = batch.column(0), batch.column(1).fill_null(0).to_numpy(zero_copy_only=False), batch.column(2)
+            start = np.flatnonzero(row.is_valid().to_numpy(zero_copy_only=False))
+            held = sum(map(len, parts))
+            since = np.concatenate([[-held], start])[np.searchsorted(start, np.arange(len(place)), side="right")]
+            if not np.array_equal(place, np.arange(len(place)) - since):
+                raise RuntimeError("the ids of a row came apart")
+            if not len(start):
+                parts.append(piece)
+                continue
+            rows = row.take(pa.array(start[:-1]))
+            begin = np.concatenate([[0] if kept is not None else [], held + start]).astype(np.int64)
+            if kept is not None:
+                rows = pa.concat_arrays([kept, rows])
+            if len(rows):
+                yield told(rows, pa.concat_arrays([*parts, piece.slice(0, start[-1])]), begin)
+            kept, parts = row.slice(start[-1], 1), [piece.slice(start[-1])]
+        if kept is not None:
+            found = pa.concat_arrays(parts)
+            yield told(kept, found, np.array([0, len(found)]))
+
+    return joined.mapInArrow(together, out)
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids, text) of each row of ``docs``: the ids of its whole text, and what these ids decode to.
+    """(id_col, n_tokens, ids) of each row of ``docs``: the ids of its whole text, as the library has them without added special ids.
 
     A null text is an empty one: no ids. Rows without an id or with a repeated one are encoded like others; other
     columns are not read. A text of any length is one row.
     """
-    table = written(chunks(docs, tokenizer, id_col, text), "words")
-    known = word_table(table.select(F.explode("words").alias("word")), tokenizer)
-    at = table.select("chunk", F.posexplode("words").alias("code", "word"))
+    table = bucketed(chunks(docs, tokenizer, id_col, text), "chunk", "words")
+    words = table.select(F.posexplode("words").alias("code", "word"), "chunk")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by word: equal words lie together and are asked for once."""
+        last, known = None, None
+        for batch in batches:
+            named = batch.column("word").dictionary_encode()
+            asked = named.dictionary.to_pylist()
+            new = asked[1:] if asked[:1] == [last] else asked
+            found = [x.ids for x in _tokenizer(tokenizer).encode_batch_fast(new, add_special_tokens=False)]
+            found = [known, *found] if len(new) < len(asked) else found
+            if asked:
+                last, known = asked[-1], found[-1]
+            ids = pa.array(found, pa.list_(pa.int32())).take(named.indices)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("code"), ids], names=["chunk", "code", "ids"])
+
     # a word is in a chunk once, so no word is on more rows than there are chunks
-    found = at.hint("merge").join(known.hint("merge"), "word").select("chunk", "code", "ids", "text")
+    found = words.repartition("word").sortWithinPartitions("word").mapInArrow(once, "chunk long, code int, ids array<int>")
     rows = table.select(F.col("chunk").alias("of"), F.col("ids").alias("keys"), "sizes", "codes")
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks()
-        order = pc.sort_indices(right.column("code"))
-        ids = _whole(right.column("ids"), pa.large_list(pa.int32())).take(order)
-        said = _whole(right.column("text"), pa.large_string()).take(order)
+        ids = _whole(right.column("ids"), pa.large_list(pa.int32())).take(pc.sort_indices(right.column("code")))
         out = []
         for i in range(left.num_rows):  # one: a chunk is one row
-            keys, sizes = _whole(left.column("keys"))[i].values, np.asarray(left.column("sizes")[i].values)
-            codes = pa.array(_numbers(left.column("codes")[i].as_py()))
-            upto = np.concatenate([[0], np.cumsum(sizes)])
-            placed, texts = ids.take(codes), said.take(codes)
-            begin = np.concatenate([[0], np.cumsum(pc.list_value_length(placed).to_numpy(zero_copy_only=False))])[upto]
-            length = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])[upto].astype(np.int64)
-            whole = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(length), texts.buffers()[2] or pa.py_buffer(b""))
+            keys, sizes = _whole(left.column("keys"))[i].values, np.asarray(_whole(left.column("sizes"))[i].values)
+            placed = ids.take(pa.array(_numbers(left.column("codes")[i].as_py())))
+            begin = np.concatenate([[0], np.cumsum(pc.list_value_length(placed).to_numpy(zero_copy_only=False))])[np.concatenate([[0], np.cumsum(sizes)])]
             lists = pa.LargeListArray.from_arrays(pa.array(begin, pa.int64()), placed.flatten())
-            out.append(pa.table([keys, pa.array(np.diff(begin), pa.int64()), lists.cast(pa.list_(pa.int32())), whole.cast(pa.string())], names=schema.names))
+            out.append(pa.table([keys, pa.array(np.diff(begin), pa.int64()), lists.cast(pa.list_(pa.int32()))], names=schema.names))
         return pa.concat_tables(out)
 
     return rows.groupBy("of").cogroup(found.groupBy("chunk")).applyInArrow(put_back, schema)

@@ -39,6 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Like ``written``, in as many buckets of ``column`` as there are shuffle partitions: a grouping by it doesn't shuffle the table again."""
+    spark = df.sparkSession
+    named = f"quillspark_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).sortBy(column).option("path", f"{shared_dir(spark)}/{named}").saveAsTable(named)
+    return spark.table(named)
+
+
 def dropped(table: DataFrame) -> None:
     """Deletes a table of ``written`` that nothing reads any more."""
     spark = table.sparkSession

@@ -30,7 +30,7 @@ def test_every_row_as_the_library_has_it(spark, tokenizer):
     texts = strange_texts()
     rows = [(i, t, "c", 7) for i, t in enumerate(texts)] + [(None, "no id", "c", 7), (3, "repeated id", "c", 7), (3, "repeated id", "c", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, chunk string, code int")
-    out = bpe.with_sha256(bpe.encode(docs, PATH).withColumn("again", F.col("ids")))
+    out = bpe.with_sha256(bpe.decode(bpe.encode(docs, PATH), PATH).withColumn("again", F.col("ids")))
     want = []
     for i, t, *_ in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
@@ -45,7 +45,7 @@ def test_chunks_and_letters_of_every_plane(spark, tokenizer):
     signs = [c for c in range(1, 0x110000, 7) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}." for c in signs[k : k + 500]) for k in range(0, len(signs), 500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in bpe.encode(docs, PATH).collect():
+    for r in bpe.decode(bpe.encode(docs, PATH), PATH).collect():
         assert r["ids"] == tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["text"] == texts[r["doc_id"]]
     assert bpe.chunks(docs, PATH, size=20_000).count() > 20
