@@ -14,6 +14,7 @@ from .html_extract import extract
 from .jaccard_join import jaccard_components
 from .language_id import held_out, learned, with_language
 from .lattice_dedup import near_duplicates
+from .lexical_search import NO_TERM, index, search
 from .line_dedup import remove_spread_lines
 from .packing import best_fit, measured
 from .scratch import shared_dir
@@ -86,7 +87,11 @@ def op11_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_store, op3_best_fit_packing, op4_substring_dedup, op5_decontamination, op6_jaccard_join, op7_lattice_dedup, op8_url_filter, op9_language_id, op10_line_dedup, op11_bpe_words)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_store, op3_best_fit_packing, op4_substring_dedup, op5_decontamination, op6_jaccard_join, op7_lattice_dedup, op8_url_filter, op9_language_id, op10_line_dedup, op11_bpe_words, op12_ranked_search)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
@@ -116,4 +121,15 @@ g AS (SELECT doc_id, list(i) AS gone FROM l JOIN wide USING (line) WHERE doc_id
 SELECT p.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
        md5(CASE WHEN gone IS NULL THEN text ELSE array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(gone, i)], chr(10)) END) AS text_md5
 FROM p LEFT JOIN g USING (doc_id)""",
+    "op12_ranked_search": rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{NO_TERM}]+')) AS w FROM documents),
+p AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY doc_id, w),
+len AS (SELECT doc_id, sum(tf) AS n FROM p GROUP BY doc_id),
+c AS (SELECT count(*) AS all_docs, sum(n) AS all_terms FROM len),
+d AS (SELECT w, count(*) AS df FROM p GROUP BY w),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{NO_TERM}]+')) AS w FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * all_docs + 2) / (2.0 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + CAST((50 * n * all_docs) // all_terms AS BIGINT))))) AS BIGINT) AS score
+      FROM q JOIN p USING (w) JOIN d USING (w) JOIN len USING (doc_id), c GROUP BY item_id, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
 }

@@ -59,10 +59,10 @@ class Words:
     """The words of an Arrow array of texts, in order; a null text has none.
 
     ``starts`` and ``ends`` are byte positions in ``data``; the words of text ``i`` are
-    ``first[i]`` to ``first[i + 1]``; ``hashes`` has 64 bits for each word.
+    ``first[i]`` to ``first[i + 1]``; ``hashes`` has 64 bits for each word. ``gaps`` tells the bytes that are in no word.
     """
 
-    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False):
+    def __init__(self, texts: pa.Array | pa.ChunkedArray, lower: bool = False, gaps: np.ndarray = _SPACE):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
             if isinstance(texts, pa.ChunkedArray):
@@ -75,7 +75,7 @@ class Words:
         self.offsets = off - off[0]
         if lower:
             self.data = LOWER[self.data]
-        ink = ~_SPACE[self.data]
+        ink = ~gaps[self.data]
         edge = np.zeros(len(ink) + 1, bool)
         edge[self.offsets] = True
         begins = ink.copy()
