@@ -2,9 +2,10 @@
 
 Texts are split into words by Spark's own regular expressions, as the tokenizer's pre-tokenizer splits them. Documents
 are packed into chunks of some megabytes: a chunk keeps its distinct words and, for each position of its documents, the
-number of the word there. Only distinct words travel: those of all chunks become one table in which the library encodes
-each word once, and a join gives every chunk the ids of its words, which are put back by position. Ids become
-text through a join with the table of the vocabulary's pieces.
+number of the word there. Only distinct words travel: every chunk sends them, sorted and packed, to the parts of one table of
+words, dealt by a hash of the word. A part makes its words distinct once more, has the library encode each one once, and sends every
+chunk the ids of its words, which are joined by position. The chunks' numbers lie in buckets by chunk and are not shuffled
+for it. Ids become text through a join with the vocabulary's pieces.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import bucketed
+from .words import span_hashes
 
-#: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 8_000_000
+#: Bytes of text in a chunk, or a longer text. The more, the fewer words are in several chunks.
+CHUNK = 32_000_000
 #: A vocabulary is broadcast, so its size is checked.
 MOST_PIECES = 1_000_000
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -87,50 +89,95 @@ def _planes(numbers: np.ndarray) -> bytes:
     return len(numbers).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(planes.tobytes(), asbytes=True)
 
 
+def _packed_bytes(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
 def _numbers(packed: bytes) -> np.ndarray:
     n = int.from_bytes(packed[:8], "little")
     raw = pa.Codec("zstd").decompress(packed[8:], decompressed_size=4 * n, asbytes=True) if n else b""
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).reshape(-1).view("<u4").astype(np.int64)
 
 
+def _texts(flat: bytes, sizes: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(flat))
+
+
+def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts without nulls."""
+    texts = texts.cast(pa.large_string())
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8), off
+
+
+PARTS = "array<struct<part: int, sizes: binary, n_bytes: long, words: binary>>"
+
+
 def chunks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", size: int = CHUNK) -> DataFrame:
-    """(chunk, ids, sizes, codes, words): documents as numbers of the distinct words of their chunk, frequent words first."""
-    special = _special(tokenizer)
-    odd = F.col(text).rlike(UNKNOWN)
+    """(chunk, ids, sizes, codes, places, parts): documents as numbers of the distinct words of their chunk, frequent words first.
+
+    ``parts`` has the words themselves by the part of the table where they belong, sorted; ``places`` tells where in all
+    of these each number's word is.
+    """
+    special, n_parts = _special(tokenizer), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    odd = (F.octet_length(text) > F.char_length(text)) & F.col(text).rlike(UNKNOWN)
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size"),
         F.when(odd, F.col(text)).alias("odd"), F.when(odd | F.col(text).isNull(), F.array().cast("array<string>")).otherwise(words_of(F.col(text), special)).alias("words"),
     )
-    kind = rows.schema["id"].dataType
-    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"chunk long, ids array<{kind}>, sizes array<int>, codes binary, places binary, parts {PARTS}"
 
-    def packed(ids: pa.Array, words: pa.Array, chunk: int) -> pa.RecordBatch:
+    def packed(held: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
+        ids, words = (pa.concat_arrays([b.column(c) for b in held]) for c in (0, 1))
         sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         named = words.flatten().dictionary_encode()
         codes = named.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(-np.bincount(codes, minlength=len(named.dictionary)), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        by_rank = np.argsort(-np.bincount(codes, minlength=len(named.dictionary)), kind="stable")
+        rank = np.empty(len(by_rank), np.int64)
+        rank[by_rank] = np.arange(len(by_rank))
+        data, off = _flat(named.dictionary)
+        part = (span_hashes(data, off[:-1], off[1:]) % np.uint64(n_parts)).astype(np.int32)
+        order = pc.sort_indices(pa.table({"part": part, "word": named.dictionary}), sort_keys=[("part", "ascending"), ("word", "ascending")]).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        data, off = _flat(named.dictionary.take(pa.array(order)))
+        cut = np.searchsorted(part[order], np.arange(n_parts + 1))
+        told = [
+            {"part": p, "sizes": _planes(np.diff(off[cut[p] : cut[p + 1] + 1])), "n_bytes": int(off[cut[p + 1]] - off[cut[p]]), "words": _packed_bytes(data[off[cut[p]] : off[cut[p + 1]]].tobytes())}
+            for p in np.flatnonzero(np.diff(cut)).tolist()
+        ]
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        struct = pa.struct([("part", pa.int32()), ("sizes", pa.binary()), ("n_bytes", pa.int64()), ("words", pa.binary())])
         return pa.RecordBatch.from_arrays(
-            [pa.array([chunk], pa.int64()), one(ids), one(pa.array(sizes, pa.int32())), pa.array([_planes(rank[codes])], pa.binary()), one(named.dictionary.take(pa.array(order)).cast(pa.string()))],
-            names=schema.names,
+            [pa.array([chunk], pa.int64()), one(ids), one(pa.array(sizes, pa.int32())), pa.array([_planes(rank[codes])], pa.binary()), pa.array([_planes(place[by_rank])], pa.binary()), pa.array([told], pa.list_(struct))],
+            names=["chunk", "ids", "sizes", "codes", "places", "parts"],
         )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids, words = batch.column("id"), batch.column("words")
-            if batch.num_rows and batch.column("odd").null_count == 0:
+        n, held, bytes_held = TaskContext.get().partitionId() << 32, [], 0
+        for batch in _odd_apart(batches):
+            ids, words, sizes = batch.column("id"), batch.column("words"), batch.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
+            if batch.column("odd").null_count == 0:
                 cutter = _tokenizer(tokenizer).pre_tokenizer
                 words = pa.array([_strange_words(t, cutter, special) for t in batch.column("odd").to_pylist()], pa.list_(pa.string()))
-            group = np.cumsum(batch.column("size").to_numpy(zero_copy_only=False).astype(np.int64)) // size
-            cut = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
-            for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
-                yield packed(ids.slice(a, b - a), words.slice(a, b - a), n)
-                n += 1
-
-    return rows.mapInArrow(lambda batches: pack(_odd_apart(batches)), schema)
+            a = 0
+            while a < batch.num_rows:
+                room = size - bytes_held
+                b = a + int(np.searchsorted(np.cumsum(sizes[a:]), room, side="right"))
+                if b == a and not held:
+                    b += 1  # a text longer than a chunk
+                if b > a:
+                    held.append(pa.RecordBatch.from_arrays([ids.slice(a, b - a), words.slice(a, b - a)], names=["id", "words"]))
+                    bytes_held += int(sizes[a:b].sum())
+                if b < batch.num_rows:
+                    yield packed(held, n)
+                    n, held, bytes_held = n + 1, [], 0
+                a = b
+        if held:
+            yield packed(held, n)
+
+    return rows.mapInArrow(pack, schema)
 
 
 def _odd_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,63 +197,44 @@ def _strange_words(text: str, cutter, special: list[str]) -> list[str]:
     return out
 
 
-def pieces(spark: SparkSession, tokenizer: str) -> DataFrame:
-    """(id, piece): the bytes of each id of the vocabulary."""
+def pieces(tokenizer: str) -> list[bytes]:
+    """The bytes of each id of the vocabulary, by id, and an empty piece for any other id; its size is checked, as every task gets it."""
     vocabulary = _tokenizer(tokenizer).get_vocab(with_added_tokens=True)
-    if len(vocabulary) > MOST_PIECES:
-        raise ValueError(f"a vocabulary of {len(vocabulary)} pieces")
-    return spark.createDataFrame([(i, bytearray(BYTE_OF[c] for c in piece)) for piece, i in vocabulary.items()], "id int, piece binary")
+    out = [b""] * (max(vocabulary.values()) + 2)
+    if len(out) > MOST_PIECES:
+        raise ValueError(f"a vocabulary of {len(out)} ids")
+    for piece, i in vocabulary.items():
+        out[i] = bytes(BYTE_OF[c] for c in piece)
+    return out
 
 
 def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """``tokens`` with the ``text`` of its ``ids``: each id is joined with its piece, and a row's pieces are put together by position.
+    """``tokens`` with the ``text`` of its ``ids``: each id is joined with its piece, as a place in the table of pieces, and a row's pieces are put together by position.
 
     Nothing is skipped, special ids neither. Bytes that are no UTF-8 become U+FFFD; null ids are a null text, no ids an
     empty one; an id that the vocabulary lacks is nothing, as in the library. An older ``text`` is replaced.
     """
     names = [c for c in tokens.columns if c != text]
     out = T.StructType([*[tokens.schema[c] for c in names], T.StructField(text, T.StringType())])
-    # a row's ids stay together, as neither the explode nor the broadcast join moves rows; the row itself comes with its first
-    rows = tokens.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept"), F.posexplode_outer(f"`{ids}`").alias("at", "id"))
-    rows = rows.select(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("kept")).alias("kept"), "at", "id")
-    joined = rows.join(F.broadcast(pieces(tokens.sparkSession, tokenizer)), "id", "left").select("kept", "at", "piece")  # bounded by MOST_PIECES
-
-    def told(kept: pa.Array, found: pa.Array, begin: np.ndarray) -> pa.RecordBatch:
-        columns = dict(zip(names, kept.flatten(), strict=True))
-        found = found.cast(pa.large_binary()).fill_null(b"")
-        upto = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
-        gone = columns[ids].is_null()
-        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(kept), [None, pa.py_buffer(upto[begin]), found.buffers()[2] or pa.py_buffer(b"")])
-        try:
-            texts = whole.cast(pa.large_string()).cast(pa.string())
-        except pa.ArrowInvalid:
-            texts = pa.array([x.decode(errors="replace") for x in whole.to_pylist()], pa.string())
-        return pa.RecordBatch.from_arrays([*columns.values(), pc.if_else(gone, pa.scalar(None, pa.string()), texts)], names=out.names)
-
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, parts = None, []  # of the row that the next batch may go on with
+    known = pieces(tokenizer)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(known, pa.large_binary())
         for batch in batches:
-            row, place, piece = batch.column(0), batch.column(1).fill_null(0).to_numpy(zero_copy_only=False), batch.column(2)
-            start = np.flatnonzero(row.is_valid().to_numpy(zero_copy_only=False))
-            held = sum(map(len, parts))
-            since = np.concatenate([[-held], start])[np.searchsorted(start, np.arange(len(place)), side="right")]
-            if not np.array_equal(place, np.arange(len(place)) - since):
-                raise RuntimeError("the ids of a row came apart")
-            if not len(start):
-                parts.append(piece)
-                continue
-            rows = row.take(pa.array(start[:-1]))
-            begin = np.concatenate([[0] if kept is not None else [], held + start]).astype(np.int64)
-            if kept is not None:
-                rows = pa.concat_arrays([kept, rows])
-            if len(rows):
-                yield told(rows, pa.concat_arrays([*parts, piece.slice(0, start[-1])]), begin)
-            kept, parts = row.slice(start[-1], 1), [piece.slice(start[-1])]
-        if kept is not None:
-            found = pa.concat_arrays(parts)
-            yield told(kept, found, np.array([0, len(found)]))
-
-    return joined.mapInArrow(together, out)
+            lists = batch.column(ids)
+            off = np.asarray(lists.offsets)
+            flat = np.asarray(lists.values.slice(off[0], off[-1] - off[0]).fill_null(-1)).astype(np.int64)
+            found = table.take(pa.array(np.where((flat >= 0) & (flat < len(known)), flat, len(known) - 1)))  # the last piece is empty
+            upto = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] if len(found) else np.zeros(1, np.int64)
+            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(upto[off - off[0]]), found.buffers()[2] or pa.py_buffer(b"")])
+            try:
+                texts = whole.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:
+                texts = pa.array([x.decode(errors="replace") for x in whole.to_pylist()], pa.string())
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)], names=out.names)
+
+    return tokens.select(*names).mapInArrow(told, out)
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,36 +244,43 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     columns are not read. A text of any length is one row.
     """
     table = bucketed(chunks(docs, tokenizer, id_col, text), "chunk", "words")
-    words = table.select(F.posexplode("words").alias("code", "word"), "chunk")
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by word: equal words lie together and are asked for once."""
-        last, known = None, None
-        for batch in batches:
-            named = batch.column("word").dictionary_encode()
-            asked = named.dictionary.to_pylist()
-            new = asked[1:] if asked[:1] == [last] else asked
-            found = [x.ids for x in _tokenizer(tokenizer).encode_batch_fast(new, add_special_tokens=False)]
-            found = [known, *found] if len(new) < len(asked) else found
-            if asked:
-                last, known = asked[-1], found[-1]
-            ids = pa.array(found, pa.list_(pa.int32())).take(named.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("code"), ids], names=["chunk", "code", "ids"])
-
-    # a word is in a chunk once, so no word is on more rows than there are chunks
-    found = words.repartition("word").sortWithinPartitions("word").mapInArrow(once, "chunk long, code int, ids array<int>")
-    rows = table.select(F.col("chunk").alias("of"), F.col("ids").alias("keys"), "sizes", "codes")
+    sent = table.select("chunk", F.explode("parts").alias("p")).select("chunk", "p.*")
+
+    def encoded(sent: pa.Table) -> pa.Table:
+        """The ids of one part's words: each distinct one is encoded once; every chunk gets those of its own, in the order in which it sent them."""
+        sizes = [_numbers(x.as_py()) for x in sent.column("sizes")]
+        flat = b"".join(pa.Codec("zstd").decompress(w.as_py(), decompressed_size=n.as_py(), asbytes=True) for w, n in zip(sent.column("words"), sent.column("n_bytes"), strict=True))
+        named = _texts(flat, np.concatenate(sizes)).dictionary_encode()
+        found: list[list[int]] = []
+        for a in range(0, len(named.dictionary), 10_000):
+            found += [x.ids for x in _tokenizer(tokenizer).encode_batch_fast(named.dictionary.slice(a, 10_000).to_pylist(), add_special_tokens=False)]
+        lists, at, rows = pa.array(found, pa.large_list(pa.int32())), 0, []
+        for n in map(len, sizes):
+            mine = lists.take(named.indices.slice(at, n))
+            rows.append((_planes(pc.list_value_length(mine).to_numpy(zero_copy_only=False)), _planes(mine.flatten().to_numpy(zero_copy_only=False))))
+            at += n
+        return pa.table([sent.column("chunk"), sent.column("part"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "part", "n_ids", "ids"])
+
+    found = sent.groupBy("part").applyInArrow(encoded, "chunk long, part int, n_ids binary, ids binary")
+    rows = table.select(F.col("chunk").alias("of"), F.col("ids").alias("keys"), "sizes", "codes", "places")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = _whole(right.column("ids"), pa.large_list(pa.int32())).take(pc.sort_indices(right.column("code")))
+        right = right.take(pc.sort_indices(right.column("part")))
+        n_ids = np.concatenate([np.zeros(0, np.int64), *[_numbers(x.as_py()) for x in right.column("n_ids")]])
+        flat = np.concatenate([np.zeros(0, np.int64), *[_numbers(x.as_py()) for x in right.column("ids")]]).astype(np.int32)
+        begin = np.cumsum(n_ids) - n_ids
         out = []
         for i in range(left.num_rows):  # one: a chunk is one row
             keys, sizes = _whole(left.column("keys"))[i].values, np.asarray(_whole(left.column("sizes"))[i].values)
-            placed = ids.take(pa.array(_numbers(left.column("codes")[i].as_py())))
-            begin = np.concatenate([[0], np.cumsum(pc.list_value_length(placed).to_numpy(zero_copy_only=False))])[np.concatenate([[0], np.cumsum(sizes)])]
-            lists = pa.LargeListArray.from_arrays(pa.array(begin, pa.int64()), placed.flatten())
-            out.append(pa.table([keys, pa.array(np.diff(begin), pa.int64()), lists.cast(pa.list_(pa.int32()))], names=schema.names))
+            word = _numbers(left.column("places")[i].as_py())[_numbers(left.column("codes")[i].as_py())]
+            n = n_ids[word]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            at = np.arange(upto[-1])
+            at += np.repeat(begin[word] - upto[:-1], n)
+            of_texts = upto[np.concatenate([[0], np.cumsum(sizes)])]
+            lists = pa.ListArray.from_arrays(pa.array(of_texts, pa.int32()), pa.array(flat[at]))
+            out.append(pa.table([keys, pa.array(np.diff(of_texts), pa.int64()), lists], names=schema.names))
         return pa.concat_tables(out)
 
     return rows.groupBy("of").cogroup(found.groupBy("chunk")).applyInArrow(put_back, schema)

@@ -69,8 +69,7 @@ def shard_rows(ids: pa.Array, texts: pa.Array, shard: int) -> pa.RecordBatch:
     """The rows of one shard: its documents (term ""), then its posting lists by term."""
     words = Words(texts, lower=True, gaps=_GAPS)
     lengths, n_docs = words.counts, len(texts)
-    ink = ~_GAPS[words.data]
-    named = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words.starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(words.ends - words.starts)]).astype(np.int64)), pa.py_buffer(words.data[ink])]).dictionary_encode()
+    named = words.named()
     order = np.argsort(np.array(named.dictionary.to_pylist(), object)) if len(named.dictionary) else np.zeros(0, np.int64)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from .lattice_dedup import near_duplicates
 from .lexical_search import NO_TERM, index, search
 from .line_dedup import remove_spread_lines
 from .packing import best_fit, measured
+from .periodic import collapse
 from .scratch import shared_dir
 from .substring_dedup import remove_repeats
 from .token_store import read_documents, write_shards
@@ -91,7 +95,37 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_store, op3_best_fit_packing, op4_substring_dedup, op5_decontamination, op6_jaccard_join, op7_lattice_dedup, op8_url_filter, op9_language_id, op10_line_dedup, op11_bpe_words, op12_ranked_search)}
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in one text in ten, by a hash of its id, the words from some place on repeat those there; a row without an id stays as it is."""
+
+    def planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (doc, text) in enumerate(zip(ids, texts, strict=True)):
+                h = zlib.crc32(str(doc).encode())
+                words = text.encode().split() if text and doc is not None and h % 10 == 0 else []
+                if words:
+                    n, g = len(words), h // 10
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    texts[i] = b" ".join(words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]).decode()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(planted, docs.select("doc_id", "text").schema)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = collapse(with_periods(_table(spark, sf_dir, "documents")))
+    # the run with the greatest length / period, compared as whole numbers; runs come by start and period
+    out = out.withColumn("b", F.aggregate("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b)))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "b.start", "b.length", "b.period", F.expr("(1000 * b.length) div b.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_token_store, op3_best_fit_packing, op4_substring_dedup, op5_decontamination, op6_jaccard_join, op7_lattice_dedup, op8_url_filter, op9_language_id, op10_line_dedup, op11_bpe_words, op12_ranked_search, op13_periodic_runs)}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 

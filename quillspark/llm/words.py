@@ -99,6 +99,15 @@ class Words:
             self._hashes = span_hashes(self.data, self.starts, self.ends)
         return self._hashes
 
+    def named(self) -> pa.DictionaryArray:
+        """The words as numbers of distinct words."""
+        ink = np.zeros(len(self.data) + 1, np.int8)
+        ink[self.starts] += 1
+        ink[self.ends] -= 1
+        flat = self.data[np.cumsum(ink[:-1], dtype=np.int8) > 0]
+        upto = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(upto), pa.py_buffer(flat)]).dictionary_encode()
+
     def runs(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(word at which it starts, hash) of each run of ``width`` words that lies in one text."""
         last = np.repeat(self.first[1:], self.counts) - width
