@@ -63,6 +63,12 @@ SELECT sha1(CAST(doc_id AS {S})) AS id, doc_id, substr(first_line, 1, 200) AS ti
 SELECT doc_id, page, block_order, text, kind = 'heading' AS heading, CAST(CASE WHEN kind = 'heading' THEN 14.2 ELSE 9.9 END AS DOUBLE) AS size,
   CAST(50 + doc_id % 7 AS BIGINT) AS x, CAST(800 - 12 * (block_order % 10) - CASE WHEN block_order % 10 >= 6 THEN 20 ELSE 0 END + CASE WHEN block_order % 9 = 8 THEN 40 ELSE 0 END AS BIGINT) AS y,
   CAST(5 * length(text) AS BIGINT) AS width, CAST(10 AS BIGINT) AS height FROM {f_blocks}""",
+    # regions around three lines each, the last one left out of the text; on odd pages smaller ones within, not always wholly
+    "f_regions": """
+SELECT doc_id, page, CAST(k + 10 * inner_one AS BIGINT) AS region, CAST(CASE WHEN inner_one = 0 THEN 40 ELSE 100 + 60 * (doc_id % 8) END AS BIGINT) AS x1, low - CASE WHEN inner_one = 0 THEN 2 ELSE -1 END AS y1,
+  CAST(CASE WHEN inner_one = 0 THEN 340 + 50 * (doc_id % 5) ELSE 250 + 60 * (doc_id % 8) END AS BIGINT) AS x2, high + CASE WHEN inner_one = 0 THEN 8 ELSE 6 END AS y2, k = 3 AND inner_one = 0 AS dropped
+FROM (SELECT doc_id, page, CAST(floor(block_order % 10 / 3) AS BIGINT) AS k, min(y) AS low, max(y) AS high FROM {f_placed} GROUP BY doc_id, page, CAST(floor(block_order % 10 / 3) AS BIGINT)) g
+CROSS JOIN (SELECT 0 AS inner_one UNION ALL SELECT 1) u WHERE inner_one = 0 OR page % 2 = 1""",
     # notes on paragraphs; their numbers have gaps
     "f_notes": """
 SELECT paper_id, CAST(floor(block_order/4) AS BIGINT) + 1 AS n, block_id, block_order, CAST(0 AS BIGINT) AS char_start, CAST(length(text) AS BIGINT) AS char_end, substr(text, 1, 160) AS excerpt,
