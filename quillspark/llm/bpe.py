@@ -27,7 +27,7 @@ from .scratch import bucketed
 from .words import span_hashes
 
 #: Bytes of text in a chunk, or a longer text. The more, the fewer words are in several chunks.
-CHUNK = 32_000_000
+CHUNK = 10_000_000
 #: A vocabulary is broadcast, so its size is checked.
 MOST_PIECES = 1_000_000
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
