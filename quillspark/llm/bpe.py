@@ -35,6 +35,8 @@ _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Code points that Java doesn't know yet; the library may.
 UNKNOWN = r"\p{Cn}"
+#: What is set behind a word: one of those code points, so no text that Spark splits has it.
+MARK = "\uffff"
 _loaded: dict = {}
 
 
@@ -74,13 +76,13 @@ def _special(path: str) -> list[str]:
 
 
 def words_of(text: Column, special: list[str]) -> Column:
-    """The pre-tokenizer's words of a text, in order; a special string is a word of its own."""
-    found = lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    """The text with ``MARK`` behind each of the pre-tokenizer's words; a special string is a word of its own."""
+    cut = lambda t: F.regexp_replace(t, WORD, "$0" + MARK)
     if not special:
-        return found(text)
-    mark = special[0]
-    parts = F.transform(F.split(text, "\\Q" + mark + "\\E", -1), lambda t, i: F.concat(F.when(i > 0, F.array(F.lit(mark))).otherwise(F.array().cast("array<string>")), found(t)))
-    return F.when(F.contains(text, F.lit(mark)), F.flatten(parts)).otherwise(found(text))
+        return cut(text)
+    mark = special[0]  # told before anything else, so it cuts the text first
+    parts = F.transform(F.split(text, "\\Q" + mark + "\\E", -1), cut)
+    return F.when(F.contains(text, F.lit(mark)), F.array_join(parts, mark + MARK)).otherwise(cut(text))
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -123,15 +125,15 @@ def chunks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     odd = (F.octet_length(text) > F.char_length(text)) & F.col(text).rlike(UNKNOWN)
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size"),
-        F.when(odd, F.col(text)).alias("odd"), F.when(odd | F.col(text).isNull(), F.array().cast("array<string>")).otherwise(words_of(F.col(text), special)).alias("words"),
+        F.when(odd, F.col(text)).alias("odd"), F.when(odd | F.col(text).isNull(), "").otherwise(words_of(F.col(text), special)).alias("words"),
     )
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"chunk long, ids array<{kind}>, sizes array<int>, codes binary, places binary, parts {PARTS}"
 
-    def packed(held: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
-        ids, words = (pa.concat_arrays([b.column(c) for b in held]) for c in (0, 1))
-        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-        named = words.flatten().dictionary_encode()
+    def packed(held: list[tuple], chunk: int) -> pa.RecordBatch:
+        ids, words, sizes = (pa.concat_arrays([h[k] for h in held]) for k in range(3))
+        held.clear()
+        named = words.dictionary_encode()
         codes = named.indices.to_numpy(zero_copy_only=False)
         by_rank = np.argsort(-np.bincount(codes, minlength=len(named.dictionary)), kind="stable")
         rank = np.empty(len(by_rank), np.int64)
@@ -150,17 +152,15 @@ def chunks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         struct = pa.struct([("part", pa.int32()), ("sizes", pa.binary()), ("n_bytes", pa.int64()), ("words", pa.binary())])
         return pa.RecordBatch.from_arrays(
-            [pa.array([chunk], pa.int64()), one(ids), one(pa.array(sizes, pa.int32())), pa.array([_planes(rank[codes])], pa.binary()), pa.array([_planes(place[by_rank])], pa.binary()), pa.array([told], pa.list_(struct))],
+            [pa.array([chunk], pa.int64()), one(ids), one(sizes), pa.array([_planes(rank[codes])], pa.binary()), pa.array([_planes(place[by_rank])], pa.binary()), pa.array([told], pa.list_(struct))],
             names=["chunk", "ids", "sizes", "codes", "places", "parts"],
         )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, held, bytes_held = TaskContext.get().partitionId() << 32, [], 0
         for batch in _odd_apart(batches):
-            ids, words, sizes = batch.column("id"), batch.column("words"), batch.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
-            if batch.column("odd").null_count == 0:
-                cutter = _tokenizer(tokenizer).pre_tokenizer
-                words = pa.array([_strange_words(t, cutter, special) for t in batch.column("odd").to_pylist()], pa.list_(pa.string()))
+            ids, marked, sizes = batch.column("id"), batch.column("words"), batch.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
+            strange = batch.column("odd").null_count == 0
             a = 0
             while a < batch.num_rows:
                 room = size - bytes_held
@@ -168,7 +168,8 @@ def chunks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                 if b == a and not held:
                     b += 1  # a text longer than a chunk
                 if b > a:
-                    held.append(pa.RecordBatch.from_arrays([ids.slice(a, b - a), words.slice(a, b - a)], names=["id", "words"]))
+                    told = _strange_words(batch.column("odd").slice(a, b - a), _tokenizer(tokenizer).pre_tokenizer, special) if strange else _split(marked.slice(a, b - a))
+                    held.append((ids.slice(a, b - a), *told))
                     bytes_held += int(sizes[a:b].sum())
                 if b < batch.num_rows:
                     yield packed(held, n)
@@ -189,12 +190,29 @@ def _odd_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield part
 
 
-def _strange_words(text: str, cutter, special: list[str]) -> list[str]:
-    """The library's own words, for texts with code points that are newer than Java."""
-    out: list[str] = []
-    for i, part in enumerate(text.split(special[0]) if special else [text]):
-        out += ([special[0]] if i else []) + [bytes(BYTE_OF[c] for c in w).decode() for w, _ in cutter.pre_tokenize_str(part)]
-    return out
+def _split(marked: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """(words of all texts, number of words of each) of texts with ``MARK`` behind each word."""
+    data, off = _flat(marked)
+    data = data[off[0] : off[-1]]
+    a, b, c = MARK.encode()
+    at = np.flatnonzero(data[:-2] == a)
+    at = at[(data[at + 1] == b) & (data[at + 2] == c)]
+    kept = np.ones(len(data), bool)
+    kept[at] = kept[at + 1] = kept[at + 2] = False
+    upto = at - 3 * np.arange(len(at))
+    words = _texts(data[kept].tobytes(), np.diff(upto, prepend=0))
+    return words, pa.array(np.diff(np.searchsorted(at, off - off[0])), pa.int32())
+
+
+def _strange_words(texts: pa.Array, cutter, special: list[str]) -> tuple[pa.Array, pa.Array]:
+    """The same by the library's own pre-tokenizer, for texts with code points that are newer than Java."""
+    out, sizes = [], []
+    for text in texts.to_pylist():
+        before = len(out)
+        for i, part in enumerate(text.split(special[0]) if special else [text]):
+            out += ([special[0]] if i else []) + [bytes(BYTE_OF[c] for c in w).decode() for w, _ in cutter.pre_tokenize_str(part)]
+        sizes.append(len(out) - before)
+    return pa.array(out, pa.large_string()), pa.array(sizes, pa.int32())
 
 
 def pieces(tokenizer: str) -> list[bytes]:

@@ -23,7 +23,7 @@ def strange_texts():
     rng = random.Random(1)
     signs = [*" \n\t'sStrelvmd019.,!<|>éß中文\U0001fae0　 \u0085", "<|endoftext|>", "'re", " '", "\U0001d4b3"]
     made = ["".join(rng.choices(signs, k=rng.randint(1, 60))) for _ in range(1500)]
-    return ["", None, " ", "it's  we'll'LL 'S 123abc\n\n\n x\t\ty  ", "  <|endoftext|>  <|endoftext|>", "<|endoftext", "a" * 5000, " " * 3000 + "x", "\U0001fae0 ok", *made]
+    return ["", None, " ", "it's  we'll'LL 'S 123abc\n\n\n x\t\ty  ", "  <|endoftext|>  <|endoftext|>", "<|endoftext", "a" * 5000, " " * 3000 + "x", "\U0001fae0 ok \uffff x\uffff", *made]
 
 
 def test_every_row_as_the_library_has_it(spark, tokenizer):
