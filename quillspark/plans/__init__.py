@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import fingerprint
-from . import checks, corpus, desk, flows, layout, live, reading, records  # noqa: F401  (they register their queries)
+from . import checks, cited, corpus, desk, flows, layout, live, reading, records  # noqa: F401  (they register their queries)
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
