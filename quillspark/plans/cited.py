@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import citations as ct
+from ..operators import context as cx
+from ..operators import memory as tm
 from ..operators import selections as sl
+from ..operators import units as un
 from ..operators.fingerprint import simhash
 from .registry import query
 
@@ -73,3 +76,68 @@ def _(t):
     blocks, said = t("f_blocks"), t("f_translations")
     marked = blocks.sparkSession.sql(_MARKED, f_blocks=blocks)
     return sl.projected(marked, blocks, said.select("block_id", "text"))
+
+
+_CHAINS = "SELECT doc_id, CAST(floor(block_order / 12) AS BIGINT) AS chain, block_order, text FROM {f_blocks}"
+
+
+@query("seg5_round_trip", f"SELECT doc_id, chain, block_order, text, CAST(NULL AS VARCHAR) AS reason FROM ({_CHAINS.replace('{f_blocks}', 'f_blocks')})")
+def _(t):
+    blocks = t("f_blocks")
+    parts = blocks.sparkSession.sql(_CHAINS, f_blocks=blocks)
+    return un.split_units(parts, tm.joined_units(parts, ["doc_id", "chain"]), ["doc_id", "chain"]).drop("source")
+
+
+@query("tm16_prompts", """
+WITH g AS (SELECT string_agg(concat(term, ' => ', target), chr(10) ORDER BY term) AS lines FROM (SELECT DISTINCT source AS term, concat('<', source, '>') AS target FROM documents WHERE source IS NOT NULL)),
+n AS (SELECT *, lag(text) OVER w AS b, lead(text) OVER w AS a FROM f_blocks WHERE kind IN ('para', 'heading') WINDOW w AS (PARTITION BY doc_id ORDER BY block_order))
+SELECT block_id, concat('Translate.', chr(10), chr(10), 'Terms:', chr(10), lines) AS system, concat_ws(concat(chr(10), chr(10)), CASE WHEN b <> '' THEN concat('【上文】', b) END, concat('【本段】', text), CASE WHEN a <> '' THEN concat('【下文】', a) END) AS user FROM n, g""")
+def _(t):
+    terms = t("documents").where("source IS NOT NULL").select(F.col("source").alias("term"), F.concat(F.lit("<"), "source", F.lit(">")).alias("target")).distinct()
+    return un.prompts(t("f_blocks"), terms, "Translate.", "Terms:", "zh")
+
+
+# headings are units of their own, six lines of text another one; every fifth document got no answer
+_UNITS = "SELECT doc_id, block_id, block_order, text, CASE WHEN kind = 'heading' THEN block_id ELSE concat(paper_id, ' ', CAST(floor(block_order / 6) AS {S})) END AS unit FROM {f_blocks} WHERE kind <> 'figure'"
+
+
+@query("tm17_applied", f"""
+WITH u AS (SELECT *, count(*) OVER (PARTITION BY unit) AS n, regexp_matches(text, '\\b[a-z]{{2,}}\\b') AS prose FROM ({_UNITS.replace('{f_blocks}', 'f_blocks').replace('{S}', 'VARCHAR')}))
+SELECT block_id, CASE WHEN doc_id % 5 <> 0 THEN lower(text) WHEN n = 1 AND NOT prose THEN text END AS text, CASE WHEN doc_id % 5 = 0 AND n = 1 AND NOT prose THEN 'identity' ELSE 'stub' END AS model,
+  CASE WHEN doc_id % 5 = 0 THEN CASE WHEN n > 1 THEN 'blank' WHEN prose THEN 'untranslated' END END AS reason FROM u""")
+def _(t):
+    blocks = t("f_blocks")
+    parts = blocks.sparkSession.sql(_UNITS.replace("{S}", "STRING"), f_blocks=blocks).withColumn("known", F.lit(True))
+
+    def stub(asked):
+        said = F.when(F.col("doc_id") % 5 == 0, "").when(F.col("doc_id") % 7 == 0, F.concat(F.lit("<think>so</think>Translation: "), F.lower("text"))).otherwise(F.lower("text"))
+        return asked.select("unit", said.alias("text"), F.lit("p").alias("provider"), F.lit("stub").alias("model"), F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"))
+
+    asked = tm.joined_units(parts, ["doc_id", "unit"])
+    return un.translated(parts, asked, stub, "en")[0].drop("unit")
+
+
+# every user's turn is a question on a paper; what it hits in the text and in translations is told by its words' numbers
+_ASKED = "SELECT concat(session_id, ':', id) AS question_id, sha1(CAST(session_id % 150 AS STRING)) AS paper_id, text AS question, id % 7 = 0 AS whole FROM {f_chat} WHERE role = 'user'"
+_HITS = "SELECT question_id, block_id, {number} FROM {asked} q JOIN {f_blocks} b USING (paper_id) WHERE NOT whole AND (length(question) + block_order * {step}) % {every} = 0 {rest}"
+
+
+def _contexts(t):
+    chat, blocks = t("f_chat"), t("f_blocks")
+    sql = lambda text, **frames: blocks.sparkSession.sql(text, **frames)
+    asked = sql(_ASKED, f_chat=chat)
+    made = lambda number, step, every, rest: sql(_HITS.replace("{number}", number).replace("{step}", str(step)).replace("{every}", str(every)).replace("{rest}", rest), asked=asked, f_blocks=blocks)
+    hits = made("CAST(row_number() OVER (PARTITION BY question_id ORDER BY block_order) AS INT) AS rank", 3, 17, "AND length(question) % 3 <> 0").where("rank <= 8")
+    said = made("CAST(1 + block_order % 4 AS INT) AS score, row_number() OVER (PARTITION BY question_id ORDER BY block_order) AS r", 5, 23, "AND length(question) % 2 = 0").where("r <= 8").drop("r")
+    return asked, cx.chosen(asked, blocks, hits, said), blocks
+
+
+@query("ret8_chosen")
+def _(t):
+    return _contexts(t)[1].select("question_id", "block_id", "place")
+
+
+@query("ret9_contexts")
+def _(t):
+    asked, chosen, blocks = _contexts(t)
+    return cx.contexts(chosen, asked, blocks, t("f_papers").select("id", "title"))
