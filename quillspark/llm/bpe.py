@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 from .scratch import bucketed
 from .words import span_hashes
 
-#: Bytes of text in a chunk, or a longer text. The more, the fewer words are in several chunks.
+#: Bytes of text in a chunk, and a slice or a longer text beyond them. The more, the fewer words are in several chunks.
 CHUNK = 10_000_000
+#: Bytes of text that are taken apart at a time.
+SLICE = 2_000_000
 #: A vocabulary is broadcast, so its size is checked.
 MOST_PIECES = 1_000_000
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -136,8 +138,9 @@ def chunks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         named = words.dictionary_encode()
         codes = named.indices.to_numpy(zero_copy_only=False)
         by_rank = np.argsort(-np.bincount(codes, minlength=len(named.dictionary)), kind="stable")
-        rank = np.empty(len(by_rank), np.int64)
+        rank = np.empty(len(by_rank), np.uint32)
         rank[by_rank] = np.arange(len(by_rank))
+        del words
         data, off = _flat(named.dictionary)
         part = (span_hashes(data, off[:-1], off[1:]) % np.uint64(n_parts)).astype(np.int32)
         order = pc.sort_indices(pa.table({"part": part, "word": named.dictionary}), sort_keys=[("part", "ascending"), ("word", "ascending")]).to_numpy()
@@ -163,18 +166,15 @@ def chunks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
             strange = batch.column("odd").null_count == 0
             a = 0
             while a < batch.num_rows:
-                room = size - bytes_held
-                b = a + int(np.searchsorted(np.cumsum(sizes[a:]), room, side="right"))
-                if b == a and not held:
-                    b += 1  # a text longer than a chunk
-                if b > a:
-                    told = _strange_words(batch.column("odd").slice(a, b - a), _tokenizer(tokenizer).pre_tokenizer, special) if strange else _split(marked.slice(a, b - a))
-                    held.append((ids.slice(a, b - a), *told))
-                    bytes_held += int(sizes[a:b].sum())
-                if b < batch.num_rows:
+                b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), min(SLICE, size), side="right")))
+                told = _strange_words(batch.column("odd").slice(a, b - a), _tokenizer(tokenizer).pre_tokenizer, special) if strange else _split(marked.slice(a, b - a))
+                held.append((ids.slice(a, b - a), *told))
+                bytes_held += int(sizes[a:b].sum())
+                if bytes_held >= size:
                     yield packed(held, n)
-                    n, held, bytes_held = n + 1, [], 0
+                    n, bytes_held = n + 1, 0
                 a = b
+            del batch, ids, marked
         if held:
             yield packed(held, n)
 
@@ -182,9 +182,13 @@ def chunks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
 
 
 def _odd_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of rows with words, and of rows that the library has to split."""
+    """Batches of rows that Spark has split, and of rows that the library has to split."""
     for batch in batches:
         strange = pc.is_valid(batch.column("odd"))
+        if not pc.any(strange).as_py():
+            if batch.num_rows:
+                yield batch
+            continue
         for part in (batch.filter(pc.invert(strange)), batch.filter(strange)):
             if part.num_rows:
                 yield part
@@ -198,9 +202,10 @@ def _split(marked: pa.Array) -> tuple[pa.Array, pa.Array]:
     at = np.flatnonzero(data[:-2] == a)
     at = at[(data[at + 1] == b) & (data[at + 2] == c)]
     kept = np.ones(len(data), bool)
-    kept[at] = kept[at + 1] = kept[at + 2] = False
-    upto = at - 3 * np.arange(len(at))
-    words = _texts(data[kept].tobytes(), np.diff(upto, prepend=0))
+    for k in range(3):
+        kept[at + k] = False
+    upto = np.concatenate([[0], at - 3 * np.arange(len(at))]).astype(np.int32)  # a chunk's bytes, or one text's
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(upto), pa.py_buffer(data[kept]))
     return words, pa.array(np.diff(np.searchsorted(at, off - off[0])), pa.int32())
 
 
@@ -212,7 +217,7 @@ def _strange_words(texts: pa.Array, cutter, special: list[str]) -> tuple[pa.Arra
         for i, part in enumerate(text.split(special[0]) if special else [text]):
             out += ([special[0]] if i else []) + [bytes(BYTE_OF[c] for c in w).decode() for w, _ in cutter.pre_tokenize_str(part)]
         sizes.append(len(out) - before)
-    return pa.array(out, pa.large_string()), pa.array(sizes, pa.int32())
+    return pa.array(out, pa.string()), pa.array(sizes, pa.int32())
 
 
 def pieces(tokenizer: str) -> list[bytes]:
