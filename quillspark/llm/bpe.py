@@ -231,6 +231,21 @@ def pieces(tokenizer: str) -> list[bytes]:
     return out
 
 
+def _joined(lists: pa.ListArray, known: list[bytes]) -> pa.Array:
+    """The texts of lists of ids: each id is joined with its piece, which is at its place in the table, and the pieces with one another."""
+    off = np.asarray(lists.offsets)
+    ids = np.asarray(lists.values.slice(off[0], off[-1] - off[0]).fill_null(-1)).astype(np.int32)
+    ids[(ids < 0) | (ids >= len(known))] = len(known) - 1  # the last piece is empty
+    found = pa.array(known, pa.large_binary()).take(pa.array(ids))
+    upto = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] if len(found) else np.zeros(1, np.int64)
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(upto[off - off[0]]), found.buffers()[2] or pa.py_buffer(b"")])
+    try:
+        texts = whole.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([x.decode(errors="replace") for x in whole.to_pylist()], pa.string())
+    return pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
+
+
 def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """``tokens`` with the ``text`` of its ``ids``: each id is joined with its piece, as a place in the table of pieces, and a row's pieces are put together by position.
 
@@ -242,27 +257,17 @@ def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids", text: str = "tex
     known = pieces(tokenizer)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(known, pa.large_binary())
         for batch in batches:
-            lists = batch.column(ids)
-            off = np.asarray(lists.offsets)
-            flat = np.asarray(lists.values.slice(off[0], off[-1] - off[0]).fill_null(-1)).astype(np.int64)
-            found = table.take(pa.array(np.where((flat >= 0) & (flat < len(known)), flat, len(known) - 1)))  # the last piece is empty
-            upto = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] if len(found) else np.zeros(1, np.int64)
-            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(upto[off - off[0]]), found.buffers()[2] or pa.py_buffer(b"")])
-            try:
-                texts = whole.cast(pa.large_string()).cast(pa.string())
-            except pa.ArrowInvalid:
-                texts = pa.array([x.decode(errors="replace") for x in whole.to_pylist()], pa.string())
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)], names=out.names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], _joined(batch.column(ids), known)], names=out.names)
 
     return tokens.select(*names).mapInArrow(told, out)
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
     """(id_col, n_tokens, ids) of each row of ``docs``: the ids of its whole text, as the library has them without added special ids.
 
+    With ``decoded`` also the text of these ids, as ``decode`` would add it, by the same task that has put them together.
+
     A null text is an empty one: no ids. Rows without an id or with a repeated one are encoded like others; other
     columns are not read. A text of any length is one row.
     """
@@ -286,24 +291,27 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
 
     found = sent.groupBy("part").applyInArrow(encoded, "chunk long, part int, n_ids binary, ids binary")
     rows = table.select(F.col("chunk").alias("of"), F.col("ids").alias("keys"), "sizes", "codes", "places")
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("text", T.StringType())] if decoded else [])])
+    known = pieces(tokenizer) if decoded else []
 
     def put_back(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.take(pc.sort_indices(right.column("part")))
-        n_ids = np.concatenate([np.zeros(0, np.int64), *[_numbers(x.as_py()) for x in right.column("n_ids")]])
+        n_ids = np.concatenate([np.zeros(0, np.int64), *[_numbers(x.as_py()) for x in right.column("n_ids")]]).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.int64), *[_numbers(x.as_py()) for x in right.column("ids")]]).astype(np.int32)
-        begin = np.cumsum(n_ids) - n_ids
+        begin = np.cumsum(n_ids, dtype=np.int32) - n_ids
         out = []
         for i in range(left.num_rows):  # one: a chunk is one row
             keys, sizes = _whole(left.column("keys"))[i].values, np.asarray(_whole(left.column("sizes"))[i].values)
-            word = _numbers(left.column("places")[i].as_py())[_numbers(left.column("codes")[i].as_py())]
+            word = _numbers(left.column("places")[i].as_py())[_numbers(left.column("codes")[i].as_py())].astype(np.int32)
             n = n_ids[word]
-            upto = np.concatenate([[0], np.cumsum(n)])
-            at = np.arange(upto[-1])
+            upto = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            at = np.arange(upto[-1], dtype=np.int32)
             at += np.repeat(begin[word] - upto[:-1], n)
             of_texts = upto[np.concatenate([[0], np.cumsum(sizes)])]
-            lists = pa.ListArray.from_arrays(pa.array(of_texts, pa.int32()), pa.array(flat[at]))
-            out.append(pa.table([keys, pa.array(np.diff(of_texts), pa.int64()), lists], names=schema.names))
+            del word, n, upto
+            lists = pa.ListArray.from_arrays(pa.array(of_texts), pa.array(flat[at]))
+            del at
+            out.append(pa.table([keys, pa.array(np.diff(of_texts).astype(np.int64)), lists, *([_joined(lists, known)] if decoded else [])], names=schema.names))
         return pa.concat_tables(out)
 
     return rows.groupBy("of").cogroup(found.groupBy("chunk")).applyInArrow(put_back, schema)

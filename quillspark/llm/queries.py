@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode, encode, with_sha256
+from .bpe import encode, with_sha256
 from .decontaminate import overlaps
 from .html_extract import extract
 from .jaccard_join import jaccard_components
@@ -87,7 +87,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_sha256(decode(encode(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER), BYTE_TOKENIZER))
+    out = with_sha256(encode(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, decoded=True))
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 

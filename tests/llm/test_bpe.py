@@ -30,7 +30,7 @@ def test_every_row_as_the_library_has_it(spark, tokenizer):
     texts = strange_texts()
     rows = [(i, t, "c", 7) for i, t in enumerate(texts)] + [(None, "no id", "c", 7), (3, "repeated id", "c", 7), (3, "repeated id", "c", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, chunk string, code int")
-    out = bpe.with_sha256(bpe.decode(bpe.encode(docs, PATH), PATH).withColumn("again", F.col("ids")))
+    out = bpe.with_sha256(bpe.encode(docs, PATH, decoded=True).withColumn("again", F.col("ids")))
     want = []
     for i, t, *_ in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
