@@ -56,16 +56,15 @@ _FOLD = f"trim(regexp_replace({{}}, '{WS}', ' ', 'g'))"
 
 @query("tm15_digests", f"""SELECT doc_id, latin >= {fixed.LATIN_LEAST} AND latin >= han * {fixed.LATIN_SHARE} AS latin, latin >= {fixed.LATIN_LEAST} AND latin >= han * {fixed.LATIN_SHARE} AND NOT echo AS digest FROM (
 SELECT doc_id, {_n('x', '[A-Za-z]')} AS latin, {_n('x', '[一-鿿]')} AS han, x <> '' AND (contains(c, substr(x, 1, 40)) OR contains(c, substr(x, CAST(floor(greatest(length(x) - 40, 0) / 2) AS INT) + 1, 40)) OR contains(c, substr(x, greatest(length(x) - 40, 0) + 1, 40))) AS echo
-FROM (SELECT doc_id, {_FOLD.format("CASE WHEN doc_id % 2 = 0 THEN reverse(first_line) ELSE first_line END")} AS x, {_FOLD.format("text")} AS c FROM f_first JOIN documents USING (doc_id)))""")
+FROM (SELECT doc_id, {_FOLD.format("CASE WHEN doc_id % 2 = 0 THEN reverse(text) ELSE text END")} AS x, {_FOLD.format("text")} AS c FROM documents))""")
 def _(t):
-    line = t("f_first").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.reverse("first_line")).otherwise(F.col("first_line")).alias("x"))
-    both = line.join(t("documents").select("doc_id", "text").hint("merge"), "doc_id")
+    both = t("documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.reverse("text")).otherwise(F.col("text")).alias("x"))
     return both.select("doc_id", gates.in_target_script(F.col("x"), "fr").alias("latin"), gates.digest(F.col("x"), F.col("text"), "fr").alias("digest"))
 
 
 @query("ret5_ret6_strong_hits", """
 WITH said AS (SELECT doc_id AS paper_id, block_id, text FROM f_translations JOIN (SELECT block_id, doc_id FROM f_blocks) USING (block_id)),
-asked AS (SELECT DISTINCT doc_id AS paper_id, unnest(regexp_extract_all(lower(first_line), '[a-z]{5,}')) AS term FROM f_first),
+asked AS (SELECT DISTINCT doc_id AS paper_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS term FROM documents),
 found AS (SELECT s.*, term FROM said s JOIN asked USING (paper_id) WHERE contains(text, term)),
 useful AS (SELECT paper_id, term FROM (SELECT paper_id, term, count(*) AS df FROM found GROUP BY ALL) JOIN (SELECT paper_id, count(*) AS n FROM said GROUP BY paper_id) USING (paper_id) WHERE df <= greatest(1, floor(n * 0.4))),
 scored AS (SELECT paper_id, block_id, sum(length(term)) AS score FROM found JOIN useful USING (paper_id, term) GROUP BY ALL)
@@ -74,7 +73,7 @@ def _(t):
     from pyspark.sql import Window
 
     said = t("f_translations").select("block_id", "text").join(t("f_blocks").select("block_id", F.col("doc_id").alias("paper_id")).hint("merge"), "block_id")
-    asked = t("f_first").select(F.col("doc_id").alias("paper_id"), F.explode(F.regexp_extract_all(F.lower("first_line"), F.lit("[a-z]{5,}"), 0)).alias("term")).distinct()
+    asked = t("documents").select(F.col("doc_id").alias("paper_id"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)).alias("term")).distinct()
     top = ret.search_translations(said, asked)
     return top.select("paper_id", "block_id", "score", (F.max("score").over(Window.partitionBy("paper_id")) >= 4).alias("strong"))
 

@@ -124,14 +124,14 @@ _BARE = ", ".join(f"CASE WHEN starts_with(w, '{p}') AND length(w) >= {len(p) + d
 
 @query("txt14_jn13_looked_up", f"""
 WITH kept AS ({_KEPT}),
-asked AS (SELECT DISTINCT concat(w, CASE length(w) % 3 WHEN 0 THEN 's' WHEN 1 THEN 'ing' ELSE '' END) AS w FROM f_words WHERE length(w) <= 20),
+asked AS (SELECT DISTINCT concat(w, CASE length(w) % 3 WHEN 0 THEN 's' WHEN 1 THEN 'ing' ELSE '' END) AS w FROM f_words),
 plain AS (SELECT w, list_concat([w], list_filter([{_CUT}], lambda c: length(c) >= 2)) AS p FROM asked),
 forms AS (SELECT w, list_concat(list_concat(p, list_transform(list_filter(p, lambda c: length(c) > 2 AND right(c, 1) = right(left(c, length(c) - 1), 1) AND regexp_matches(c, '[b-df-hj-np-tv-z]$')), lambda c: left(c, length(c) - 1))), list_filter([{_BARE}], lambda c: c IS NOT NULL)) AS c FROM plain),
 placed AS (SELECT w, unnest(c) AS word, unnest(range(1, len(c) + 1)) AS place FROM forms)
 SELECT w AS term, word, phonetic, translation FROM placed JOIN kept USING (word) QUALIFY row_number() OVER (PARTITION BY w ORDER BY place) = 1""")
 def _(t):
     ending = F.when(F.char_length("w") % 3 == 0, "s").when(F.char_length("w") % 3 == 1, "ing").otherwise("")
-    return dic.looked_up(t("f_words").where("length(w) <= 20").select(F.concat("w", ending).alias("term")), dic.trimmed(t("f_dictionary")))
+    return dic.looked_up(t("f_words").select(F.concat("w", ending).alias("term")), dic.trimmed(t("f_dictionary")))
 
 
 @query("tm13_repaired_marks", "SELECT block_id, concat(text, ' ^2^ 9', '^2^~i~', '. ') AS text FROM f_translations")
@@ -174,8 +174,8 @@ def _(t):
     return fs.ingested(files, known)[0].select("id", "path")
 
 
-@query("udf6_text_words", "SELECT doc_id, CAST(i - 1 AS INT) AS place, k[i] AS word FROM (SELECT doc_id, regexp_extract_all(lower(regexp_replace(first_line, '([a-zA-Z])-[ \\t\\n\\r\\f\\v]+([a-zA-Z])', '\\1\\2', 'g')), '[a-z0-9]+|[一-鿿㐀-䶿]') AS k FROM f_first), UNNEST(range(1, len(k) + 1)) u(i)")
+@query("udf6_text_words", "SELECT doc_id, CAST(i - 1 AS INT) AS place, k[i] AS word FROM (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '([a-zA-Z])-[ \\t\\n\\r\\f\\v]+([a-zA-Z])', '\\1\\2', 'g')), '[a-z0-9]+|[一-鿿㐀-䶿]') AS k FROM documents), UNNEST(range(1, len(k) + 1)) u(i)")
 def _(t):
-    lines = t("f_first")
-    register(lines.sparkSession)
-    return lines.sparkSession.sql("SELECT doc_id, place, word FROM {lines}, LATERAL text_words(first_line)", lines=lines)
+    docs = t("documents")
+    register(docs.sparkSession)
+    return docs.sparkSession.sql("SELECT doc_id, place, word FROM {docs}, LATERAL text_words(text)", docs=docs)

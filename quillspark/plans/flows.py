@@ -70,7 +70,13 @@ def _(t):
     return tm.work_list(t("f_blocks"), t("f_translations"), 1, 1, ~F.col("text").rlike("[A-Za-z]{2,}")).select("block_id", "action")
 
 
-@query("tm6_migrated")
+@query("tm6_migrated", f"""
+WITH new AS (SELECT paper_id, concat(paper_id, ':', CAST(page AS VARCHAR), ':', CAST(block_order + 1 AS VARCHAR)) AS block_id, sha1(text) AS content FROM f_blocks),
+alone AS (SELECT paper_id, content, min(block_id) AS "to" FROM new GROUP BY ALL HAVING count(*) = 1),
+r AS (SELECT t.block_id AS old_id, glossary_version, prompt_version, "to", CASE WHEN "to" IS NOT NULL THEN 1 WHEN n.content = sha1(b.text) THEN 2 WHEN n.content IS NULL THEN 3 END AS rule
+  FROM f_translations t JOIN f_blocks b USING (block_id) LEFT JOIN alone a ON a.paper_id = b.paper_id AND a.content = sha1(b.text) LEFT JOIN new n ON n.block_id = t.block_id WHERE {_inline('b.text')} = {_inline('t.text')}),
+p AS (SELECT old_id, CASE WHEN rule = 1 THEN "to" ELSE old_id END AS block_id, glossary_version, prompt_version, rule FROM r WHERE rule IS NOT NULL)
+SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY block_id, glossary_version, prompt_version ORDER BY rule, old_id) = 1""")
 def _(t):
     new = t("f_blocks").withColumn("block_id", F.concat_ws(":", "paper_id", F.col("page").cast("string"), (F.col("block_order") + 1).cast("string")))
     return tm.migrate(t("f_translations"), t("f_blocks"), new)
@@ -152,7 +158,7 @@ def _(t):
     return st.outline(t("f_blocks"))
 
 
-@query("seg2_references")
+@query("seg2_references", f"SELECT block_id, coalesce(regexp_matches(section, '{st.REFERENCES}'), false) AS in_references FROM f_blocks")
 def _(t):
     return t("f_blocks").select("block_id", st.in_references(F.col("section")).alias("in_references"))
 
@@ -177,7 +183,14 @@ def _(t):
     return ret.postings(t("documents"), "doc_id").select("term", "doc_id", "length", "tf")
 
 
-@query("ret3_top5_bm25")
+@query("ret3_top5_bm25", """
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}|[一-鿿]')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), l AS (SELECT doc_id, count(*) AS length FROM w GROUP BY ALL), c AS (SELECT count(*) AS n, avg(length) AS mean FROM l), d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+k AS (SELECT conv_id * 1000 + turn AS question_id, list_concat(regexp_extract_all(text, '[a-zA-Z0-9]{3,}'), regexp_extract_all(text, '[一-鿿]')) AS every FROM conversations WHERE role = 'user'),
+u AS (SELECT question_id, list_filter(every, lambda x, i: list_position(every, x) = i)[1:12] AS picked FROM k),
+q AS (SELECT DISTINCT question_id, lower(unnest(picked)) AS term FROM u),
+s AS (SELECT question_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM q JOIN d USING (term) JOIN p USING (term) JOIN l USING (doc_id), c GROUP BY ALL)
+SELECT question_id, doc_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 8""")
 def _(t):
     asked = t("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
     return ret.bm25(asked, ret.postings(t("documents"), "doc_id"), 8, "doc_id")

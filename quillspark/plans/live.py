@@ -6,6 +6,14 @@ from ..streaming import ledgers as led
 from .registry import query
 
 
+def _repeats(keys: str, millis: int, rows: str) -> str:
+    """Rows of a key in order of time, each against the last one that was no repeat."""
+    same = " AND ".join(f"e.{k} = f.{k}" for k in keys.split(", "))
+    return f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ms, event_id) AS i FROM ({rows})),
+f AS (SELECT {keys}, event_id, ms, i, ms AS last, false AS repeat FROM e WHERE i = 1
+  UNION ALL SELECT {", ".join(f"e.{k}" for k in keys.split(", "))}, e.event_id, e.ms, e.i, CASE WHEN e.ms - f.last < {millis} THEN f.last ELSE e.ms END, e.ms - f.last < {millis} FROM f JOIN e ON {same} AND e.i = f.i + 1)"""
+
+
 @query("str1_progress", "SELECT paper_id, max(progress) AS progress, max_by(scroll_position, {'t': ts, 'e': event_id}) AS scroll_position, max_by(last_section, {'t': ts, 'e': event_id}) AS last_section, CASE WHEN max(progress) >= 100 THEN 'done' ELSE 'reading' END AS status FROM f_progress GROUP BY paper_id")
 def _(t):
     return led.progress(t("f_progress"))
@@ -16,7 +24,7 @@ def _(t):
     return led.windowed_totals(t("f_usage"), "1 day")
 
 
-@query("str3_cache_hits")
+@query("str3_cache_hits", _repeats("query_norm, source", 24 * 3_600_000, "SELECT query_norm, source, event_id, epoch_us(ts) // 1000 AS ms FROM f_search_log") + " SELECT event_id, repeat AS hit FROM f")
 def _(t):
     return led.cached(t("f_search_log"))
 
@@ -41,7 +49,7 @@ def _(t):
     return led.run_totals(t("f_usage"))
 
 
-@query("str11_throttled")
+@query("str11_throttled", _repeats("key", 600, "SELECT CAST(user_id AS BIGINT) AS key, event_id, epoch_us(ts) // 1000 AS ms FROM events") + " SELECT key, event_id, ms AS \"at\" FROM f WHERE NOT repeat")
 def _(t):
     return led.throttled_batch(t("events"), "user_id")
 

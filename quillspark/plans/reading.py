@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as nm
 from ..operators import reading as rd
+from .corpus import _latin_sql
 from .registry import query
 
 WS = "[ \\t\\n\\r\\f\\v]+"
@@ -34,7 +35,7 @@ def _(t):
     return t("pages").select("page_id", F.posexplode(nm.links(text)).alias("position", "link")).withColumn("position", F.col("position").cast("long"))
 
 
-@query("txt10_document_language")
+@query("txt10_document_language", _latin_sql("(SELECT doc_id, string_agg(text, chr(10) ORDER BY page, block_order) AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, block_order) AS r FROM f_blocks WHERE kind = 'para') WHERE r <= 80 GROUP BY doc_id)").replace(" AS told FROM", " AS lang FROM"))
 def _(t):
     return rd.paper_language(t("f_blocks"))
 
@@ -144,7 +145,12 @@ def _(t):
     return rd.current_section(at, heads).select("event_id", "section")
 
 
-@query("cht3_appended_turns")
+@query("cht3_appended_turns", """
+WITH RECURSIVE s AS (SELECT session_id, min(id) AS updated_at FROM f_chat GROUP BY session_id),
+u AS (SELECT session_id, id, text, row_number() OVER (PARTITION BY session_id ORDER BY id, text) AS i FROM f_chat WHERE role = 'user'),
+a AS (SELECT session_id, CAST(0 AS BIGINT) AS i, updated_at FROM s UNION ALL SELECT a.session_id, u.i, greatest(a.updated_at + 1, u.id) FROM a JOIN u ON u.session_id = a.session_id AND u.i = a.i + 1),
+l AS (SELECT session_id, max_by(updated_at, i) AS updated_at FROM a GROUP BY session_id)
+SELECT session_id, substr(trim(regexp_replace(regexp_replace(text, '^(?:>[^\n]*\n)+', ''), '[ \t\n\r\f\v]+', ' ', 'g')), 1, 48) AS title, updated_at FROM l LEFT JOIN u ON u.session_id = l.session_id AND u.i = 1""".replace("FROM l LEFT JOIN u ON u.session_id = l.session_id AND u.i = 1", "FROM l LEFT JOIN (SELECT session_id, text FROM u WHERE i = 1) USING (session_id)"))
 def _(t):
     sessions = t("f_chat").groupBy("session_id").agg(F.min("id").alias("updated_at")).select("session_id", F.lit(None).cast("string").alias("title"), "updated_at")
     return rd.appended_turns(sessions, t("f_chat").where("role = 'user'").select("session_id", F.col("text").alias("question"), F.col("id").alias("now")))

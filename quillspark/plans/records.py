@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import biblio as bib
 from ..operators import library as lib
+from ..operators import reading as rd
 from ..operators import usage as use
 from .registry import query
 
@@ -28,9 +29,9 @@ def _(t):
     return t("pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
 
 
-@query("src7_inverted_abstracts", "SELECT doc_id, array_to_string(list_slice(w, 1, 5000), ' ') AS abstract FROM (SELECT doc_id, list_filter(string_split_regex(first_line, '[ \\t]+'), lambda x: x <> '') AS w FROM f_first)")
+@query("src7_inverted_abstracts", "SELECT doc_id, array_to_string(list_slice(w, 1, 5000), ' ') AS abstract FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> '') AS w FROM documents)")
 def _(t):
-    words = t("f_first").select("doc_id", F.posexplode_outer(F.filter(F.split("first_line", r"[ \t]+"), lambda w: w != "")).alias("pos", "word"))
+    words = t("documents").select("doc_id", F.posexplode_outer(F.filter(F.split("text", r"[ \t\n]+"), lambda w: w != "")).alias("pos", "word"))
     entries = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
     index = entries.groupBy("doc_id").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("word", "at")), lambda e: e["word"].isNotNull())).alias("index"))
     return index.select("doc_id", bib.abstract(F.col("index")).alias("abstract"))
@@ -192,11 +193,22 @@ def _(t):
     return bib.enriched(t("f_papers"), t("f_bib")).select("id", "title", "year")
 
 
-@query("set1_all_sources", "SELECT source, count(*) AS n FROM f_bib GROUP BY source")
+@query("set1_all_sources", """
+SELECT 'arXiv' AS source, concat('24', lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0'), '.', lpad(CAST(doc_id % 211 AS VARCHAR), 5, '0')) AS id, CAST(NULL AS INT) AS year, trim(regexp_replace(substr(first_line, 1, 80), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS title FROM f_first WHERE doc_id % 3 = 0
+UNION ALL SELECT source, concat('s2:', CAST(rec_id AS VARCHAR)), year, title FROM f_bib WHERE source = 'S2' AND title <> ''
+UNION ALL SELECT source, concat('oa:W', CAST(rec_id AS VARCHAR)), year, title FROM f_bib WHERE source = 'OpenAlex' AND title <> '' AND rec_id % 2 = 0""")
 def _(t):
-    r = t("f_bib")
-    parts = [r.where(F.col("source") == s) for s in bib.SOURCE_RANK]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    # each source's own form becomes records, and all of them one table; columns that a source has not are null
+    number = F.concat(F.lit("24"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad((F.col("doc_id") % 211).cast("string"), 5, "0"))
+    entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/"), number, F.lit("v1</id><title>"), F.substring("first_line", 1, 80), F.lit("</title></entry>"))
+    atom = bib.atom_records(t("f_first").where("doc_id % 3 = 0").select("doc_id", entry.alias("xml"))).select(F.lit("arXiv").alias("source"), F.col("arxiv_id").alias("id"), "title")
+    own = t("f_bib").withColumn("rec", F.col("rec_id").cast("string"))
+    graph = F.to_json(F.struct(F.col("rec").alias("paperId"), "title", "year"))
+    s2 = rd.graph_records(own.where("source = 'S2'").select("rec_id", graph.alias("json")), ["rec_id"]).select(F.lit("S2").alias("source"), "id", "title", "year")
+    place = F.struct(F.lit("https://zenodo.org/b.pdf").alias("pdf_url"), F.struct(F.when(F.col("rec_id") % 2 == 0, "repository").otherwise("journal").alias("type")).alias("source"))
+    work = F.to_json(F.struct(F.concat(F.lit("https://openalex.org/W"), "rec").alias("id"), "title", F.col("year").alias("publication_year"), F.array(place).alias("locations")))
+    oa = rd.open_graph_records(own.where("source = 'OpenAlex'").select("rec_id", work.alias("json")), ["rec_id"]).select(F.lit("OpenAlex").alias("source"), "id", "title", "year")
+    return atom.unionByName(s2, allowMissingColumns=True).unionByName(oa, allowMissingColumns=True)
 
 
 @query("use3_use4_costs", "SELECT event_id, CASE WHEN contains(model, 'claude-sonnet') THEN (input_tokens * 3.0::DOUBLE + output_tokens * 15.0::DOUBLE) / 1000000 WHEN contains(model, 'gpt-4o-mini') THEN (input_tokens * 0.15::DOUBLE + output_tokens * 0.6::DOUBLE) / 1000000 WHEN contains(model, 'deepseek') THEN (input_tokens * 0.27::DOUBLE + output_tokens * 1.1::DOUBLE) / 1000000 WHEN contains(model, 'qwen') THEN (input_tokens * 0.1::DOUBLE + output_tokens * 0.4::DOUBLE) / 1000000 END AS usd FROM f_usage")
@@ -204,7 +216,10 @@ def _(t):
     return use.cost(t("f_usage")).select("event_id", "usd")
 
 
-@query("use5_overview")
+_MONEY = "CASE WHEN contains(model, 'claude-sonnet') THEN (input_tokens * 3.0::DOUBLE + output_tokens * 15.0::DOUBLE) / 1000000 WHEN contains(model, 'gpt-4o-mini') THEN (input_tokens * 0.15::DOUBLE + output_tokens * 0.6::DOUBLE) / 1000000 WHEN contains(model, 'deepseek') THEN (input_tokens * 0.27::DOUBLE + output_tokens * 1.1::DOUBLE) / 1000000 WHEN contains(model, 'qwen') THEN (input_tokens * 0.1::DOUBLE + output_tokens * 0.4::DOUBLE) / 1000000 END"
+
+
+@query("use5_overview", f"SELECT CAST(date_trunc('month', ts) AS DATE) AS month, round(sum(usd), 6) AS usd, coalesce(string_agg(DISTINCT CASE WHEN usd IS NULL THEN model END, ',' ORDER BY CASE WHEN usd IS NULL THEN model END), '') AS unpriced FROM (SELECT ts, model, {_MONEY} AS usd FROM f_usage) GROUP BY 1")
 def _(t):
     return use.overview(t("f_usage"))
 
