@@ -31,9 +31,9 @@ from .words import Words, member, mix, offered_keys, pack, repeated_keys, run_ha
 
 GROUPS = 128
 #: Rows of one key that meet in one task; larger keys are dealt out by pairs of chunks.
-CHUNK = 20_000
+CHUNK = 10_000
 #: Rows of all the neighbourhoods that are put together in one group, about.
-BAG = 5_000
+BAG = 1_500
 FANOUT = 16
 #: Pairs that a task holds before the finer bound sifts them.
 PENDING = 200_000
