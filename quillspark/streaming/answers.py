@@ -16,6 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.memory import batch_answers
 
+#: Milliseconds after which an answer without a last chunk is given up.
+ABANDONED = 3_600_000
 OPEN, CLOSE = "<think>", "</think>"
 MARK = re.compile(r"^【(\d{1,9})】", re.MULTILINE)
 
@@ -39,25 +41,32 @@ def without_thinking(chunks: DataFrame) -> DataFrame:
     """A stream's (key, seq, text): what each chunk adds to the answer; what may be half a tag waits for the next chunk."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         inside, carry = state.get if state.exists else (False, "")
-        rows = []
+        rows, ended = [], False
         for seq, chunk, last in _in_order(parts):
             text, inside, carry = shown(carry + chunk, inside)
             if last:
                 text, inside, carry = text + ("" if inside else carry), False, ""
             rows.append((key[0], seq, text))
-        state.update((inside, carry))
+            ended = bool(last)
+        _kept(state, (inside, carry), ended)
         yield pd.DataFrame(rows, columns=["key", "seq", "text"])
 
-    return chunks.groupBy("key").applyInPandasWithState(step, f"key {_key(chunks)}, seq long, text string", "inside boolean, carry string", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("key").applyInPandasWithState(step, f"key {_key(chunks)}, seq long, text string", "inside boolean, carry string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def finished_parts(chunks: DataFrame) -> DataFrame:
     """A stream's (key, n, text): a part 【n】 of an answer as soon as the next one begins, each number once, no blank ones; the last part at the end."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         buffer, told = state.get if state.exists else ("", "")
-        done = set(told.split())
+        done, ended = set(told.split()), False
         rows = []
         for _, chunk, last in _in_order(parts):
             buffer += chunk
@@ -68,11 +77,13 @@ def finished_parts(chunks: DataFrame) -> DataFrame:
                 if text and mark[1] not in done:
                     done.add(mark[1])
                     rows.append((key[0], int(mark[1]), text))
-            buffer = "" if last else buffer[marks[-1].start() :] if marks else buffer
-        state.update((buffer, " ".join(sorted(done))))
+            # before a first mark only the line that may begin with it is kept
+            buffer = "" if last else buffer[marks[-1].start() if marks else buffer.rfind("\n") + 1 :]
+            ended = bool(last)
+        _kept(state, (buffer, " ".join(sorted(done))), ended)
         yield pd.DataFrame(rows, columns=["key", "n", "text"])
 
-    return chunks.groupBy("key").applyInPandasWithState(step, f"key {_key(chunks)}, n long, text string", "buffer string, done string", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("key").applyInPandasWithState(step, f"key {_key(chunks)}, n long, text string", "buffer string, done string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def whole_answers(chunks: DataFrame) -> DataFrame:
@@ -86,6 +97,16 @@ def whole_parts(chunks: DataFrame) -> DataFrame:
     return batch_answers(whole_answers(chunks), ["key"])
 
 
+def _kept(state: GroupState, value: tuple, ended: bool) -> None:
+    """State goes with the answer's last chunk, or when none has come for ``ABANDONED``."""
+    if ended:
+        if state.exists:
+            state.remove()
+    else:
+        state.update(value)
+        state.setTimeoutDuration(ABANDONED)
+
+
 def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     rows = pd.concat(list(parts)).sort_values("seq")
     return zip(rows["seq"], rows["chunk"].fillna(""), rows["last"], strict=True)

@@ -43,64 +43,92 @@ def run_totals(usage: DataFrame) -> DataFrame:
     return usage.groupBy("task").agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("tokens"))
 
 
-def cooling(log: DataFrame, seconds: int = 60) -> DataFrame:
-    """Requests to a source within ``seconds`` after its last 429."""
-    before = Window.partitionBy("source").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("status") == 429, F.col("ts")), ignorenulls=True).over(before)
-    return log.withColumn("skipped", F.coalesce(F.col("ts") < last + F.expr(f"INTERVAL {seconds} SECONDS"), F.lit(False)))
-
-
 def distinct_requests(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def throttled(events: DataFrame, key: str, millis: int = 600) -> DataFrame:
-    """Of each key's events, those at least ``millis`` after the last one that was let through (a fold, not buckets)."""
-
-    def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
-        kept = []
-        for i, at in zip(rows["event_id"], rows["at"], strict=True):
-            if last is None or at - last >= millis:
-                kept.append((k[0], i, at))
-                last = at
-        state.update((last,))
-        yield pd.DataFrame(kept, columns=["key", "event_id", "at"])
-
-    rows = events.select(F.col(key).cast("long").alias("key"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(fold, "key long, event_id long, at long", "last long", "append", GroupStateTimeout.NoTimeout)
+def _step(at: int | None, last: int | None, opens: bool, millis: int, renew: bool) -> tuple[bool, int | None]:
+    """(is it within ``millis`` of the last opening, the last opening after it); an opening within one counts only where it renews."""
+    within = at is not None and last is not None and at - last < millis
+    return within, at if opens and at is not None and (renew or not within) else last
 
 
-def _repeats(rows: DataFrame, keys: list[str], millis: int) -> DataFrame:
-    """Rows (keys, event_id, at) with ``repeat``: less than ``millis`` after the key's last row that was no repeat; without a time it is none.
+def _within(rows: DataFrame, keys: list[str], millis: int, renew: bool = False, late: str = "1 hour") -> DataFrame:
+    """Rows (keys, event_id, at, opens, ts) with ``within``: less than ``millis`` after the key's last opening; without a time it is not.
 
-    A window brings a key's rows in order of time; the fold keeps one number of the key it is in, so a key of any size streams through.
+    On a table a window brings a key's rows in order of time, and the fold keeps one number of the key it is in, so a key of any
+    size streams through. On a stream that number is the key's state; it goes when the watermark, ``late`` behind, has passed its end.
     """
-    names = [*rows.columns, "repeat"]
-    ordered = rows.withColumn("first", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "event_id")) == 1)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [*keys, "event_id", "at", "within"]
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([*[T.StructField(k, kinds[k]) for k in [*keys, "event_id"]], T.StructField("at", T.LongType()), T.StructField("within", T.BooleanType())])
+
+    def stream_fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        told = pd.concat(list(parts)).sort_values(["at", "event_id"])
+        out = []
+        for i, at, opens in zip(told["event_id"], told["at"], told["opens"], strict=True):
+            at = None if pd.isna(at) else int(at)
+            within, last = _step(at, last, bool(opens), millis, renew)
+            out.append((*key, i, at, within))
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last + millis, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    def table_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
             told = []
-            for at, first in zip(batch.column("at").to_pylist(), batch.column("first").to_pylist(), strict=True):
-                last = None if first else last
-                repeat = at is not None and last is not None and at - last < millis
-                last = last if repeat or at is None else at
-                told.append(repeat)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(told, pa.bool_())], names=names)
+            for at, opens, first in zip(*[batch.column(c).to_pylist() for c in ("at", "opens", "first")], strict=True):
+                within, last = _step(at, None if first else last, opens, millis, renew)
+                told.append(within)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(told, pa.bool_())], names=names)
+
+    if rows.isStreaming:
+        timed = rows.withWatermark("ts", late)
+        return timed.groupBy(*keys).applyInPandasWithState(stream_fold, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    ordered = rows.withColumn("first", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "event_id")) == 1)
+    return ordered.mapInArrow(table_fold, schema)
 
-    return ordered.mapInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("repeat", T.BooleanType())]))
+
+def _timed(rows: DataFrame, keys: list, opens) -> DataFrame:
+    return rows.select(*keys, "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.coalesce(opens, F.lit(False)).alias("opens"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def throttled(events: DataFrame, key: str, millis: int = 600, late: str = "1 hour") -> DataFrame:
+    """Of each key's events, those at least ``millis`` after the last one that was let through (a fold, not buckets)."""
+    rows = _timed(events, [F.col(key).cast("long").alias("key")], F.lit(True))
+    return _within(rows, ["key"], millis, late=late).where("NOT within").drop("within")
 
 
 def throttled_batch(events: DataFrame, key: str, millis: int = 600) -> DataFrame:
     """The same on a table."""
-    rows = events.select(F.col(key).cast("long").alias("key"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
-    return _repeats(rows, ["key"], millis).where("NOT repeat").drop("repeat")
+    return throttled(events, key, millis)
 
 
-def cached(log: DataFrame, hours: int = 24) -> DataFrame:
+def cached(log: DataFrame, hours: int = 24, late: str = "1 hour") -> DataFrame:
     """(event_id, hit): a repeat of (query, source) within the lifetime of the last store is a hit; a miss stores anew."""
-    rows = log.select("query_norm", "source", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
-    return _repeats(rows, ["query_norm", "source"], hours * 3_600_000).select("event_id", F.col("repeat").alias("hit"))
+    return _within(_timed(log, ["query_norm", "source"], F.lit(True)), ["query_norm", "source"], hours * 3_600_000, late=late).select("event_id", F.col("within").alias("hit"))
+
+
+def cooling(log: DataFrame, seconds: int = 60, late: str = "1 hour") -> DataFrame:
+    """(source, event_id, skipped): requests to a source within ``seconds`` after its last 429."""
+    rows = _timed(log, ["source"], F.col("status") == 429)
+    return _within(rows, ["source"], seconds * 1000, renew=True, late=late).select("source", "event_id", F.col("within").alias("skipped"))
+
+
+def current_only(events: DataFrame, current: DataFrame, hours: int = 24, late: str = "1 hour") -> DataFrame:
+    """(paper_id, event_id) of events (paper_id, lang, state, event_id, ts) that still count, given what is ``current`` (paper_id, lang).
+
+    Events of another paper are foreign; one with a language counts in its paper's current language alone. Behind a terminal one
+    (``state`` done or failed) all of its paper are late, for so many hours; then a new round may begin. ``current`` is a table;
+    on a stream each batch meets it as it then is.
+    """
+    own = current.select("paper_id", F.col("lang").alias("now")).distinct()
+    joined = events.join(own.hint("shuffle_hash"), "paper_id").where(F.col("lang").isNull() | (F.col("lang") == F.col("now")))
+    rows = _timed(joined, ["paper_id"], F.col("state").isin("done", "failed"))
+    return _within(rows, ["paper_id"], hours * 3_600_000, late=late).where("NOT within").select("paper_id", "event_id")
