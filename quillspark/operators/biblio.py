@@ -123,3 +123,39 @@ def atom_records(feeds: DataFrame) -> DataFrame:
 
 def ranked(records: DataFrame) -> DataFrame:
     return records.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.coalesce("citations", F.lit(-1)).desc(), F.col("year").desc_nulls_last(), "rec_id")))
+
+
+def title_hits(papers: DataFrame, first: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, rec_id): records of a paper's very title of which an author's last name, of three letters or more, is on its first page.
+
+    ``papers``: id, title; ``first``: id, text; ``records``: rec_id, title, authors (array). Of several the smallest rec_id.
+    """
+    keyed = papers.select("id", tx.title_key(F.col("title")).alias("key")).where("key <> ''").join(first.select("id", F.lower("text").alias("page")).hint("merge"), "id")
+    names = F.transform(F.slice("authors", 1, 20), lambda a: F.lower(F.try_element_at(F.split(F.trim(a), r"\s+"), F.lit(-1))))
+    offered = records.select("rec_id", tx.title_key(F.col("title")).alias("key"), names.alias("names")).where("key <> ''")
+    met = keyed.hint("merge").join(offered.hint("merge"), "key").where(F.exists("names", lambda n: (F.length(n) >= 3) & F.contains(F.col("page"), n)))
+    return met.groupBy("id").agg(F.min("rec_id").alias("rec_id"))
+
+
+def trusted_hits(papers: DataFrame, first: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, rec_id, rule): the record that completes a paper of which authors, year or source are missing or whose title is one word; edited papers are left alone.
+
+    By arXiv id, then DOI, then title (``title_hits``). An id that the paper has, or an arXiv stamp, is sure; an id that was only read on
+    the first page may be a citation's, so its record has to have the paper's title. ``papers``: id, title, authors, year, source,
+    arxiv_id, doi, meta_edited; ``first``: id, text, arxiv_id, stamped, doi.
+    """
+    lacking = F.col("authors").isNull() | F.col("year").isNull() | F.col("source").isNull() | ~F.coalesce(F.col("title").rlike(r"\S\s+\S"), F.lit(False))
+    open_ones = papers.where(~F.coalesce("meta_edited", F.lit(False)) & lacking)
+    read = first.select("id", F.col("arxiv_id").alias("read_arxiv"), F.col("doi").alias("read_doi"), "stamped")
+    keyed = open_ones.select("id", "title", "arxiv_id", "doi").join(read.hint("merge"), "id", "left")
+    own = lambda c, r: F.struct(F.coalesce(c, r).alias("key"), F.col(c).isNotNull().alias("sure"))
+    keyed = keyed.select("id", tx.title_key(F.coalesce("title", F.lit(""))).alias("key"), own("arxiv_id", "read_arxiv").alias("a"), own("doi", "read_doi").alias("d"), F.coalesce("stamped", F.lit(False)).alias("stamped"))
+    offered = records.select("rec_id", tx.title_key(F.coalesce("title", F.lit(""))).alias("rec_key"), "arxiv_id", "doi")
+    same = (F.col("key") != "") & (F.col("key") == F.col("rec_key"))
+    by_arxiv = keyed.where("a.key IS NOT NULL").withColumn("arxiv_id", F.col("a.key")).hint("merge").join(offered.drop("doi").hint("merge"), "arxiv_id").where(F.col("a.sure") | F.col("stamped") | same)
+    by_doi = keyed.where("d.key IS NOT NULL").withColumn("doi", F.col("d.key")).hint("merge").join(offered.drop("arxiv_id").hint("merge"), "doi").where(F.col("d.sure") | same)
+    told = lambda hits, rank: hits.select("id", F.struct(F.lit(rank).alias("rank"), "rec_id").alias("hit"))
+    every = told(by_arxiv, 1).unionByName(told(by_doi, 2)).unionByName(told(title_hits(open_ones, first, records), 3))
+    best = every.groupBy("id").agg(F.min("hit").alias("hit"))
+    rule = F.element_at(F.array(*[F.lit(r) for r in ("arxiv", "doi", "title")]), F.col("hit.rank"))
+    return best.select("id", "hit.rec_id", rule.alias("rule"))

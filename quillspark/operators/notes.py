@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -12,6 +12,27 @@ NEAR = 12  # bits of 64 in which fingerprints of one paragraph may differ
 ANCHOR = "block_id string, char_start bigint, char_end bigint, excerpt string"
 
 
+#: An anchor whose parts are lines of their own.
+BLOCK_ANCHOR = r"(?m)^  (a\d+):[ \t]*\n((?:(?:    .*|[ \t]*)(?:\n|\z))+)"
+
+
+def scalar(value: Column) -> Column:
+    """The string that a YAML scalar stands for: plain, in single or double quotes, or a block (| or >); lines that go on are folded."""
+    text = F.regexp_replace(value, r"\A[ \t]+|\s+\z", "")
+    folded = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?<!\n)\n[ \t]*(?![ \t]*\n)", " "), r"\n[ \t]*(?:\n[ \t]*)", "\n")
+    block = F.regexp_replace(F.regexp_replace(text, r"\A[|>][-+]?[ \t]*\n", ""), r"(?m)^      ", "")
+    quoted = F.get_json_object(F.concat(F.lit('{"v":'), folded(F.regexp_replace(text, r"\\\n[ \t]*", "")), F.lit("}")), "$.v")
+    single = F.regexp_replace(F.regexp_replace(folded(text), r"\A'|'\z", ""), "''", "'")
+    return F.when(text.rlike(r"\A\|"), block).when(text.rlike(r"\A>"), folded(block)).when(F.startswith(text, F.lit('"')), quoted).when(F.startswith(text, F.lit("'")), single).otherwise(folded(text))
+
+
+def block_anchor(lines: Column) -> Column:
+    """An anchor (``ANCHOR``) out of lines "    name: value"; values may go on over deeper lines."""
+    value = lambda name: F.regexp_extract(lines, rf"(?ms)^    {name}:(.*?)(?=^    \S|\z)", 1)
+    made = [F.when(value(name) != "", scalar(value(name))).cast(kind).alias(name) for name, kind in (part.split() for part in ANCHOR.split(", "))]
+    return F.when(lines.isNotNull(), F.struct(*made))
+
+
 def note_files(notes: DataFrame) -> DataFrame:
     """(paper_id, content): a Markdown document for each paper of notes (paper_id, title, n, block_id, char_start, char_end, excerpt, stamp, text).
 
@@ -29,16 +50,17 @@ def note_files(notes: DataFrame) -> DataFrame:
 def note_entries(files: DataFrame) -> DataFrame:
     """(paper_id, anchor_id, stamp, text, anchor): the entries of note files; a heading of another kind ends one and begins none.
 
-    ``anchor`` is null where the front matter has none of that id in flow form. Files without a closed front matter give nothing.
+    ``anchor`` is null where the front matter has none of that id, be it in flow form or as a block of lines. Files without a closed front matter give nothing.
     """
     parts = files.select("paper_id", F.regexp_extract("content", r"(?s)\A---[ \t]*\n(.*?\n)---\n", 1).alias("front"), F.regexp_extract("content", r"(?s)\A---[ \t]*\n.*?\n---\n(.*)\z", 1).alias("body")).where("front <> ''")
     section = r"(?ms)^## (a\d+) · ([^\n]+)$(.*?)(?=^## |\z)"
     group = lambda text, pattern, g: F.regexp_extract_all(text, F.lit(pattern), g)
     anchors = F.map_from_entries(F.arrays_zip(group("front", r"(?m)^  (a\d+): (\{.*\})$", 1), group("front", r"(?m)^  (a\d+): (\{.*\})$", 2)))
+    told = F.map_from_entries(F.arrays_zip(group("front", BLOCK_ANCHOR, 1), group("front", BLOCK_ANCHOR, 2)))
     every = F.arrays_zip(group("body", section, 1).alias("anchor_id"), group("body", section, 2).alias("stamp"), group("body", section, 3).alias("text"))
-    rows = parts.select("paper_id", anchors.alias("anchors"), F.explode(every).alias("e"))
+    rows = parts.select("paper_id", anchors.alias("anchors"), told.alias("told"), F.explode(every).alias("e"))
     text = F.regexp_replace("e.text", r"\A\s+|\s+\z", "")
-    return rows.select("paper_id", "e.anchor_id", F.trim("e.stamp").alias("stamp"), text.alias("text"), F.from_json(F.try_element_at("anchors", "e.anchor_id"), ANCHOR).alias("anchor"))
+    return rows.select("paper_id", "e.anchor_id", F.trim("e.stamp").alias("stamp"), text.alias("text"), F.coalesce(F.from_json(F.try_element_at("anchors", "e.anchor_id"), ANCHOR), block_anchor(F.try_element_at("told", "e.anchor_id"))).alias("anchor"))
 
 
 def relocated(anchors: DataFrame, blocks: DataFrame) -> DataFrame:

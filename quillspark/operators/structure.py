@@ -101,3 +101,30 @@ def summary_context(blocks: DataFrame, budget: int = 6000) -> DataFrame:
     marked = blocks.where("kind <> 'figure'").withColumn("has", has).withColumn("first", first)
     kept = marked.where("has = 0 OR kind = 'heading' OR (first = 1 AND section IS NOT NULL)").drop("has", "first")
     return within_budget(kept, F.char_length("text") + 1, budget)
+
+
+# How many letters make a key of a text's beginning, and how many it has to have.
+KEY_LETTERS, KEY_LEAST = 48, 12
+
+
+def beginning_key(text: Column) -> Column:
+    """The first letters of a text, without placeholders, marks and a section's number."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"⟦f\d+⟧|\*\*|[*^~]", ""), r"^\s*(?:[A-Z]|\d+)(?:\.\d+)*\.?\s+", "")
+    return F.left(F.regexp_replace(F.lower(bare), "[^a-z]+", ""), F.lit(KEY_LETTERS))
+
+
+def placed_units(units: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(paper_id, unit_order, block_order, page): where units (paper_id, unit_order, text) of another edition stand among a paper's blocks.
+
+    A unit stands where the first paragraph or heading with its beginning does; one without such a block stands where
+    the unit before it does, the first ones at the paper's first block. Papers without blocks place nothing.
+    """
+    key = beginning_key(F.col("text"))
+    first = blocks.where(F.col("kind").isin("para", "heading")).select("paper_id", key.alias("key"), "page", "block_order").where(F.length("key") >= KEY_LEAST)
+    first = first.groupBy("paper_id", "key").agg(F.min(F.struct("page", "block_order")).alias("at"))
+    start = blocks.groupBy("paper_id").agg(F.min(F.struct("page", "block_order"))["block_order"].alias("start"))
+    keyed = units.select("paper_id", "unit_order", F.when(F.length(key) >= KEY_LEAST, key).alias("key")).join(start.hint("merge"), "paper_id")
+    met = keyed.join(first.hint("merge"), ["paper_id", "key"], "left")
+    carried = F.last("at", ignorenulls=True).over(Window.partitionBy("paper_id").orderBy("unit_order"))
+    placed = met.withColumn("at", carried)
+    return placed.select("paper_id", "unit_order", F.coalesce("at.block_order", "start").alias("block_order"), F.coalesce("at.page", F.lit(1)).alias("page"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import biblio as bib
 from ..operators import citations as ct
 from ..operators import context as cx
 from ..operators import memory as tm
 from ..operators import selections as sl
+from ..operators import structure as st
 from ..operators import units as un
 from ..operators.fingerprint import simhash
 from .registry import query
@@ -141,3 +143,48 @@ def _(t):
 def _(t):
     asked, chosen, blocks = _contexts(t)
     return cx.contexts(chosen, asked, blocks, t("f_papers").select("id", "title"))
+
+
+# another edition's units: some begin as a block does, numbered or in capitals, some don't
+_EDITION = "SELECT paper_id, block_order AS unit_order, CASE block_order % 4 WHEN 0 THEN concat('3.1 ', upper_ascii) WHEN 1 THEN concat('**', text, '** more') WHEN 2 THEN 'Not in there at all' ELSE text END AS text FROM (SELECT *, {UP} AS upper_ascii FROM {f_blocks})"
+_UP = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_KEY = "left(regexp_replace(lower(regexp_replace(regexp_replace({}, '⟦f\\d+⟧|\\*\\*|[*^~]', '', 'g'), '^\\s*(?:[A-Z]|\\d+)(?:\\.\\d+)*\\.?\\s+', '')), '[^a-z]+', '', 'g'), 48)"
+
+
+@query("seg9_jn14_placed", f"""
+WITH u AS (SELECT paper_id, unit_order, {_KEY.format('text')} AS k FROM ({_EDITION.replace('{UP}', _UP).replace('{f_blocks}', 'f_blocks')})),
+b AS (SELECT paper_id, k, min({{'p': page, 'o': block_order}}) AS f FROM (SELECT paper_id, page, block_order, {_KEY.format('text')} AS k FROM f_blocks WHERE kind IN ('para', 'heading')) WHERE length(k) >= 12 GROUP BY ALL),
+s AS (SELECT paper_id, min({{'p': page, 'o': block_order}}).o AS start FROM f_blocks GROUP BY paper_id),
+m AS (SELECT u.paper_id, unit_order, start, last_value(f IGNORE NULLS) OVER (PARTITION BY u.paper_id ORDER BY unit_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM u JOIN s USING (paper_id) LEFT JOIN b ON b.paper_id = u.paper_id AND b.k = u.k AND length(u.k) >= 12)
+SELECT paper_id, unit_order, coalesce(f.o, start) AS block_order, coalesce(f.p, 1) AS page FROM m""")
+def _(t):
+    blocks = t("f_blocks")
+    return st.placed_units(blocks.sparkSession.sql(_EDITION.replace("{UP}", _UP), f_blocks=blocks), blocks)
+
+
+# papers that lack something, what their first pages say, and records, a third of them with another title
+_LACKING = "SELECT id, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'Cut' ELSE substr(title, 1, 80) END AS title, CASE WHEN doc_id % 2 = 0 THEN 'Someone' END AS authors, year, 'arXiv' AS source, CASE WHEN doc_id % 8 = 0 THEN concat('A', CAST(doc_id % 300 AS {S})) END AS arxiv_id, CASE WHEN doc_id % 9 = 0 THEN concat('10.1/', CAST(doc_id % 200 AS {S})) END AS doi, meta_edited FROM {f_papers}"
+_FIRST = "SELECT id, concat(title, ' by Somebody') AS text, CASE WHEN doc_id % 3 = 0 THEN concat('A', CAST(doc_id % 300 AS {S})) END AS arxiv_id, doc_id % 6 = 0 AS stamped, CASE WHEN doc_id % 5 = 0 THEN concat('10.1/', CAST(doc_id % 200 AS {S})) END AS doi FROM {f_papers}"
+_OFFERED = "SELECT rec_id, CASE WHEN rec_id % 3 = 0 THEN concat(title, ' two') ELSE title END AS title, CASE WHEN rec_id % 4 = 1 THEN 'Nobody Else' ELSE 'A. Somebody' END AS author, CASE WHEN rec_id % 2 = 0 THEN concat('A', CAST(rec_id AS {S})) END AS arxiv_id, CASE WHEN rec_id % 2 = 1 THEN concat('10.1/', CAST(rec_id AS {S})) END AS doi FROM {f_bib}"
+_LETTERS = "lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
+
+
+def _made(t, sql, table):
+    frame = t(table)
+    return frame.sparkSession.sql(sql.replace("{S}", "STRING"), **{table: frame})
+
+
+_DUCK = lambda sql, table: sql.replace("{S}", "VARCHAR").replace(f"{{{table}}}", table)
+
+
+@query("bib13_bib14_trusted", f"""
+WITH o AS (SELECT *, {_LETTERS.format('title')} AS k FROM ({_DUCK(_LACKING, 'f_papers')}) WHERE NOT meta_edited AND (authors IS NULL OR year IS NULL OR source IS NULL OR NOT coalesce(regexp_matches(title, '\\S\\s+\\S'), false))),
+p AS (SELECT o.*, f.text, f.stamped, o.arxiv_id IS NOT NULL OR f.stamped AS sure_a, o.doi IS NOT NULL AS sure_d, coalesce(o.arxiv_id, f.arxiv_id) AS a, coalesce(o.doi, f.doi) AS d FROM o LEFT JOIN ({_DUCK(_FIRST, 'f_papers')}) f USING (id)),
+r AS (SELECT *, {_LETTERS.format('title')} AS rk FROM ({_DUCK(_OFFERED, 'f_bib')})),
+h AS (SELECT id, 1 AS rank, rec_id FROM p JOIN r ON p.a = r.arxiv_id WHERE sure_a OR (k <> '' AND k = rk) UNION ALL SELECT id, 2, rec_id FROM p JOIN r ON p.d = r.doi WHERE sure_d OR (k <> '' AND k = rk)
+  UNION ALL SELECT id, 3, rec_id FROM p JOIN r ON k <> '' AND k = rk AND author = 'A. Somebody' AND contains(lower(text), 'somebody') OR k <> '' AND k = rk AND author = 'Nobody Else' AND contains(lower(text), 'else')),
+b AS (SELECT id, min({{'rank': rank, 'rec_id': rec_id}}) AS hit FROM h GROUP BY id)
+SELECT id, hit.rec_id AS rec_id, ['arxiv', 'doi', 'title'][hit.rank] AS rule FROM b""")
+def _(t):
+    records = _made(t, _OFFERED, "f_bib").withColumn("authors", F.array("author")).drop("author")
+    return bib.trusted_hits(_made(t, _LACKING, "f_papers").drop("doc_id"), _made(t, _FIRST, "f_papers"), records)

@@ -98,3 +98,63 @@ def test_words_in_sql(spark):
     register(spark)
     rows = spark.sql("SELECT k, place, word FROM VALUES (1, 'Aug- mented 中文'), (2, ''), (3, NULL) t(k, x), LATERAL text_words(x)").collect()
     assert sorted(rows) == [(1, 0, "augmented"), (1, 1, "中"), (1, 2, "文")]
+
+
+def test_anchors_in_block_form(spark):
+    """Files as YAML writers lay them out: parts on lines of their own, long values folded, quotes where they are needed."""
+    content = """---
+paper: p
+title: Some title
+anchors:
+  a1:
+    block_id: p:1:2
+    char_start: 4
+    char_end: 90
+    simhash: 00ff
+    excerpt: a plain text that goes
+      on over a line
+  a2:
+    block_id: "p:1:3"
+    char_start: 0
+    char_end: 7
+    excerpt: "quoted: \\"with\\" \\
+      signs and é"
+  a3:
+    block_id: p:1:4
+    char_start: 0
+    char_end: 7
+    excerpt: 'it''s single'
+  a4:
+    block_id: p:1:5
+    char_start: 1
+    char_end: 2
+    excerpt: |-
+      two
+      lines
+  a5:
+    block_id: p:1:6
+    char_start: 1
+    char_end: 2
+    excerpt: >-
+      one folded
+      line
+highlights: {}
+---
+
+## a1 · 2026-08-01 10:00
+
+one
+
+## a2 · s
+two
+## a3 · s
+## a4 · s
+## a5 · s
+## a6 · s
+"""
+    rows = nt.note_entries(spark.createDataFrame([("p", content)], "paper_id string, content string")).collect()
+    got = {r["anchor_id"]: r["anchor"] and (r["anchor"]["block_id"], r["anchor"]["char_start"], r["anchor"]["char_end"], r["anchor"]["excerpt"]) for r in rows}
+    assert got == {
+        "a1": ("p:1:2", 4, 90, "a plain text that goes on over a line"), "a2": ("p:1:3", 0, 7, 'quoted: "with" signs and é'), "a3": ("p:1:4", 0, 7, "it's single"),
+        "a4": ("p:1:5", 1, 2, "two\nlines"), "a5": ("p:1:6", 1, 2, "one folded line"), "a6": None,
+    }
