@@ -27,7 +27,7 @@ from .scratch import bucketed
 from .words import span_hashes
 
 #: Bytes of text in a chunk, and a slice or a longer text beyond them. The more, the fewer words are in several chunks.
-CHUNK = 10_000_000
+CHUNK = 6_000_000
 #: Bytes of text that are taken apart at a time.
 SLICE = 2_000_000
 #: A vocabulary is broadcast, so its size is checked.
@@ -172,6 +172,7 @@ def chunks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
                 bytes_held += int(sizes[a:b].sum())
                 if bytes_held >= size:
                     yield packed(held, n)
+                    pa.default_memory_pool().release_unused()
                     n, bytes_held = n + 1, 0
                 a = b
             del batch, ids, marked
@@ -312,6 +313,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
             lists = pa.ListArray.from_arrays(pa.array(of_texts), pa.array(flat[at]))
             del at
             out.append(pa.table([keys, pa.array(np.diff(of_texts).astype(np.int64)), lists, *([_joined(lists, known)] if decoded else [])], names=schema.names))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     return rows.groupBy("of").cogroup(found.groupBy("chunk")).applyInArrow(put_back, schema)
@@ -330,8 +332,8 @@ def with_sha256(tokens: DataFrame, ids: str = "ids", column: str = "ids_sha256")
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(ids)
-            flat, off = np.asarray(lists.values).astype("<u4"), np.asarray(lists.offsets).tolist()
-            told = [hashlib.sha256(flat[a:b]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
+            flat, off = np.asarray(lists.values), np.asarray(lists.offsets).tolist()
+            told = [hashlib.sha256(flat[a:b].astype("<u4")).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(told, pa.string())], names=[*names, column])
 
     return tokens.mapInArrow(digest, T.StructType([*[tokens.schema[c] for c in names], T.StructField(column, T.StringType())]))

@@ -87,8 +87,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_sha256(encode(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, decoded=True))
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    out = encode(_table(spark, sf_dir, "documents"), BYTE_TOKENIZER, decoded=True)
+    out = out.select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    return with_sha256(out).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
