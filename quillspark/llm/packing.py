@@ -64,8 +64,9 @@ def best_fit(docs: DataFrame, capacity: int = 2048, rows: int | None = None) ->
     No bin holds two pieces of one source or of one cluster; a null source or cluster conflicts with nothing.
     A document larger than ``capacity`` is cut into full pieces, each a bin of its own, and one rest, which is
     packed as any other document; nothing is dropped. A size below 1 or null makes no piece. Ties go to the
-    smaller doc_id. Bins never mix shards; bin_id is unique over all. ``rows`` is about how many rows there are, where
-    counting ``docs`` would be dear.
+    smaller doc_id. Bins never mix shards; bin_id is unique over all. Rows without an id are dealt to all shards by their
+    place, so ``docs`` has to be a table that is read in the same order again; rows that repeat an id are packed each for itself; other columns are not read. ``rows`` is about how many rows there
+    are, where counting ``docs`` would be dear.
     """
     sized = docs.select("doc_id", "source", "cluster", F.col("size").cast("long").alias("size")).where("size >= 1")
     shards = max(1, math.ceil((docs.count() if rows is None else rows) / SHARD))
@@ -92,7 +93,7 @@ def best_fit(docs: DataFrame, capacity: int = 2048, rows: int | None = None) ->
         columns["bin_id"] = [(shard << 32) + b for b in columns["bin_id"]]
         return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size"), F.lit(shards)))
+    dealt = sized.withColumn("shard", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()), "size"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(packed, "doc_id long, piece long, start long, n_tokens long, bin_id long, bin_offset long")
 
 

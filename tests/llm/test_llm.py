@@ -463,3 +463,9 @@ def test_empty_tables(spark, tmp_path):
     assert remove_repeats(none).count() == 0 and jaccard_components(none).count() == 0 and remove_spread_lines(none).count() == 0
     assert with_language(none.select("doc_id", "text"), learned(none)).count() == 0
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_packing_deals_rows_without_an_id(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("binary").alias("cluster"), F.lit(100).cast("long").alias("size"))
+    shards = best_fit(rows, capacity=2048).groupBy(F.shiftright("bin_id", 32)).count().collect()
+    assert len(shards) == 5 and sum(r["count"] for r in shards) == 20_000 and max(r["count"] for r in shards) < 6_000
