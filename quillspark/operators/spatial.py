@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import gates
 from .fingerprint import min_label
 
 PAGE = ["doc_id", "page"]
@@ -269,3 +270,18 @@ def reading_order(lines: DataFrame) -> DataFrame:
     band = F.col("above") * 2 + F.when(F.col("column") == "full", 0).otherwise(1)
     placed = cut.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy(key)))
     return placed.withColumn("band", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy(band))).drop("above")
+
+
+def parsed_pages(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, paragraph, kind, text, section, x0, y0, x1, y1, n): the lines of pages as paragraphs and headings, in reading order.
+
+    ``lines``: doc_id, page, item, text, x, y, width, height, size, heading, page_width. Bands and columns give the order
+    (``reading_order``); gaps and headings cut it into paragraphs; a section's name is that of the heading before.
+    """
+    placed = reading_order(lines).withColumn("block_order", F.col("place"))
+    cut = gates.paragraphs(placed, PAGE)
+    box = {"x0": F.min("x"), "y0": F.min("y"), "x1": F.max(F.col("x") + F.col("width")), "y1": F.max(F.col("y") + F.col("height"))}
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_order", "text"))), lambda t: t["text"]), " ")  # the lines of a paragraph
+    made = cut.groupBy(*PAGE, "paragraph").agg(F.max("heading").alias("heading"), text.alias("text"), *[c.alias(k) for k, c in box.items()], F.count(F.lit(1)).alias("n"))
+    before = F.last(F.when(F.col("heading"), F.col("text")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("page", "paragraph"))
+    return made.select(*PAGE, "paragraph", F.when(F.col("heading"), "heading").otherwise("para").alias("kind"), "text", before.alias("section"), *box, "n")

@@ -179,3 +179,14 @@ def _(t):
     docs = t("documents")
     register(docs.sparkSession)
     return docs.sparkSession.sql("SELECT doc_id, place, word FROM {docs}, LATERAL text_words(text)", docs=docs)
+
+
+# a small glossary of each document's first words
+_GLOSSARY = "SELECT doc_id, concat('terms:', {LF}, array_join(transform(w, x -> concat('  ', x, ': \"', x, ' s\"')), {LF}), {LF}, '  n: 5', {LF}, 'other: x', {LF}) AS content FROM (SELECT doc_id, slice(array_distinct(regexp_extract_all(text, '[a-z]{{4,}}', 0)), 1, 5) AS w FROM {documents})"
+
+
+@query("src15_glossaries", "SELECT DISTINCT doc_id AS path, x AS term, concat(x, ' s') AS target FROM (SELECT doc_id, unnest(list_filter(k, lambda x, i: list_position(k, x) = i)[1:5]) AS x FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]{4,}') AS k FROM documents))")
+def _(t):
+    docs = t("documents")
+    files = docs.sparkSession.sql(_GLOSSARY.replace("{LF}", "'\\n'"), documents=docs).withColumnRenamed("doc_id", "path")
+    return fs.glossary_terms(files)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import spatial as sp
 from .registry import query
 
@@ -138,3 +139,21 @@ SELECT doc_id, page, item, col AS "column", CAST(dense_rank() OVER (PARTITION BY
   CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY above, NOT f, col = 'right', y DESC, item) AS INT) AS place FROM c""")
 def _(t):
     return sp.reading_order(_lines(t).withColumn("page_width", F.lit(612))).select("doc_id", "page", "item", "column", "band", "place")
+
+
+_PAGES = "SELECT doc_id, page, block_order AS item, CAST(CASE WHEN block_order % 3 = 1 THEN 320 ELSE 50 END AS BIGINT) AS x, y, CAST(CASE WHEN block_order % 7 = 0 THEN 500 ELSE 240 END AS BIGINT) AS width, height, size, heading, text FROM f_placed"
+
+
+@query("lay4_parsed_pages", f"""
+WITH l AS (SELECT *, x < 306 - 612 * 0.08 AND x + width > 306 + 612 * 0.08 AS f FROM ({_PAGES})),
+c AS (SELECT *, x + width / 2 >= 306 AND NOT f AS r, sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y DESC, item) AS above FROM l),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY above, NOT f, r, y DESC, item) AS place FROM c),
+b AS (SELECT doc_id, page, max_by(bucket, n * 1000000 - first) AS body FROM (SELECT doc_id, page, floor(size * 2 + 0.5) / 2 AS bucket, sum(length(text)) AS n, min(place) AS first FROM o GROUP BY ALL) GROUP BY ALL),
+g AS (SELECT o.*, body, lag(y) OVER w - y AS gap, lag(heading) OVER w AS after FROM o JOIN b USING (doc_id, page) WINDOW w AS (PARTITION BY doc_id, page ORDER BY place)),
+m AS (SELECT doc_id, page, coalesce(median(CASE WHEN gap > 0 AND gap < {fixed.GAP_LIMIT} * body THEN gap END), {fixed.PITCH} * max(body)) AS pitch FROM g GROUP BY doc_id, page),
+p AS (SELECT g.*, sum(CASE WHEN gap IS NULL OR gap <= 0 OR gap > {fixed.PARAGRAPH_GAP} * pitch OR heading OR after THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY place) AS paragraph FROM g JOIN m USING (doc_id, page)),
+q AS (SELECT doc_id, page, CAST(paragraph AS BIGINT) AS paragraph, bool_or(heading) AS heading, string_agg(text, ' ' ORDER BY place) AS text, min(x) AS x0, min(y) AS y0, max(x + width) AS x1, max(y + height) AS y1, count(*) AS n FROM p GROUP BY ALL)
+SELECT doc_id, page, paragraph, CASE WHEN heading THEN 'heading' ELSE 'para' END AS kind, text, last_value(CASE WHEN heading THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page, paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section, x0, y0, x1, y1, n FROM q""")
+def _(t):
+    placed = t("f_placed")
+    return sp.parsed_pages(placed.sparkSession.sql(_PAGES.replace("f_placed", "{f_placed}"), f_placed=placed).withColumn("page_width", F.lit(612)))

@@ -9,6 +9,7 @@ from ..operators import biblio as bib
 from ..operators import library as lib
 from ..operators import reading as rd
 from ..operators import usage as use
+from ..sources import adapters
 from .registry import query
 
 
@@ -201,14 +202,13 @@ def _(t):
     # each source's own form becomes records, and all of them one table; columns that a source has not are null
     number = F.concat(F.lit("24"), F.lpad((F.col("doc_id") % 12 + 1).cast("string"), 2, "0"), F.lit("."), F.lpad((F.col("doc_id") % 211).cast("string"), 5, "0"))
     entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/"), number, F.lit("v1</id><title>"), F.substring("first_line", 1, 80), F.lit("</title></entry>"))
-    atom = bib.atom_records(t("f_first").where("doc_id % 3 = 0").select("doc_id", entry.alias("xml"))).select(F.lit("arXiv").alias("source"), F.col("arxiv_id").alias("id"), "title")
+    atom = t("f_first").where("doc_id % 3 = 0").select("doc_id", entry.alias("xml"))
     own = t("f_bib").withColumn("rec", F.col("rec_id").cast("string"))
-    graph = F.to_json(F.struct(F.col("rec").alias("paperId"), "title", "year"))
-    s2 = rd.graph_records(own.where("source = 'S2'").select("rec_id", graph.alias("json")), ["rec_id"]).select(F.lit("S2").alias("source"), "id", "title", "year")
+    graph = own.where("source = 'S2'").select(F.to_json(F.struct(F.col("rec").alias("paperId"), "title", "year")).alias("json"))
     place = F.struct(F.lit("https://zenodo.org/b.pdf").alias("pdf_url"), F.struct(F.when(F.col("rec_id") % 2 == 0, "repository").otherwise("journal").alias("type")).alias("source"))
     work = F.to_json(F.struct(F.concat(F.lit("https://openalex.org/W"), "rec").alias("id"), "title", F.col("year").alias("publication_year"), F.array(place).alias("locations")))
-    oa = rd.open_graph_records(own.where("source = 'OpenAlex'").select("rec_id", work.alias("json")), ["rec_id"]).select(F.lit("OpenAlex").alias("source"), "id", "title", "year")
-    return atom.unionByName(s2, allowMissingColumns=True).unionByName(oa, allowMissingColumns=True)
+    raw = {"arxiv": atom, "s2": graph, "openalex": own.where("source = 'OpenAlex'").select(work.alias("json"))}
+    return adapters.all_records(raw).select("source", "id", "title", "year")
 
 
 @query("use3_use4_costs", "SELECT event_id, CASE WHEN contains(model, 'claude-sonnet') THEN (input_tokens * 3.0::DOUBLE + output_tokens * 15.0::DOUBLE) / 1000000 WHEN contains(model, 'gpt-4o-mini') THEN (input_tokens * 0.15::DOUBLE + output_tokens * 0.6::DOUBLE) / 1000000 WHEN contains(model, 'deepseek') THEN (input_tokens * 0.27::DOUBLE + output_tokens * 1.1::DOUBLE) / 1000000 WHEN contains(model, 'qwen') THEN (input_tokens * 0.1::DOUBLE + output_tokens * 0.4::DOUBLE) / 1000000 END AS usd FROM f_usage")
