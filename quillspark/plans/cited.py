@@ -46,7 +46,7 @@ _SIGNS = "list_filter(list_transform(string_split(text, ''), lambda c, i: {'c':
 
 @query("not1_located", f"""
 WITH s AS ({_SELECTED.replace('{LF}', 'chr(10)').replace('{f_blocks}', 'f_blocks')}),
-p AS (SELECT *, array_to_string(list_transform(list_filter(regexp_split_to_array(selection, '[\\s\\xA0]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '([.*+?^${{}}()|\[\]\\-])', '\\\\\\1', 'g')), '[\\s\\xA0]+') AS pattern,
+p AS (SELECT *, array_to_string(list_transform(list_filter(regexp_split_to_array(selection, '[\\s\\xA0]+'), lambda w: w <> ''), lambda w: regexp_replace(w, '([.*+?^${{}}()|\\[\\]\\-])', '\\\\\\1', 'g')), '[\\s\\xA0]+') AS pattern,
   {_PLAIN.format('text')} AS b, {_PLAIN.format('selection')} AS n, flatten(list_transform({_SIGNS}, lambda x: CASE WHEN x.c = 'fi' THEN [x.i, x.i] ELSE [x.i] END)) AS m FROM s),
 q AS (SELECT *, instr(text, selection) AS e, CASE WHEN pattern <> '' THEN regexp_extract(text, pattern) ELSE '' END AS hit, instr(b, n) AS w,
   coalesce(nullif(instr(b, left(n, 24)), 0), nullif(instr(b, left(n, 16)), 0), nullif(instr(b, left(n, 10)), 0)) AS hi FROM p),
