@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import Words, mix, slices
+from .words import Words, give_back, mix, slices
 
 #: Offsets of the words that a mask picks. Together they hit every stretch of 13 to 25 words of which 70 in 100 agree,
 #: wherever the others are; a longer stretch like that holds one of these lengths.
@@ -203,6 +203,7 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[t for t, *_ in shared.value.found(Words(batch.column("text"), lower=True))]] = False
                 yield batch.filter(pa.array(keep))
+            give_back()
 
         docs = docs.mapInArrow(clean, schema)
     return docs

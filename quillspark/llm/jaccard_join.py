@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .blocks import in_blocks, shuffle_partitions
 from .components import components
 from .scratch import written
-from .words import Words, member, mix, offered_keys, pack, repeated_keys, run_hashes, told_keys, unpack
+from .words import Words, give_back, member, mix, offered_keys, pack, repeated_keys, run_hashes, tidy, told_keys, unpack
 
 GROUPS = 128
 #: Rows of one key that meet in one task; larger keys are dealt out by pairs of chunks.
@@ -216,6 +216,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
                 both = int(member(x, y).sum()) if len(x) <= len(y) else int(member(y, x).sum())
                 keep.append(at.den * both >= at.num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     def could(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,6 +224,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, at: Threshold) -> DataFrame:
             groups = [unpack(x) for x in [*batch.column("p").to_pylist(), *batch.column("q").to_pylist()]]
             x = np.arange(batch.num_rows)
             yield batch.select(["a", "b"]).filter(pa.array(sifted(x, x + batch.num_rows, n, groups, at), pa.bool_()))
+            give_back()
 
     def sides(pairs: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -291,10 +293,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         ids = sets.ids.combine_chunks() if isinstance(sets.ids, pa.ChunkedArray) else sets.ids
         return pa.table({"doc_id": ids, "n": pa.array(sets.n), "rep": ids.take(pa.array(sets.rep)), "keys": pa.array(keys, pa.list_(pa.int64())), "points": pa.array(points, pa.binary()), "fine": pa.array(finer, pa.binary()), "hashes": pa.array(hashes, pa.binary())})
 
-    offers = blocks.groupBy("blk").applyInArrow(offered, "part int, blk int, keys binary")
-    told = offers.groupBy("part").applyInArrow(repeated_keys, "part int, blk int, keys binary")
+    offers = blocks.groupBy("blk").applyInArrow(tidy(offered), "part int, blk int, keys binary")
+    told = offers.groupBy("part").applyInArrow(tidy(repeated_keys), "part int, blk int, keys binary")
     kind = "doc_id long, n long, rep long, keys array<long>, points binary, fine binary, hashes binary"
-    every = written(blocks.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(described, kind), "sets")
+    every = written(blocks.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(tidy(described), kind), "sets")
     sets = every.where("keys is not null")
     held = sets.select("doc_id", F.explode("keys").alias("key"))
     heads = held.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
@@ -361,7 +363,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         return pa.table({"a": ids[both // max(1, len(ids))], "b": ids[both % max(1, len(ids))]})
 
     with_points = open_.join(sets.select("doc_id", "n", "points", "fine").hint("merge"), "doc_id").withColumn("bag", F.pmod(F.xxhash64("near", "i", "j"), F.lit(bags)))
-    rest = with_points.drop("near").groupBy("bag").applyInArrow(surviving, "a long, b long").distinct()
+    rest = with_points.drop("near").groupBy("bag").applyInArrow(tidy(surviving), "a long, b long").distinct()
     more = written(_verified(written(rest, "pairs"), sets, at), "links")
     found = components(links.unionByName(more))
     out = every.select("doc_id", F.col("n").alias("n_shingles"), "rep")

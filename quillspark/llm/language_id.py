@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .words import slices
+from .words import give_back, slices
 
 DIMS = 1 << 14
 #: Bounds of the fit: training rows of a language, of all languages, and landmarks.
@@ -142,6 +142,7 @@ def in_learned_language(docs: DataFrame, model: Model, floor: np.ndarray) -> Dat
                 score, size = _top(model, texts[i : i + BATCH])
                 keep.append((size >= 0) & (score >= floor[size]) & bool(model.languages))
             yield batch.filter(pa.array(np.concatenate(keep)))
+            give_back()
 
     return docs.mapInArrow(told, T.StructType(docs.schema.fields))
 
@@ -167,6 +168,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
                     names.append(kept.languages[top] if top >= 0 else "und")
                     best.append(float(min(1.0, max(0.0, row[top]))) if top >= 0 else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(best, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            give_back()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(told, schema)

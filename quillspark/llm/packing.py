@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .token_store import with_token_counts
+from .words import tidy
 
 #: Documents in a shard, about.
 SHARD = 4000
@@ -94,7 +95,7 @@ def best_fit(docs: DataFrame, capacity: int = 2048, rows: int | None = None) ->
         return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
     dealt = sized.withColumn("shard", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id()), "size"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(packed, "doc_id long, piece long, start long, n_tokens long, bin_id long, bin_offset long")
+    return dealt.groupBy("shard").applyInArrow(tidy(packed), "doc_id long, piece long, start long, n_tokens long, bin_id long, bin_offset long")
 
 
 def measured(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .blocks import in_blocks
 from .scratch import written
-from .words import LOWER, Words, mix, slices, span_hashes
+from .words import LOWER, Words, give_back, mix, slices, span_hashes
 
 LEVELS, SPARE = 40, 2
 #: Keys of a lookup that are broadcast (8 MB), and shards that are named in the scan's filter.
@@ -245,6 +245,7 @@ def with_token_counts(docs: DataFrame, tokenizer: str, column: str = "n_tokens")
         for batch in (part for whole in batches for part in slices(whole, "text")):
             n = _encoder(tokenizer).texts(pa.chunked_array([batch.column("text")]))[1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*names, column])
+            give_back()
 
     return docs.mapInArrow(told, T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())]))
 
