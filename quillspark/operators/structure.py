@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as tx
 
-REFERENCES = r"(?i)^(?:\d+\.?\s*)?(?:references|bibliography|literatur|références|referencias|参考文献)\s*$"
+REFERENCES = fixed.REFERENCES_HEADING
 
 
 def order_of(doc: str = "doc_id") -> Window:

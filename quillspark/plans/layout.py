@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..operators import flow as fl
 from ..operators import spatial as sp
 from .registry import query
 
@@ -157,3 +158,11 @@ SELECT doc_id, page, paragraph, CASE WHEN heading THEN 'heading' ELSE 'para' END
 def _(t):
     placed = t("f_placed")
     return sp.parsed_pages(placed.sparkSession.sql(_PAGES.replace("f_placed", "{f_placed}"), f_placed=placed).withColumn("page_width", F.lit(612)))
+
+
+@query("seg10_reading_items")
+def _(t):
+    blocks = t("f_blocks")
+    shaped = blocks.sparkSession.sql(_FIGURES.replace("f_blocks", "{f_blocks}"), f_blocks=blocks).drop("kind")
+    size = F.when(F.col("block_order") % 9 == 4, 7.0).otherwise(10.0)
+    return fl.reading_items(blocks.select("doc_id", "block_order", "kind", "text", "section").join(shaped.hint("merge"), ["doc_id", "block_order"]).withColumn("size", size))
