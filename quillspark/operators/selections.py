@@ -32,6 +32,11 @@ def normal(text: Column) -> Column:
     return F.struct(_written_out(F.array_join(kept["c"], "")).alias("text"), places.alias("map"))
 
 
+def bare(text: Column) -> Column:
+    """The text that ``normal`` gives, without the places."""
+    return _written_out(F.regexp_replace(text, rf"[{SPACE[1:-1]}\-\x{{0}}]", ""))
+
+
 def _written_out(text: Column) -> Column:
     for sign, letters in fixed.LIGATURES.items():
         text = F.replace(text, F.lit(sign), F.lit(letters))
@@ -162,12 +167,15 @@ def resolved(anchors: DataFrame, blocks: DataFrame, near: int = 12) -> DataFrame
     rows = anchors.join(live.hint("merge"), ["paper_id", "block_id"], "left")
     same = F.col("_text").isNotNull() & ((hamming(F.col("now"), F.col("print")) <= near) | located(F.col("_text"), F.col("excerpt")).isNotNull())
     rows = rows.withColumns({"_live": F.col("_text").isNotNull(), "_same": F.coalesce(same, F.lit(False))}).drop("_text", "now")
-    open_ones = rows.where("NOT _same").select("paper_id", "anchor_id", "excerpt", "print", "char_start", "char_end")
-    # blocks of the same paper only: a paper's open anchors meet its blocks
-    met = open_ones.hint("merge").join(known.hint("merge"), "paper_id")
-    seen = F.when(F.length(F.trim("excerpt")) >= 12, located(F.col("text"), F.col("excerpt")))
     plain = lambda c: F.lower(tx.collapse(F.col(c)))
-    apart = F.when(plain("text") == plain("excerpt"), -1).otherwise(hamming(F.col("now"), F.col("print")))
+    # what each pair asks of either side is made once for the side; in any stage the bare block holds what the bare excerpt begins with
+    head = F.when(F.length(F.trim("excerpt")) >= 12, F.left(bare(F.col("excerpt")), F.lit(min(fixed.END_LENGTHS))))
+    open_ones = rows.where("NOT _same").select("paper_id", "anchor_id", "excerpt", "print", "char_start", "char_end", head.alias("_head"), plain("excerpt").alias("_asked"))
+    offered = known.select("*", bare(F.col("text")).alias("_bare"), plain("text").alias("_plain"))
+    # blocks of the same paper only: a paper's open anchors meet its blocks
+    met = open_ones.hint("merge").join(offered.hint("merge"), "paper_id")
+    seen = F.when(F.contains("_bare", F.col("_head")), located(F.col("text"), F.col("excerpt")))
+    apart = F.when(F.col("_plain") == F.col("_asked"), -1).otherwise(hamming(F.col("now"), F.col("print")))
     tried = met.withColumns({"_seen": seen, "_apart": apart})
     best = tried.groupBy("paper_id", "anchor_id").agg(
         F.min(F.when(F.col("_seen").isNotNull(), F.struct("block_order", "block_id", F.col("_seen.start").alias("a"), F.col("_seen.stop").alias("z"), F.length("text").alias("n")))).alias("e"),

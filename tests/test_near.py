@@ -55,3 +55,21 @@ def test_sketches_leave_few_pairs_of_sets(spark):
     of = {i: set(s) for i, s in sets}
     linked = {(a, b) for a, b in itertools.combinations(of, 2) if 2 * len(of[a] & of[b]) >= len(of[a] | of[b])}
     assert linked <= close and len(close) < len(of) * (len(of) - 1) / 4
+
+
+def test_what_is_located_begins_in_the_bare_text(spark):
+    """Anchors are looked for in the blocks that pass this alone; before, in every block of the paper."""
+    from quillspark.operators import selections as sl
+
+    random = np.random.default_rng(9)
+    signs = ["a", "b", "e", " ", "\t", "-", "\n", "ﬁ", "fi", " ", ".", "\u0000", "😀"]
+    rows = []
+    for _ in range(600):
+        text = "".join(random.choice(signs, 90))
+        part = text[(at := int(random.integers(0, 40))) : at + int(random.integers(0, 60))]
+        rows.append((text, str(random.choice([part, part.replace(" ", "  "), part.replace("-", ""), part[:25] + "zz" + part[27:], part.replace("ﬁ", "fi")]))))
+    found = spark.createDataFrame(rows, "text string, part string").select(
+        sl.located(F.col("text"), F.col("part"))["stage"].alias("stage"), (sl.bare(F.col("text")) == sl.normal(F.col("text"))["text"]).alias("same"),
+        F.contains(sl.bare(F.col("text")), F.left(sl.bare(F.col("part")), F.lit(10))).alias("may"),
+    ).collect()
+    assert all(r["same"] for r in found) and all(r["may"] for r in found if r["stage"]) and {"exact", "spaced", "normal", "ends"} <= {r["stage"] for r in found}
