@@ -47,14 +47,16 @@ def distinct_requests(events: DataFrame, keys: list[str], late: str = "10 minute
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
-def _step(at: int | None, last: int | None, opens: bool, millis: int, renew: bool) -> tuple[bool, int | None]:
-    """(is it within ``millis`` of the last opening, the last opening after it); an opening within one counts only where it renews."""
-    within = at is not None and last is not None and at - last < millis
+def _step(at: int | None, last: int | None, opens: bool, span: int, renew: bool) -> tuple[bool, int | None]:
+    """(is it within ``span`` of the last opening, the last opening after it); an opening within one counts only where it renews."""
+    within = at is not None and last is not None and at - last < span
     return within, at if opens and at is not None and (renew or not within) else last
 
 
-def _within(rows: DataFrame, keys: list[str], millis: int, renew: bool = False, late: str = "1 hour") -> DataFrame:
-    """Rows (keys, event_id, at, opens, ts) with ``within``: less than ``millis`` after the key's last opening; without a time it is not.
+def _within(rows: DataFrame, keys: list[str], span: int, renew: bool = False, late: str = "1 hour", per_milli: int = 1) -> DataFrame:
+    """Rows (keys, event_id, at, opens, ts) with ``within``: less than ``span`` after the key's last opening; without a time it is not.
+
+    ``at`` and ``span`` are in units of which ``per_milli`` make a millisecond.
 
     On a table a window brings a key's rows in order of time, and the fold keeps one number of the key it is in, so a key of any
     size streams through. On a stream that number is the key's state; it goes when the watermark, ``late`` behind, has passed its end.
@@ -72,11 +74,11 @@ def _within(rows: DataFrame, keys: list[str], millis: int, renew: bool = False,
         out = []
         for i, at, opens in zip(told["event_id"], told["at"], told["opens"], strict=True):
             at = None if pd.isna(at) else int(at)
-            within, last = _step(at, last, bool(opens), millis, renew)
+            within, last = _step(at, last, bool(opens), span, renew)
             out.append((*key, i, at, within))
         if last is not None:
             state.update((last,))
-            state.setTimeoutTimestamp(max(last + millis, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(-(-(last + span) // per_milli), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=names)
 
     def table_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +86,7 @@ def _within(rows: DataFrame, keys: list[str], millis: int, renew: bool = False,
         for batch in batches:
             told = []
             for at, opens, first in zip(*[batch.column(c).to_pylist() for c in ("at", "opens", "first")], strict=True):
-                within, last = _step(at, None if first else last, opens, millis, renew)
+                within, last = _step(at, None if first else last, opens, span, renew)
                 told.append(within)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(told, pa.bool_())], names=names)
 
@@ -95,8 +97,8 @@ def _within(rows: DataFrame, keys: list[str], millis: int, renew: bool = False,
     return ordered.mapInArrow(table_fold, schema)
 
 
-def _timed(rows: DataFrame, keys: list, opens) -> DataFrame:
-    return rows.select(*keys, "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.coalesce(opens, F.lit(False)).alias("opens"), F.col("ts").cast("timestamp").alias("ts"))
+def _timed(rows: DataFrame, keys: list, opens, clock=F.unix_millis) -> DataFrame:
+    return rows.select(*keys, "event_id", clock(F.col("ts").cast("timestamp")).alias("at"), F.coalesce(opens, F.lit(False)).alias("opens"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 def throttled(events: DataFrame, key: str, millis: int = 600, late: str = "1 hour") -> DataFrame:
@@ -116,9 +118,9 @@ def cached(log: DataFrame, hours: int = 24, late: str = "1 hour") -> DataFrame:
 
 
 def cooling(log: DataFrame, seconds: int = 60, late: str = "1 hour") -> DataFrame:
-    """(source, event_id, skipped): requests to a source within ``seconds`` after its last 429."""
-    rows = _timed(log, ["source"], F.col("status") == 429)
-    return _within(rows, ["source"], seconds * 1000, renew=True, late=late).select("source", "event_id", F.col("within").alias("skipped"))
+    """(source, event_id, skipped): requests to a source within ``seconds`` after its last 429, by the whole time and not its milliseconds."""
+    rows = _timed(log, ["source"], F.col("status") == 429, F.unix_micros)
+    return _within(rows, ["source"], seconds * 1_000_000, renew=True, late=late, per_milli=1000).select("source", "event_id", F.col("within").alias("skipped"))
 
 
 def current_only(events: DataFrame, current: DataFrame, hours: int = 24, late: str = "1 hour") -> DataFrame:

@@ -73,3 +73,29 @@ def test_what_is_located_begins_in_the_bare_text(spark):
         F.contains(sl.bare(F.col("text")), F.left(sl.bare(F.col("part")), F.lit(10))).alias("may"),
     ).collect()
     assert all(r["same"] for r in found) and all(r["may"] for r in found if r["stage"]) and {"exact", "spaced", "normal", "ends"} <= {r["stage"] for r in found}
+
+
+def test_cooldown_by_the_whole_time(spark):
+    """Its SQL is; times were cut to milliseconds, in which an earlier event with a larger id came later."""
+    import datetime as dt
+
+    from quillspark.streaming import ledgers as led
+
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    rows = [(9, 100, 429), (1, 900, 200), (2, 60_000_099, 200), (3, 60_000_100, 200), (4, 60_000_900, 200)]
+    log = spark.createDataFrame([(i, "s", start + dt.timedelta(microseconds=at), status) for i, at, status in rows], "event_id long, source string, ts timestamp, status int")
+    assert {r["event_id"]: r["skipped"] for r in led.cooling(log).collect()} == {9: False, 1: True, 2: True, 3: False, 4: False}
+
+
+def test_words_of_more_than_24_letters_are_not_looked_up(spark, tmp_path):
+    """The SQL looked them up."""
+    import duckdb
+
+    from quillspark.plans import ORACLE_SQL, QUERIES
+
+    made = spark.createDataFrame([(7 * i + 1, w, "en", "s", len(w)) for i, w in enumerate(["a" * 22 + " ab", "b" * 24, "c" * 21, "d" * 23, "e" * 22 + "s"])], "doc_id long, text string, lang string, source string, n_chars long")
+    made.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["txt14_jn13_looked_up"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert set(con.execute(ORACLE_SQL["txt14_jn13_looked_up"]).fetchall()) == got and max(len(r[0]) for r in got) == 23
