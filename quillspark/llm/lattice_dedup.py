@@ -5,8 +5,7 @@ E8 lattice names a cell; the blocks' cells together are the vector's cell in the
 cell and looks into the neighbouring cells that are nearest to it. Vectors that meet are compared by cosine in double
 precision. Equal vectors are one class and meet once.
 
-The more vectors there are, the more blocks a table has: vectors that meet by chance become fewer by a factor of fifty
-or so with each block, and wider cells and more tables keep those at the threshold together (see PLANS).
+The plan of the tables is one for all inputs, so what a pair comes to does not depend on how many other vectors there are.
 """
 
 from __future__ import annotations
@@ -26,10 +25,10 @@ from .words import mix
 
 PROBES = 4
 SEED = 20240101
-#: (distinct vectors up to which it holds, blocks, tables, size of a cell). Measured in 64 dimensions on random pairs at a cosine
-#: of exactly 0.9, both sides probing: one table finds 0.18, 0.14 and 0.09 of 3,000, all tables 0.98, 0.97 and 0.97. Of
-#: unrelated pairs two blocks bring together some 8 in 100,000, three and four fewer than can be measured.
-PLANS = ((1_000_000, 2, 20, 1.7), (30_000_000, 3, 24, 2.2), (float("inf"), 4, 36, 2.5))
+#: (distinct vectors up to which it holds, blocks, tables, size of a cell): one plan. Measured in 64 dimensions on random pairs at a
+#: cosine of exactly 0.9, both sides probing: one table finds 0.14 of 3,000, all tables 0.97; unrelated pairs that it brings
+#: together are fewer than can be measured.
+PLANS = ((float("inf"), 3, 24, 2.2),)
 
 
 def _roots() -> np.ndarray:
@@ -138,7 +137,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     classes = good.groupBy("name").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
     # rows of one id may be several classes, so classes have numbers, which stay as they are written
     classes = written(classes.withColumn("no", F.monotonically_increasing_id()), "classes")
-    blocks, tables, cell = next(p[1:] for p in PLANS if classes.count() <= p[0])
+    _, blocks, tables, cell = PLANS[0]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -99,3 +99,10 @@ def test_words_of_more_than_24_letters_are_not_looked_up(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert set(con.execute(ORACLE_SQL["txt14_jn13_looked_up"]).fetchall()) == got and max(len(r[0]) for r in got) == 23
+
+
+def test_one_plan_of_lattice_tables():
+    """Tables were others from a million vectors on, so a link could come and go with the size of the input."""
+    from quillspark.llm.lattice_dedup import PLANS
+
+    assert len(PLANS) == 1 and PLANS[0][0] == float("inf")
