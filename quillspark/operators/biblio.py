@@ -129,12 +129,17 @@ def title_hits(papers: DataFrame, first: DataFrame, records: DataFrame) -> DataF
     """(id, rec_id): records of a paper's very title of which an author's last name, of three letters or more, is on its first page.
 
     ``papers``: id, title; ``first``: id, text; ``records``: rec_id, title, authors (array). Of several the smallest rec_id.
+    Of the records of a title only the smallest with a name counts, and papers of one title with one first page are asked for once, so
+    neither many copies of a record nor many of a paper are multiplied with the other side.
     """
-    keyed = papers.select("id", tx.title_key(F.col("title")).alias("key")).where("key <> ''").join(first.select("id", F.lower("text").alias("page")).hint("merge"), "id")
+    page = first.select("id", F.lower("text").alias("page"))
+    keyed = papers.select("id", tx.title_key(F.col("title")).alias("key")).where("key <> ''").join(page.hint("merge"), "id")
     names = F.transform(F.slice("authors", 1, 20), lambda a: F.lower(F.try_element_at(F.split(F.trim(a), r"\s+"), F.lit(-1))))
-    offered = records.select("rec_id", tx.title_key(F.col("title")).alias("key"), names.alias("names")).where("key <> ''")
-    met = keyed.hint("merge").join(offered.hint("merge"), "key").where(F.exists("names", lambda n: (F.length(n) >= 3) & F.contains(F.col("page"), n)))
-    return met.groupBy("id").agg(F.min("rec_id").alias("rec_id"))
+    named = records.select("rec_id", tx.title_key(F.col("title")).alias("key"), F.explode(names).alias("name")).where("key <> '' AND length(name) >= 3")
+    offered = named.groupBy("key", "name").agg(F.min("rec_id").alias("rec_id"))
+    met = keyed.select("key", "page").distinct().hint("merge").join(offered.hint("merge"), "key").where(F.contains("page", F.col("name")))
+    found = met.groupBy("key", "page").agg(F.min("rec_id").alias("rec_id"))
+    return keyed.join(found.hint("merge"), ["key", "page"]).select("id", "rec_id")
 
 
 def trusted_hits(papers: DataFrame, first: DataFrame, records: DataFrame) -> DataFrame:
