@@ -94,17 +94,15 @@ def anchored(selections: DataFrame, blocks: DataFrame) -> DataFrame:
     return found.select(*kept, F.coalesce("start", F.lit(0)).alias("char_start"), F.coalesce("stop", F.length("_text")).alias("char_end"), excerpt.alias("excerpt"), quote.alias("quote"), F.coalesce("stage", F.lit("block")).alias("stage"))
 
 
-def _nearest(text: Column, token: Column, center: Column) -> Column:
-    """Start of the occurrence of ``token`` that is nearest to ``center``, the first of equals; null if there is none."""
-    pieces = F.split(text, F.concat(F.lit("(?="), escaped(token), F.lit(")")), -1)  # a piece begins where the token does
-    nothing = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("best"))
+def _nearest(text: Column, row: Column, token: Column) -> Column:
+    """Start of the occurrence of ``token`` in ``text`` that is nearest to ``row.center``, the first of equals; null if there is none.
 
-    def step(a: Column, piece: Column) -> Column:
-        here = (a["at"] > 0) | F.startswith(text, token)
-        better = here & (a["best"].isNull() | (F.abs(a["at"] - center) < F.abs(a["best"] - center)))
-        return F.struct((a["at"] + F.length(piece)).alias("at"), F.when(better, a["at"]).otherwise(a["best"]).alias("best"))
-
-    return F.when(F.contains(text, token), F.aggregate(pieces, nothing, step)["best"])
+    ``row``: center, back (the text backwards) and n (its length). The last occurrence up to the center is the first one of the text backwards.
+    """
+    size, upto = F.length(token), F.floor(row["center"]).cast("int")
+    behind = F.position(F.reverse(token), row["back"], F.greatest(row["n"] - upto - size, F.lit(0)) + 1) - 1
+    ends = F.struct(F.when(behind >= 0, row["n"] - behind - size).alias("before"), F.nullif(F.position(token, text, upto + 2), F.lit(0)).alias("after"))
+    return tx.let(ends, lambda e: F.when(e["before"].isNull() | (e["after"] - 1 - row["center"] < row["center"] - e["before"]), e["after"] - 1).otherwise(e["before"]))
 
 
 def sentence_start(text: Column, at: Column) -> Column:
@@ -136,8 +134,10 @@ def projected(highlights: DataFrame, blocks: DataFrame, translations: DataFrame)
     center = (F.col("char_start") + F.col("char_end")) / 2 / size * n
     marked = F.substring(source, F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
     tokens = F.array_distinct(F.regexp_extract_all(marked, F.lit(fixed.SHARED_TOKEN), F.lit(0)))
-    found = F.filter(F.transform("_tokens", lambda t: F.struct(_nearest(said, t, F.col("_center")).alias("at"), F.length(t).alias("n"))), lambda x: x["at"].isNotNull())
-    rows = both.withColumns({"_tokens": tokens, "_center": center}).withColumn("_found", found)
+    # what a token's place asks of the row is made once for the row, not for each token
+    row = F.struct(center.alias("center"), F.reverse(said).alias("back"), n.alias("n"))
+    nearest = lambda r: F.filter(F.transform(tokens, lambda t: F.struct(_nearest(said, r, t).alias("at"), F.length(t).alias("n"))), lambda x: x["at"].isNotNull())
+    rows = both.withColumn("_found", tx.let(row, nearest))
     inside = F.when(F.coalesce(F.col("excerpt"), F.lit("")) != "", F.position("excerpt", "_said") - 1)
     some = F.size("_found") > 0
     low = F.when(some, F.array_min(F.transform("_found", lambda x: x["at"]))).otherwise(F.floor(F.col("char_start") / size * n).cast("int"))
@@ -149,8 +149,10 @@ def projected(highlights: DataFrame, blocks: DataFrame, translations: DataFrame)
     stop = F.when(whole, F.when(F.length("excerpt") >= fixed.EXCERPT, sentence_end(said, excerpt_end)).otherwise(excerpt_end)).otherwise(sentence_end(said, F.col("_high")))
     stage = F.when(whole, "excerpt").when(some, "tokens").otherwise("share")
     held = lambda c: F.greatest(F.lit(0), F.least(c, n))
-    out = rows.select("block_id", "id", held(start).cast("int").alias("start"), held(stop).cast("int").alias("stop"), stage.alias("stage"))
-    return out.where("stop > start")
+    hit = F.struct(held(start).cast("int").alias("start"), held(stop).cast("int").alias("stop"), stage.alias("stage"))
+    # exploded, as a condition on the range would move into the join with all that the range is made of, once for each time it is named
+    out = rows.select("block_id", "id", F.explode_outer(F.array(hit)).alias("hit")).where("hit.stop > hit.start")
+    return out.select("block_id", "id", "hit.start", "hit.stop", "hit.stage")
 
 
 def resolved(anchors: DataFrame, blocks: DataFrame, near: int = 12) -> DataFrame:

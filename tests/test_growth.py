@@ -44,3 +44,13 @@ def test_titles_of_many_copies(spark):
     made = bib.title_hits(papers, first, records)
     assert {(r["id"], r["rec_id"]) for r in made.collect()} == {(str(i), 1) for i in range(300)}
     assert joined(made) <= 600
+
+
+def test_ranges_are_no_join_condition(spark):
+    """A highlight's range is made once for it, not in the condition of the join."""
+    blocks = spark.createDataFrame([("a", "p", "Take 12 apples and 30 pears. Then rest.")], BLOCKS)
+    marked = spark.createDataFrame([("a", 1, 5, 14, ""), ("a", 2, 0, 4, "nimm")], "block_id string, id int, char_start int, char_end int, excerpt string")
+    made = sl.projected(marked, blocks, spark.createDataFrame([("a", "nimm 12 Birnen und 30 Apfel, 12 mal")], "block_id string, text string"))
+    assert {(r["id"], r["stage"]) for r in made.collect()} == {(1, "tokens"), (2, "excerpt")}
+    joins = nodes(made, "SortMergeJoin")
+    assert joins and not any("position" in line for line in joins)
