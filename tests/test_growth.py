@@ -54,3 +54,16 @@ def test_ranges_are_no_join_condition(spark):
     assert {(r["id"], r["stage"]) for r in made.collect()} == {(1, "tokens"), (2, "excerpt")}
     joins = nodes(made, "SortMergeJoin")
     assert joins and not any("position" in line for line in joins)
+
+
+def keyed_by_patterns(df):
+    return [line for kind in ("Sort ", "Exchange") for line in nodes(df, kind) if "regexp" in line]
+
+
+def test_inline_content_is_no_key(spark):
+    """Sorts compare keys again and again, so what is made of a text by patterns is none."""
+    blocks = spark.createDataFrame([("a", "p", "x ⟦f1⟧ ^2^"), ("b", "p", "y ⟦f1⟧"), ("c", "p", "z")], BLOCKS)
+    said = spark.createDataFrame([("a", 1, 1, "⟦f1⟧ q ^2^", 1), ("a", 2, 1, "⟦f1⟧", 2), ("b", 1, 1, "⟦f2⟧", 1), ("c", 1, 1, "z", 3)], SAID)
+    made = tm.latest(said, blocks)
+    assert {(r["block_id"], r["created_at"]) for r in made.collect()} == {("a", 1), ("c", 3)}
+    assert nodes(made, "SortMergeJoin") and not keyed_by_patterns(made)
