@@ -67,3 +67,11 @@ def test_inline_content_is_no_key(spark):
     made = tm.latest(said, blocks)
     assert {(r["block_id"], r["created_at"]) for r in made.collect()} == {("a", 1), ("c", 3)}
     assert nodes(made, "SortMergeJoin") and not keyed_by_patterns(made)
+
+
+def test_migration_keys(spark):
+    blocks = spark.createDataFrame([("a", "p", "x ⟦f1⟧ ^2^"), ("b", "p", "y ⟦f1⟧"), ("c", "p", "z")], BLOCKS)
+    said = spark.createDataFrame([("a", 1, 1, "⟦f1⟧ q ^2^", 1), ("b", 1, 1, "⟦f2⟧", 1), ("c", 1, 1, "z", 3)], SAID)
+    made = tm.migrate(said, blocks, blocks.withColumn("block_id", F.concat("block_id", F.lit("2"))))
+    assert {(r["old_id"], r["block_id"], r["rule"]) for r in made.collect()} == {("a", "a2", 1), ("c", "c2", 1)}
+    assert nodes(made, "SortMergeJoin") and not keyed_by_patterns(made)
