@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..llm.words import slices
 from .fingerprint import hashes_within, min_label, simhash
 
 SOURCE_RANK = {"arXiv": 0, "S2": 1, "OpenAlex": 2}
@@ -106,6 +111,22 @@ def source_status(log: DataFrame, sources: list[str]) -> DataFrame:
     return out.select("query_norm", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("failed", F.lit(0)).alias("failed"), F.col("n").isNull().alias("pending"))
 
 
+def word_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, index) of texts (doc_id, text): a map of each word, as blanks, tabs and line feeds part them, to its positions in order; null for a null text.
+
+    A text's index is made where the text is, so words are no rows and nothing is shuffled.
+    """
+    for batch in (part for whole in batches for part in slices(whole, "text", 1_000_000)):
+        made: list[dict[str, list[int]] | None] = []
+        for text in batch.column("text").to_pylist():
+            index: dict[str, list[int]] | None = None if text is None else {}
+            for at, word in enumerate(w for w in re.split("[ \\t\\n]+", text or "") if w):
+                index.setdefault(word, []).append(at)
+            made.append(index)
+        column = pa.array([None if m is None else list(m.items()) for m in made], pa.map_(pa.string(), pa.list_(pa.int32())))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], names=["doc_id", "index"])
+
+
 def abstract(index: Column) -> Column:
     """Text from a map of words to positions 0 to 4999; of words that claim a position the last one has it."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(F.filter(e["value"], lambda p: (p >= 0) & (p < 5000)), lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))

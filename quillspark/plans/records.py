@@ -32,9 +32,7 @@ def _(t):
 
 @query("src7_inverted_abstracts", "SELECT doc_id, array_to_string(list_slice(w, 1, 5000), ' ') AS abstract FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> '') AS w FROM documents)")
 def _(t):
-    words = t("documents").select("doc_id", F.posexplode_outer(F.filter(F.split("text", r"[ \t\n]+"), lambda w: w != "")).alias("pos", "word"))
-    entries = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("at"))
-    index = entries.groupBy("doc_id").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("word", "at")), lambda e: e["word"].isNotNull())).alias("index"))
+    index = t("documents").select("doc_id", "text").mapInArrow(bib.word_index, "doc_id long, index map<string, array<int>>")
     return index.select("doc_id", bib.abstract(F.col("index")).alias("abstract"))
 
 

@@ -75,3 +75,11 @@ def test_migration_keys(spark):
     made = tm.migrate(said, blocks, blocks.withColumn("block_id", F.concat("block_id", F.lit("2"))))
     assert {(r["old_id"], r["block_id"], r["rule"]) for r in made.collect()} == {("a", "a2", 1), ("c", "c2", 1)}
     assert nodes(made, "SortMergeJoin") and not keyed_by_patterns(made)
+
+
+def test_inverted_abstracts_shuffle_nothing(spark, tmp_path):
+    rows = [(1, "a b\ta\n\n c"), (2, ""), (3, " d "), (4, None), (5, "x\u00a0y é x\u00a0y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = QUERIES["src7_inverted_abstracts"](spark, str(tmp_path))
+    assert {r["doc_id"]: r["abstract"] for r in made.collect()} == {1: "a b a c", 2: "", 3: "d", 4: None, 5: "x\u00a0y é x\u00a0y"}
+    assert not nodes(made, "Exchange")
