@@ -2,14 +2,15 @@
 
 A text is the set of its character n-grams of one to three code points (blended-spectrum presence), hashed into
 DIMS places. The kernel of two texts is the number of shared n-grams over the geometric mean of their numbers.
-Landmarks chosen from the training rows give Nystroem features; one ridge regression for each language, against
-the rest, is solved on them. Scores are products of a batch of presence rows with the weights that landmarks
+Landmarks chosen from the training rows and the mean of all rows of each language give Nystroem features; one ridge
+regression for each language, against the rest, is solved on those of all training rows. Scores are products of a batch of presence rows with the weights that landmarks
 and regression come down to: K(x, landmarks) A = x (Z' A) / |x|.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +22,15 @@ from pyspark.sql import functions as F
 from .words import give_back, slices
 
 DIMS = 1 << 14
-#: Bounds of the fit: training rows of a language, of all languages, and landmarks.
-PER_LANGUAGE, TRAINING, LANDMARKS, RIDGE = 250, 10_000, 384, 1e-2
+#: Texts that features are made of besides each language's mean, and the weight against large coefficients. The regressions are solved on all rows.
+LANDMARKS, RIDGE = 384, 1e-2
+#: Parts of a row of n-grams that are added up apart.
+PIECES = 16
 BATCH = 128
 #: Classes of size: there are 2^14 n-grams at most.
 CLASSES = 15
+#: Steps of a score that are told apart where floors are counted.
+SCORE_STEPS = 10_000
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 
@@ -69,41 +74,89 @@ class Model:
         return (x @ self.weights) / norm, has
 
 
-def fit(texts: list[str | None], languages: list[str]) -> Model:
-    names = sorted(set(languages))
-    if not names:
-        return Model([], np.zeros((DIMS, 0), np.float32))
-    x = np.concatenate([presence(texts[i : i + BATCH])[0] for i in range(0, len(texts), BATCH)])
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    y = (np.array(languages)[:, None] == np.array(names)[None, :]).astype(np.float64)
-    rank = np.zeros(len(languages), np.int64)  # landmarks take turns over the languages
-    for name in names:
-        mine = np.flatnonzero(np.array(languages) == name)
-        rank[mine] = np.arange(len(mine))
-    z = x[np.argsort(rank, kind="stable")[:LANDMARKS]]
-    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
-    good = values > 1e-6 * values.max()
-    whiten = vectors[:, good] / np.sqrt(values[good])
-    features = (x @ z.T).astype(np.float64) @ whiten
-    gram = features.T @ features + RIDGE * np.eye(features.shape[1])
-    solved = whiten @ np.linalg.solve(gram, features.T @ y)
-    return Model(names, (z.T @ solved.astype(np.float32)).astype(np.float32))
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("lang").isNotNull())
 
 
-def _sample(docs: DataFrame) -> list:
-    """(text, lang) of the PER_LANGUAGE ids with the smallest hash of each language, TRAINING at most; of rows with one id the least. Only these come to the driver."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+def _landmarks(docs: DataFrame) -> list[str | None]:
+    """Texts of LANDMARKS rows, those with the smallest hashes of their ids, of each language in turn; of rows with one id the least. Only these come to the driver."""
+    known = _labelled(docs).where(F.col("doc_id").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANGUAGE)
-    ids = [r["doc_id"] for r in chosen.orderBy("r", "lang").limit(TRAINING).collect()]
-    rows = known.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")) if ids else None
-    return [r["row"] for r in sorted(rows.collect(), key=lambda r: r["doc_id"])] if ids else []
+    chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LANDMARKS)
+    ids = [r["doc_id"] for r in chosen.orderBy("r", "lang").limit(LANDMARKS).collect()]
+    rows = known.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row")).collect() if ids else []
+    text = {r["doc_id"]: r["row"]["text"] for r in rows}
+    return [text[i] for i in dict.fromkeys(ids)]
+
+
+def _normed(texts: list[str | None]) -> np.ndarray:
+    x = presence(texts)[0]
+    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    return x
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    # in order of size, so that the sum doesn't hang on which task was first
+    every = np.sort(rows["sums"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1), axis=0)
+    return pa.table({"at": rows["at"].slice(0, 1), "sums": pa.array([every.sum(axis=0)], pa.list_(pa.float64()))})
+
+
+def _summed(docs: DataFrame, one: Callable[[list[str | None], list[str]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """The sums, by place, of what ``one`` gives for the texts and languages of each batch of labelled rows. A task adds up its own, Spark those of the tasks."""
+
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in (part for whole in batches for part in slices(whole, "text", 1_000_000)):
+            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            for i in range(0, len(texts), BATCH):
+                for at, v in one(texts[i : i + BATCH], langs[i : i + BATCH]).items():
+                    sums[at] = sums[at] + v if at in sums else v.astype(np.float64)
+            give_back()
+        if sums:
+            yield pa.RecordBatch.from_pydict({"at": pa.array(list(sums), pa.int32()), "sums": pa.array(list(sums.values()), pa.list_(pa.float64()))})
+
+    kind = "at int, sums array<double>"
+    parts = _labelled(docs).select("text", "lang").mapInArrow(partly, kind).groupBy("at").applyInArrow(_added, kind)
+    return {r["at"]: np.array(r["sums"]) for r in parts.collect()}
 
 
 def learned(docs: DataFrame) -> Model:
-    """A model from a sample of ``docs`` (doc_id, text, lang); rows without a language teach nothing."""
-    rows = _sample(docs)
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    """A model from all labelled rows of ``docs`` (doc_id, text, lang); rows without a language teach nothing.
+
+    Features are kernels to landmarks, some chosen texts, and to the mean of all rows of each language, so an n-gram of any row
+    counts. The regressions' sums of products run over all rows. What comes to the driver is a row of n-grams for each language,
+    a matrix of features by features and one of languages by features, at any number of rows.
+    """
+    names = sorted(r["lang"] for r in _labelled(docs).select("lang").distinct().collect())
+    if not names:
+        return Model([], np.zeros((DIMS, 0), np.float32))
+    place = {n: i for i, n in enumerate(names)}
+
+    def ngrams(texts: list[str | None], langs: list[str]) -> dict[int, np.ndarray]:
+        x, of = _normed(texts), np.array([place[n] for n in langs])
+        return {k * PIECES + i: v for k in np.unique(of).tolist() for i, v in enumerate(np.split(x[of == k].sum(axis=0), PIECES))}
+
+    sums, marks = _summed(docs, ngrams), _landmarks(docs)
+    means = np.concatenate([sums[i] for i in range(len(names) * PIECES)]).reshape(len(names), DIMS)
+    means = (means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    z = np.concatenate([*(_normed(marks[i : i + BATCH]) for i in range(0, len(marks), BATCH)), means])
+    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+    good = values > 1e-6 * max(values.max(), 1e-12)
+    if not good.any():  # no text has an n-gram
+        return Model(names, np.zeros((DIMS, len(names)), np.float32))
+    whiten = vectors[:, good] / np.sqrt(values[good])
+    size = whiten.shape[1]
+    shared = docs.sparkSession.sparkContext.broadcast((z, whiten))
+
+    def products(texts: list[str | None], langs: list[str]) -> dict[int, np.ndarray]:
+        z, whiten = shared.value
+        features, of = (_normed(texts) @ z.T).astype(np.float64) @ whiten, np.array([place[n] for n in langs])
+        return {**dict(enumerate(features.T @ features)), **{size + k: features[of == k].sum(axis=0) for k in np.unique(of).tolist()}}
+
+    sums = _summed(docs, products)
+    gram, said = np.array([sums[i] for i in range(size)]), np.array([sums[size + k] for k in range(len(names))])
+    solved = whiten @ np.linalg.solve(gram.reshape(size, size) + RIDGE * np.eye(size), said.T)
+    return Model(names, (z.T @ solved.astype(np.float32)).astype(np.float32))
 
 
 def _top(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,20 +168,33 @@ def _top(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]
 
 
 def floors(model: Model, docs: DataFrame) -> np.ndarray:
-    """The score that a text of each class of size has to come up to, from a sample of ``docs`` that the model was not fitted on.
+    """The score that a text of each class of size has to come up to, from all labelled rows of ``docs``, which the model was not fitted on.
 
     Scores rise with the size of a text, so a class has its own floor: half of the median there. Scores are linear in
     the presence row, so half of what its size usually scores is a text of which half is in the language. The first
-    halves, quarters and so on of the texts count too, so that small sizes are known in a corpus of long texts.
+    halves, quarters and so on of the texts count too, so that small sizes are known in a corpus of long texts. Scores are
+    counted to four digits behind the point: a class has some ten thousand counts at most, however many texts there are.
     """
-    texts = [r["text"] for r in _sample(docs) if r["text"] and r["lang"] in model.languages]
-    found = []
-    while texts:
-        found += [_top(model, texts[i : i + BATCH]) for i in range(0, len(texts), BATCH)]
-        texts = [t[: len(t) // 2] for t in texts if len(t) >= 2]
-    score, size = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0), np.zeros(0))
-    seen = [c for c in range(CLASSES) if (size == c).any()]
-    return np.interp(np.arange(CLASSES), seen, [np.median(score[size == c]) / 2 for c in seen], left=0) if seen else np.zeros(CLASSES)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[tuple[int, int]] = Counter()
+        for batch in (part for whole in batches for part in slices(whole, "text", 1_000_000)):
+            texts = batch.column("text").to_pylist()
+            while texts:
+                for i in range(0, len(texts), BATCH):
+                    score, size = _top(model, texts[i : i + BATCH])
+                    seen.update(zip(size.tolist(), np.rint(score * SCORE_STEPS).astype(np.int64).tolist(), strict=True))
+                texts = [t[: len(t) // 2] for t in texts if len(t) >= 2]
+            give_back()
+        yield pa.RecordBatch.from_pydict({"size": pa.array([k for k, _ in seen], pa.int32()), "score": pa.array([v for _, v in seen], pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    if not model.languages:
+        return np.zeros(CLASSES)
+    held = _labelled(docs).where("text <> ''").where(F.col("lang").isin(model.languages)).select("text")
+    counts = held.mapInArrow(counted, "size int, score long, n long").where("size >= 0").groupBy("size", "score").agg(F.sum("n").alias("n"))
+    half = {r["size"]: r["median"] / SCORE_STEPS / 2 for r in counts.groupBy("size").agg(F.percentile("score", 0.5, F.col("n")).alias("median")).collect()}
+    seen = sorted(half)
+    return np.interp(np.arange(CLASSES), seen, [half[c] for c in seen], left=0) if seen else np.zeros(CLASSES)
 
 
 def in_learned_language(docs: DataFrame, model: Model, floor: np.ndarray) -> DataFrame:
