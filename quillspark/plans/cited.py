@@ -19,7 +19,7 @@ _CITING = """SELECT paper_id, block_order, CASE WHEN block_order % 6 = 5 THEN 'R
   CASE WHEN block_order % 6 = 5 THEN concat('[', block_order, '] ', a, ', K.', CASE block_order % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' and ', b, ', L.') ELSE concat(', ', b, ', L., ', c, ', M.') END, ' Of something. ', 2000 + doc_id % 3, '.')
        ELSE concat(text, ' (', a, ' et al., ', 2000 + doc_id % 3, '; ', b, ' ', 2000 + block_order % 3, ') and ', a, ' and ', c, ', ', 2000 + doc_id % 3) END AS text
 FROM (SELECT *, initcap(coalesce(get(w, block_order % 5), 'Aa')) AS a, initcap(coalesce(get(w, 1), 'Bb')) AS b, initcap(coalesce(get(w, 2), 'Cc')) AS c
-  FROM (SELECT *, regexp_extract_all(first_value(text) OVER (PARTITION BY paper_id ORDER BY block_order), '[a-z]{{3,}}', 0) AS w FROM {f_blocks}))"""
+  FROM (SELECT *, first_value(words) OVER (PARTITION BY paper_id ORDER BY block_order) AS w FROM (SELECT *, slice(regexp_extract_all(text, '[a-z]{{3,}}', 0), 1, 5) AS words FROM {f_blocks})))"""
 
 
 @query("bib15_bib16_citations")

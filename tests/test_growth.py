@@ -83,3 +83,10 @@ def test_inverted_abstracts_shuffle_nothing(spark, tmp_path):
     made = QUERIES["src7_inverted_abstracts"](spark, str(tmp_path))
     assert {r["doc_id"]: r["abstract"] for r in made.collect()} == {1: "a b a c", 2: "", 3: "d", 4: None, 5: "x\u00a0y é x\u00a0y"}
     assert not nodes(made, "Exchange")
+
+
+def test_citing_words_are_made_once(spark):
+    """The words that citations are made of come from each text once, not from a paper's first text for each of its blocks."""
+    made = QUERIES["bib15_bib16_citations"](spark, "/root/testdata/sf0.001")
+    windows = [line for line in nodes(made, "Window") if "first" in line]
+    assert windows and not any(re.search(r"first(_value)?\(text", line) for line in windows)
