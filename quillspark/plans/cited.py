@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..llm.scratch import written
 from ..operators import biblio as bib
 from ..operators import citations as ct
 from ..operators import context as cx
@@ -125,7 +126,8 @@ _HITS = "SELECT question_id, block_id, {number} FROM {asked} q JOIN {f_blocks} b
 
 
 def _contexts(t):
-    chat, blocks = t("f_chat"), t("f_blocks")
+    # written, as it is read for hits, leads, samples, outlines and texts, and each reading would shuffle all texts to make it
+    chat, blocks = t("f_chat"), written(t("f_blocks"), "blocks")
     sql = lambda text, **frames: blocks.sparkSession.sql(text, **frames)
     asked = sql(_ASKED, f_chat=chat)
     made = lambda number, step, every, rest: sql(_HITS.replace("{number}", number).replace("{step}", str(step)).replace("{every}", str(every)).replace("{rest}", rest), asked=asked, f_blocks=blocks)

@@ -90,3 +90,8 @@ def test_citing_words_are_made_once(spark):
     made = QUERIES["bib15_bib16_citations"](spark, "/root/testdata/sf0.001")
     windows = [line for line in nodes(made, "Window") if "first" in line]
     assert windows and not any(re.search(r"first(_value)?\(text", line) for line in windows)
+
+
+def test_contexts_read_blocks_that_are_made_once(spark):
+    made = QUERIES["ret9_contexts"](spark, "/root/testdata/sf0.001")
+    assert made.count() > 0 and not [line for line in nodes(made, "Generate") if "posexplode" in line]
