@@ -1,5 +1,6 @@
 """Documents near by fingerprint whose sets are apart, and chunks of hashes."""
 
+import collections
 import itertools
 
 import numpy as np
@@ -131,3 +132,33 @@ def test_bm25_over_shards_and_blocks(spark, monkeypatch):
     got = ret.bm25(frame(asked, "question_id"), ret.postings(frame(texts, "doc_id"), "doc_id"), 4, "doc_id")
     assert {tuple(r) for r in got.collect()} == want
     assert ret.bm25(frame(asked, "question_id"), ret.postings(frame(texts, "doc_id").limit(0), "doc_id"), 4, "doc_id").count() == 0
+
+
+def test_hashes_meet_once_within_a_chunk(monkeypatch):
+    """Each hash used to meet all others of its chunk, those before it as well."""
+    met, count = [], np.bitwise_count
+    monkeypatch.setattr(fp.np, "bitwise_count", lambda x: met.append(x.size) or count(x))
+    monkeypatch.setattr(fp, "AT_ONCE", 50)
+    hashes = np.array([(1 << 40) + (i << 7 * 3) for i in range(90)], np.uint64)
+    found = {(int(x), int(y)) for i, j in fp._met(hashes, hashes, 6, True) for x, y in zip(i, j, strict=True)}
+    want = {(x, y) for x, y in itertools.combinations(range(90), 2) if int(hashes[x] ^ hashes[y]).bit_count() <= 6}
+    assert found == want and sum(met) <= 0.6 * 7 * 90 * 90
+
+
+def test_fingerprints_of_long_and_odd_lists():
+    """Counters of 16 bits are emptied before they are full, and a token's units are those of UTF-16."""
+    import pyarrow as pa
+
+    def fnv(said):
+        h = fp.FNV_OFFSET
+        for unit in np.frombuffer(said.encode("utf-16-le"), "<u2").tolist():
+            h = (h ^ unit) * fp.FNV_PRIME % (1 << 64)
+        return h
+
+    lists = [[], None, ["a"], ["x", "\U0001d4b3y", "", "\u6a21"], ["same"] * 70_000, [str(i % 7) for i in range(140_001)]]
+    value, has = fp._votes(pa.array(lists, pa.list_(pa.string())))
+    for said, got, some in zip(lists, value.view(np.uint64).tolist(), has.tolist(), strict=True):
+        features = collections.Counter([*(said or []), *(f"{a} {b}" for a, b in itertools.pairwise(said or []))])
+        of = {f: fnv(f) for f in features}
+        n = sum(features.values())
+        assert got == sum(1 << bit for bit in range(64) if 2 * sum(c for f, c in features.items() if of[f] >> bit & 1) > n) and some == (n > 0)
