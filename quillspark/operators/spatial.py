@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.scratch import written
 from . import gates
 from .fingerprint import min_label
 
@@ -175,11 +176,14 @@ def figure_clusters(blocks: DataFrame) -> DataFrame:
     else between them that stand side by side or one under another, as far as they fill seven tenths of the box around
     them. Margins count for nothing; a figure inside another one is left out.
     """
+    # written, as each box is read for corners and cells on both sides, and every reading would make the blocks anew
+    blocks = written(blocks.select(*PAGE, "block_order", "kind", "x", "y", "width", "height"), "boxes")
     figures = blocks.where("kind = 'figure'").withColumn("item", F.col("block_order"))
     flow = blocks.where("kind <> 'margin'").join(contained(figures).select("doc_id", "page", F.col("item").alias("block_order"), F.lit("figure").alias("kind")).hint("merge"), [*PAGE, "block_order", "kind"], "left_anti")
     order = Window.partitionBy("doc_id").orderBy("block_order")
     goes_on = (F.col("kind") == "figure") & (F.lag("kind").over(order) == "figure") & (F.lag("page").over(order) == F.col("page"))
     runs = flow.withColumn("fresh", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order)).where("kind = 'figure'")
+    runs = written(runs, "runs")
     named = runs.select(*PAGE, F.struct(F.struct("doc_id", "block_order", "run").alias("id"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"), (F.col("width") * F.col("height")).alias("area")).alias("box"))
     a, b = F.col("a"), F.col("b")
     apart = lambda c: F.greatest(a[f"{c}1"], b[f"{c}1"]) - F.least(a[f"{c}2"], b[f"{c}2"])
