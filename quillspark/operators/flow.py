@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..llm.scratch import written
 from . import spatial as sp
 from . import structure as st
 
@@ -27,6 +28,8 @@ def reading_items(blocks: DataFrame) -> DataFrame:
     small (well under the body's size), line (short, of one line and without further parts) or body. Figures that belong
     together are one, neighbouring ones of a page are one item; figures within others and margins are no items.
     """
+    # written, as every kind of item reads them, and each reading would make the blocks anew
+    blocks = written(blocks.select("doc_id", "page", "block_order", "kind", "text", "section", "x", "y", "width", "height", "size"), "blocks")
     chains = st.chains(blocks.where("kind <> 'margin'"))
     parts = chains.groupBy("doc_id", F.col("chain").alias("block_order")).agg(F.array_sort(F.collect_list("block_order")).alias("blocks"))
     paras = blocks.where("kind = 'para'").join(parts.hint("merge"), ["doc_id", "block_order"]).join(body_sizes(blocks).hint("merge"), "doc_id", "left")

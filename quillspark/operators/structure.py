@@ -68,7 +68,8 @@ def chains(blocks: DataFrame) -> DataFrame:
     flow = crossed.where("kind <> 'figure'")
     prior = lambda c: F.lag(c).over(w)
     parted = (prior("page") != F.col("page")) | (prior("floats") != F.col("floats"))
-    linked = (F.col("kind") == "para") & (prior("kind") == "para") & tx.ends_mid_sentence(prior("text")) & tx.starts_mid_sentence(F.col("text")) & parted
+    # texts are read where the rest holds
+    linked = (F.col("kind") == "para") & (prior("kind") == "para") & parted & tx.starts_mid_sentence(F.col("text")) & tx.ends_mid_sentence(prior("text"))
     marked = flow.withColumn("head", F.when(~F.coalesce(linked, F.lit(False)), F.col("block_order")))
     chained = marked.select("doc_id", "block_order", "kind", F.last("head", ignorenulls=True).over(w).alias("chain"))
     return chained.where("kind = 'para'").drop("kind")

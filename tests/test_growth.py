@@ -104,6 +104,11 @@ def test_figures_read_boxes_that_are_made_once(spark):
     assert made.count() > 0 and not [line for line in nodes(made, "Generate") if "posexplode" in line]
 
 
+def test_reading_items_read_blocks_that_are_made_once(spark):
+    made = QUERIES["seg10_reading_items"](spark, "/root/testdata/sf0.001")
+    assert made.count() > 0 and not [line for line in nodes(made, "Generate") if "posexplode" in line]
+
+
 def test_terms_meet_translations_once(spark):
     said = spark.createDataFrame([("p", f"b{i}", "common " + ("rare" if i == 2 else "other") + (" some" if i < 2 else "")) for i in range(5)] + [("q", "c", "common")], "paper_id string, block_id string, text string")
     terms = spark.createDataFrame([(p, t) for p in "pq" for t in ("common", "rare", "some", "none")], "paper_id string, term string")
