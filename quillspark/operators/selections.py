@@ -11,6 +11,7 @@ from .fingerprint import hamming, simhash
 
 # White space as JavaScript and Unicode have it; Java's \s is ASCII.
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+LEFT_OUT = rf"{SPACE[1:-1]}\-\x{{0}}"
 FOUND = "struct<start: int, stop: int, stage: string>"
 
 
@@ -34,7 +35,25 @@ def normal(text: Column) -> Column:
 
 def bare(text: Column) -> Column:
     """The text that ``normal`` gives, without the places."""
-    return _written_out(F.regexp_replace(text, rf"[{SPACE[1:-1]}\-\x{{0}}]", ""))
+    return _written_out(F.regexp_replace(text, rf"[{LEFT_OUT}]", ""))
+
+
+def _place(text: Column, n: Column) -> Column:
+    """The place in ``text``, from 0, of the sign that the ``n``-th one of ``bare`` is or comes from; null if there is none."""
+    wide = text
+    for sign, letters in fixed.LIGATURES.items():
+        wide = F.replace(wide, F.lit(sign), F.lit(sign * len(letters)))
+    # possessive, as Java's other repetitions of a group may go a step deeper each time
+    upto = F.regexp_substr(wide, F.concat(F.lit(rf"\A(?:[{LEFT_OUT}]*+[^{LEFT_OUT}]){{"), n.cast("string"), F.lit("}+")))
+
+    def told(part: Column) -> Column:
+        place = F.length(part) - 1
+        for sign, letters in fixed.LIGATURES.items():
+            times = F.length(part) - F.length(F.replace(part, F.lit(sign), F.lit("")))
+            place = place - (times - F.ceil(times / len(letters)))
+        return place
+
+    return F.when(n >= 1, tx.let(upto, told))
 
 
 def _written_out(text: Column) -> Column:
@@ -56,26 +75,28 @@ def located(text: Column, selection: Column) -> Column:
     hit = F.when(F.size(words) > 0, F.regexp_instr(text, spaced))
 
     def by_ends(p: Column) -> Column:
-        b, m, s = p["b"]["text"], p["b"]["map"], p["s"]
+        b, s = p["b"], p["s"]
         n = F.length(s)
         heads = F.coalesce(*[F.nullif(at(F.left(s, F.lit(k)), b), F.lit(0)) for k in fixed.END_LENGTHS])
 
         def tail(hi: Column) -> Column:
             ends = [F.struct(at(F.right(s, F.lit(k)), b, hi + fixed.END_GAP).alias("at"), F.lit(k).alias("k")) for k in fixed.END_LENGTHS]
             good = F.filter(F.array(*ends), lambda e: (e["at"] > 0) & (e["at"] + e["k"] - hi <= n * fixed.END_SPREAD))
-            return tx.let(F.get(good, F.lit(0)), lambda e: F.when(e.isNotNull(), _range(F.get(m, hi - 1), F.get(m, e["at"] + e["k"] - 2) + 1, "ends")))
+            return tx.let(F.get(good, F.lit(0)), lambda e: F.when(e.isNotNull(), _range(_place(text, hi), _place(text, e["at"] + e["k"] - 1) + 1, "ends")))
 
         return F.when(n > fixed.ENDS_FROM, tx.let(heads, lambda hi: F.when(hi.isNotNull(), tail(hi))))
 
-    def by_normal(p: Column) -> Column:
-        b, m, s = p["b"]["text"], p["b"]["map"], p["s"]
-        whole = tx.let(at(s, b), lambda i: F.when(i > 0, _range(F.get(m, i - 1), F.get(m, i + F.length(s) - 2) + 1, "normal")))
-        return F.when(F.length(s) >= fixed.NORMAL_LEAST, F.coalesce(whole, by_ends(p)))
+    loose = tx.let(hit, lambda i: F.when(i > 0, _range(i - 1, i - 1 + F.length(F.regexp_substr(text, spaced)), "spaced")))
+
+    def folded(p: Column) -> Column:
+        # what is there with any white space is there without any
+        i, n = p["i"], F.length(p["s"])
+        whole = F.when(n >= fixed.NORMAL_LEAST, _range(_place(text, i), _place(text, i + n - 1) + 1, "normal"))
+        return F.when(i > 0, F.coalesce(loose, whole)).when((F.size(words) > 0) & (n >= fixed.NORMAL_LEAST), by_ends(p))
 
     exact = tx.let(at(selection, text), lambda i: F.when(i > 0, _range(i - 1, i - 1 + F.length(selection), "exact")))
-    loose = tx.let(hit, lambda i: F.when(i > 0, _range(i - 1, i - 1 + F.length(F.regexp_substr(text, spaced)), "spaced")))
-    folded = F.when(F.size(words) > 0, tx.let(F.struct(normal(text).alias("b"), normal(selection)["text"].alias("s")), by_normal))
-    return F.coalesce(exact, loose, folded)
+    both = F.struct(bare(text).alias("b"), bare(selection).alias("s"))
+    return F.coalesce(exact, tx.let(tx.let(both, lambda p: F.struct(p["b"].alias("b"), p["s"].alias("s"), at(p["s"], p["b"]).alias("i"))), folded))
 
 
 def selections_in_blocks(selections: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -139,3 +139,17 @@ def test_resolved(spark):
 def test_empty(spark, rows):
     blocks = spark.createDataFrame(rows, "block_id string, text string")
     assert sl.selections_in_blocks(blocks.select("block_id", F.lit("x").alias("selection")), blocks).where("stage IS NOT NULL").count() == 0
+
+
+def test_places_are_taken_from_long_texts_without_a_row_of_signs(spark):
+    """A block's signs used to become a list, whatever was asked of it."""
+    text = "ab-c ﬁﬁ\u00a0dﬃ-x\x00y " * 3 + "wo rd " * 60_000 + "last-ﬄ one"
+    frame = spark.createDataFrame([(text, "cfifid"), (text, "ffixy"), (text, "fixy ab c"), (text, "lastffl"), (text, "wordlast"), (text, "nowhere"), ("a", "----"), (None, "a")], "t string, s string").coalesce(1)
+    made = frame.select("s", sl.located(F.col("t"), F.col("s")).alias("f"), "t")
+    assert "flatten(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    for s, f, t in made.collect():
+        signs = [(c, i) for i, sign in enumerate(t or "") if sign not in " \u00a0-\x00" for c in {"ﬁ": "fi", "ﬃ": "ffi", "ﬄ": "ffl"}.get(sign, sign)]
+        bare = "".join(c for c, _ in signs)
+        wanted = s.replace(" ", "").replace("-", "")
+        at = bare.find(wanted) if len(wanted) >= 4 else -1
+        assert (f and tuple(f)) == (None if at < 0 else (signs[at][1], signs[at + len(wanted) - 1][1] + 1, "normal")), s
