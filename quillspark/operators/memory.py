@@ -72,7 +72,8 @@ def untitled(papers: DataFrame, titles: DataFrame, lang: str, batch: int = 30) -
 
 
 def placeholder_numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(tx.PLACEHOLDER), 1), lambda n: n.cast("int"))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(tx.PLACEHOLDER), 1), lambda n: n.cast("int"))
+    return F.when(F.contains(text, F.lit("⟦f")), numbers).when(text.isNotNull(), F.array().cast("array<int>"))
 
 
 def repaired(source: Column, translated: Column) -> Column:

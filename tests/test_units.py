@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as tx
 from quillspark.functions import fixed
 from quillspark.operators import context as cx
 from quillspark.operators import memory as tm
@@ -143,3 +144,9 @@ def test_chosen(spark):
     q = next(x["question_id"] for x in questions if x["question_id"] in want and x["whole"])
     lines = shown[q].split("\n")
     assert lines[0] == ("《Title》" if q.startswith("p0q") else "《》") and "论文各节开头（按目录顺序）：" in lines and sum(x.startswith("[B") for x in lines) == len(want[q])
+
+
+def test_inline_signs_and_none(spark):
+    rows = [(None, "a"), ("a", None), ("a", "b"), ("a ^2^", "b"), ("^2^ ⟦f1⟧", "⟦f01⟧ ^2^"), ("~", "x"), (None, "^"), ("⟦f", "y")]
+    made = spark.createDataFrame(rows, "a string, b string").select(tx.preserves_inline(F.col("a"), F.col("b")).alias("p"), tm.placeholder_numbers(F.col("a")).alias("n"))
+    assert [(r["p"], r["n"]) for r in made.collect()] == [(None, None), (None, []), (True, []), (False, []), (True, [1]), (True, []), (None, None), (True, [])]
