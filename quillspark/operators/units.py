@@ -50,7 +50,8 @@ def split_units(parts: DataFrame, answers: DataFrame, keys: list[str]) -> DataFr
     units = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("block_order").cast("bigint").alias("block_order"), "text"))).alias("parts"))  # a unit is a chain of a few blocks
     both = units.join(answers.where("text IS NOT NULL").select(*keys, F.col("text").alias("out")).hint("merge"), keys)
     marked = F.split("out", fixed.PART_BREAK, -1)
-    both = both.withColumns({"marked": marked, "plain": F.regexp_replace("out", fixed.PART_BREAK, " ")})
+    # without marks only what is cut without them
+    both = both.withColumn("marked", marked).withColumn("plain", F.when(F.size("marked") != F.size("parts"), F.regexp_replace("out", fixed.PART_BREAK, " ")))
     pieces = F.when(F.size("marked") == F.size("parts"), F.col("marked")).otherwise(_cut(F.col("parts"), F.col("plain")))
     rows = both.select(*keys, "parts", pieces.alias("pieces")).select(*keys, F.posexplode(F.arrays_zip("parts", "pieces")).alias("place", "z"))
     unit = Window.partitionBy(*keys)
@@ -59,12 +60,13 @@ def split_units(parts: DataFrame, answers: DataFrame, keys: list[str]) -> DataFr
     rows = rows.withColumn("before", F.coalesce(F.sum("own").over(unit.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
     back = F.transform(tm.placeholder_numbers(F.col("piece")), lambda n: F.when((n - F.col("before") >= 1) & (n - F.col("before") <= F.col("own")), n - F.col("before")).otherwise(0))
     named = F.transform(back, lambda n: F.concat(F.lit("⟦f"), n.cast("string"), F.lit("⟧")))
-    renumbered = F.regexp_replace(F.array_join(F.zip_with(F.split("piece", tx.PLACEHOLDER, -1), named, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""), r"\A\s+|\s+\z", "")
-    rows = rows.withColumn("said", renumbered)
+    renumbered = F.array_join(F.zip_with(F.split("piece", tx.PLACEHOLDER, -1), named, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    # trimmed of what \s is
+    rows = rows.withColumn("said", F.trim(F.when(F.contains("piece", F.lit("⟦f")), renumbered).otherwise(F.col("piece")), F.lit(" \t\n\x0b\f\r"))).withColumn("first_said", F.col("said"))
     source, said = F.col("source"), F.col("said")
     rows = rows.withColumn("said", F.when(tx.preserves_inline(source, said), said).otherwise(tm.repaired(source, said)))
     rows = rows.withColumn("said", F.when(tx.preserves_inline(source, said), said).otherwise(tm.repaired_marks(source, said)))
-    fault = F.when(renumbered == "", "blank").when(~tx.preserves_inline(source, said), "inline")
+    fault = F.when(F.col("first_said") == "", "blank").when(~tx.preserves_inline(source, said), "inline")
     judged = rows.withColumn("fault", F.when(F.col("piece").rlike(r"\S"), fault).otherwise("blank"))
     judged = judged.withColumn("reason", F.min("fault").over(unit))
     return judged.select(*keys, "block_order", "source", F.when(F.col("reason").isNull(), said).alias("text"), "reason")

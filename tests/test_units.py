@@ -146,6 +146,17 @@ def test_chosen(spark):
     assert lines[0] == ("《Title》" if q.startswith("p0q") else "《》") and "论文各节开头（按目录顺序）：" in lines and sum(x.startswith("[B") for x in lines) == len(want[q])
 
 
+def test_marks_are_taken_out_only_where_they_dont_fit(spark):
+    """Each answer used to be read for marks once more, to be cut without them."""
+    parts = spark.createDataFrame([("u", i, f"one two {i}") for i in range(2)] + [("v", i, "one two, three four") for i in range(2)], "unit string, block_order long, text string")
+    answers = spark.createDataFrame([("u", " eins \u2028\x0b ⟦pb⟧ zwei\n"), ("v", "eins zwei, [PB] drei [pb] vier")], "unit string, text string")
+    made = un.split_units(parts, answers, ["unit"])
+    told = sorted((r["unit"], r["block_order"], r["text"], r["reason"]) for r in made.collect())
+    assert told[:2] == [("u", 0, "eins \u2028", None), ("u", 1, "zwei", None)] and [r[2] for r in told[2:]] == ["eins zwei,", "drei vier"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.split("\n") if " AS plain" in line] and all("CASE WHEN" in x.split("regexp_replace(out")[0][-200:] for x in plan.split("\n") if " AS plain" in x)
+
+
 def test_inline_signs_and_none(spark):
     rows = [(None, "a"), ("a", None), ("a", "b"), ("a ^2^", "b"), ("^2^ ⟦f1⟧", "⟦f01⟧ ^2^"), ("~", "x"), (None, "^"), ("⟦f", "y")]
     made = spark.createDataFrame(rows, "a string, b string").select(tx.preserves_inline(F.col("a"), F.col("b")).alias("p"), tm.placeholder_numbers(F.col("a")).alias("n"))
