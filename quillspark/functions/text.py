@@ -151,17 +151,17 @@ def starts_mid_sentence(text: Column) -> Column:
 
 
 def inline_tokens(text: Column) -> Column:
-    """Sorted placeholders and script marks of a text."""
-    formulas = F.transform(F.regexp_extract_all(text, F.lit(PLACEHOLDER), 1), lambda n: F.concat(F.lit("formula:"), n.cast("int").cast("string")))
-    return F.array_sort(F.concat(formulas, F.regexp_extract_all(text, F.lit(SCRIPT_MARK), 0)))
+    """Sorted placeholders and script marks of a text; most texts have none, and patterns run only on those with a sign of the kind."""
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(PLACEHOLDER), 1), lambda n: F.concat(F.lit("formula:"), F.regexp_replace(n, "^0+(?=.)", "")))
+    marks = F.regexp_extract_all(text, F.lit(SCRIPT_MARK), 0)
+    placed, marked = F.contains(text, F.lit("⟦f")), F.contains(text, F.lit("^")) | F.contains(text, F.lit("~"))
+    none = F.array().cast("array<string>")
+    return F.when(placed & marked, F.array_sort(F.concat(numbers, marks))).when(placed, F.array_sort(numbers)).when(marked, F.array_sort(marks)).when(text.isNotNull(), none)
 
 
 def preserves_inline(source: Column, translated: Column) -> Column:
     # within ``let``, as a bare equation of two sides of a join becomes a key of it, and a key is made anew for each comparison of the sort
-    # most texts have no sign of either kind
-    signs = lambda c: F.contains(c, F.lit("⟦f")) | F.contains(c, F.lit("^")) | F.contains(c, F.lit("~"))
-    equal = lambda t: F.when(signs(t["a"]) | signs(t["b"]), inline_tokens(t["a"]) == inline_tokens(t["b"])).when(t["a"].isNotNull() & t["b"].isNotNull(), True)
-    return let(F.struct(source.alias("a"), translated.alias("b")), equal)
+    return let(F.struct(source.alias("a"), translated.alias("b")), lambda t: inline_tokens(t["a"]) == inline_tokens(t["b"]))
 
 
 def query_terms(question: Column) -> Column:

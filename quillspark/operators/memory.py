@@ -44,20 +44,32 @@ def work_list(blocks: DataFrame, translations: DataFrame, glossary: int, prompt:
     return todo.select("block_id", "doc_id", "block_order", F.when(skip, "identity").otherwise("translate").alias("action"))
 
 
+def with_content(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``content``, the digest of their text."""
+    return blocks.withColumn("content", F.unhex(F.sha1("text")))
+
+
 def migrate(translations: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """(old_id, block_id, glossary_version, prompt_version, rule) after blocks were cut anew.
 
     A translation goes to the block of its paper with the same, unique content; else it stays if its id still has
     that content; else it stays only if its id is free. On a conflict the better rule, then the smaller old id wins.
+    Blocks that have ``content`` (``with_content``) are compared by it, others by the digest that is made of their text here.
     """
-    key = F.sha1("text")
-    was = old.select(F.col("block_id").alias("old_id"), "paper_id", key.alias("content"), F.col("text").alias("source"))
-    alone = new.groupBy("paper_id", key.alias("content")).agg(F.min("block_id").alias("to"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    now = new.select(F.col("block_id").alias("old_id"), key.alias("now"))
-    rows = translations.select(F.col("block_id").alias("old_id"), *CURRENT, "text").join(was.hint("merge"), "old_id")
-    rows = rows.join(alone.hint("merge"), ["paper_id", "content"], "left").join(now.hint("merge"), "old_id", "left")
+    # texts stay where they are read: their digests and their inline content, which most have none of, are all that is shuffled of them
+    old, new = [b if "content" in b.columns else with_content(b) for b in (old, new)]
+    inline = tx.inline_tokens(F.col("text"))
+    said = translations.select(F.col("block_id").alias("old_id"), *CURRENT, inline.alias("got"))
+    was = old.select(F.col("block_id").alias("old_id"), "paper_id", "content", inline.alias("want"))
+    now = new.select(F.col("block_id").alias("old_id"), F.col("content").alias("now"))
+    same = Window.partitionBy("paper_id", "content")
+    alone = new.select("paper_id", "content", F.col("block_id").alias("to")).withColumn("n", F.count(F.lit(1)).over(same)).where("n = 1").drop("n")
+    # within ``let``, as inline content would be a key of the join else, and ids are what the next join is by, too
+    kept = tx.let(F.struct("want", "got"), lambda t: t["want"] == t["got"])
+    rows = said.join(was.hint("merge"), "old_id").where(kept).drop("want", "got").join(now.hint("merge"), "old_id", "left")
+    rows = rows.join(alone.hint("merge"), ["paper_id", "content"], "left")
     rule = F.when(F.col("to").isNotNull(), 1).when(F.col("now") == F.col("content"), 2).when(F.col("now").isNull(), 3)
-    placed = rows.withColumn("rule", rule).where(F.col("rule").isNotNull() & tx.preserves_inline(F.col("source"), F.col("text")))
+    placed = rows.withColumn("rule", rule).where("rule IS NOT NULL")
     placed = placed.withColumn("block_id", F.when(F.col("rule") == 1, F.col("to")).otherwise(F.col("old_id")))
     w = Window.partitionBy("block_id", *CURRENT).orderBy("rule", "old_id")
     return placed.withColumn("r", F.row_number().over(w)).where("r = 1").select("old_id", "block_id", *CURRENT, "rule")

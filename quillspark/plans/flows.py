@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..llm.scratch import written
 from ..operators import library as lib
 from ..operators import memory as tm
 from ..operators import retrieval as ret
@@ -78,8 +79,10 @@ r AS (SELECT t.block_id AS old_id, glossary_version, prompt_version, "to", CASE
 p AS (SELECT old_id, CASE WHEN rule = 1 THEN "to" ELSE old_id END AS block_id, glossary_version, prompt_version, rule FROM r WHERE rule IS NOT NULL)
 SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY block_id, glossary_version, prompt_version ORDER BY rule, old_id) = 1""")
 def _(t):
-    new = t("f_blocks").withColumn("block_id", F.concat_ws(":", "paper_id", F.col("page").cast("string"), (F.col("block_order") + 1).cast("string")))
-    return tm.migrate(t("f_translations"), t("f_blocks"), new)
+    # written with their digests, as old and new blocks and translations would each cut all texts anew
+    blocks = written(tm.with_content(t("f_blocks").drop("section")), "blocks")
+    new = blocks.withColumn("block_id", F.concat_ws(":", "paper_id", F.col("page").cast("string"), (F.col("block_order") + 1).cast("string")))
+    return tm.migrate(t("f_translations", f_blocks=blocks), blocks, new)
 
 
 @query("tm8_untitled", "SELECT id, title FROM f_papers WHERE title <> '' AND doc_id % 3 <> 0")

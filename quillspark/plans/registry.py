@@ -83,12 +83,14 @@ FROM (SELECT min(doc_id) AS rec, lower(w) AS w FROM {f_words} GROUP BY lower(w))
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, or one derived from it."""
+def table(spark: SparkSession, sf_dir: str, name: str, **made: DataFrame) -> DataFrame:
+    """A given table, or one derived from it; derived ones that are ``made`` already are taken as they are."""
+    if name in made:
+        return made[name]
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = (_SPARK | _BOTH)[name].replace("{S}", "STRING")
-    parts = {n: table(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", text))}
+    parts = {n: table(spark, sf_dir, n, **made) for n in set(re.findall(r"\{(\w+)\}", text))}
     return spark.sql(text, **parts)
 
 
@@ -113,7 +115,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     """Registers a function of (t, spark), where t gives tables by name, under ``name``."""
 
     def add(f: Callable) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(lambda n: table(spark, sf_dir, n))
+        QUERIES[name] = lambda spark, sf_dir: f(lambda n, **made: table(spark, sf_dir, n, **made))
         if sql:
             ORACLE_SQL[name] = _duck(sql)
         return f

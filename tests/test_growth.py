@@ -37,6 +37,24 @@ def joined(df):
     return most
 
 
+def shuffled(df):
+    """The names of all columns that are shuffled for ``df``."""
+    df.collect()
+    todo, names = [df._jdf.queryExecution().executedPlan()], set()
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(p.plan())
+        else:
+            if name == "Exchange":
+                names |= {p.output().apply(i).name() for i in range(p.output().size())}
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+    return names
+
+
 def test_titles_of_many_copies(spark):
     """Copies of a paper and of a record are not multiplied with one another."""
     papers = spark.range(300).select(F.col("id").cast("string").alias("id"), F.lit("One Title").alias("title"))
@@ -78,6 +96,27 @@ def test_migration_keys(spark):
     assert nodes(made, "SortMergeJoin") and not keyed_by_patterns(made)
 
 
+def test_migration_shuffles_no_texts(spark):
+    """Digests and inline content are shuffled, not texts; numbers of placeholders have any size."""
+    old = [("a", "one"), ("b", "two"), ("c", "two"), ("d", "three"), ("e", None), ("g", "gone"), ("i", "moved ^2^"), ("j", "moved ^2^"), ("k", "⟦f099999999999⟧"), ("l", "lost ⟦f1⟧")]
+    new = [("d", "one"), ("b", "two"), ("c", "two"), ("x", None), ("h", "moved ^2^")]
+    said = [("a", "eins"), ("b", "zwei"), ("c", "zwei ~q~"), ("d", "drei"), ("e", ""), ("g", "weg"), ("j", "bewegt ^2^"), ("i", "^2^"), ("k", "⟦f99999999999⟧"), ("l", "weg"), ("m", "herrenlos")]
+    old, new = (spark.createDataFrame([(i, "p", text) for i, text in rows], "block_id string, paper_id string, text string") for rows in (old, new))
+    said = spark.createDataFrame([(i, v, 1, text, 1) for i, text in said for v in (1, 2)], SAID)
+    told = {("a", "d", 1), ("b", "b", 2), ("g", "g", 3), ("i", "h", 1), ("k", "k", 3)}
+    for made in (tm.migrate(said, old, new), tm.migrate(said, tm.with_content(old), tm.with_content(new))):
+        rows = made.collect()
+        assert {(r["old_id"], r["block_id"], r["rule"]) for r in rows} == told and len(rows) == 2 * len(told)
+        names = shuffled(made)
+        assert {"content", "want", "got"} <= names and not {"text", "source"} & names
+
+
+def test_migration_reads_blocks_that_are_made_once(spark):
+    """Old and new blocks and translations used to cut all texts anew, four times in all."""
+    made = QUERIES["tm6_migrated"](spark, "/root/testdata/sf0.001")
+    assert made.count() > 0 and not [line for line in nodes(made, "Generate") if "posexplode" in line]
+
+
 def test_inverted_abstracts_shuffle_nothing(spark, tmp_path):
     rows = [(1, "a b\ta\n\n c"), (2, ""), (3, " d "), (4, None), (5, "x\u00a0y é x\u00a0y")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
