@@ -11,15 +11,22 @@ from .library import newest
 CURRENT = ("glossary_version", "prompt_version")
 
 
-def is_valid(source: Column, translated: Column) -> Column:
-    """Not blank, no think tags, inline content preserved; a missing source is not held against it."""
-    shown = (F.trim(translated) != "") & ~F.contains(translated, F.lit("think>"))
-    return shown & (source.isNull() | tx.preserves_inline(source, translated))
+def _kept() -> Column:
+    """Whether ``want`` and ``got`` are the same. Within ``let``, as they would be keys of the join else, and ids are what the next join is by, too."""
+    return tx.let(F.struct("want", "got"), lambda t: t["want"] == t["got"])
+
+
+def _with_inline(translations: DataFrame, blocks: DataFrame, how: str) -> DataFrame:
+    """Translations with ``got`` and ``want``, the inline content of both sides; texts of blocks are not shuffled for it."""
+    have = blocks.select("block_id", tx.inline_tokens(F.col("text")).alias("want"))
+    return translations.withColumn("got", tx.inline_tokens(F.col("text"))).join(have.hint("merge"), "block_id", how)
 
 
 def valid(translations: DataFrame, blocks: DataFrame, orphans: bool = True) -> DataFrame:
-    both = translations.join(blocks.select("block_id", F.col("text").alias("source_text")).hint("merge"), "block_id", "left" if orphans else "inner")
-    return both.where(is_valid(F.col("source_text"), F.col("text"))).drop("source_text")
+    """Translations not blank, without think tags, that preserve inline content; a missing source is not held against them."""
+    shown = (F.trim("text") != "") & ~F.contains("text", F.lit("think>"))
+    both = _with_inline(translations.where(shown), blocks, "left" if orphans else "inner")
+    return both.where(F.col("want").isNull() | _kept()).drop("want", "got")
 
 
 def current(translations: DataFrame, glossary: int, prompt: int) -> DataFrame:
@@ -64,9 +71,7 @@ def migrate(translations: DataFrame, old: DataFrame, new: DataFrame) -> DataFram
     now = new.select(F.col("block_id").alias("old_id"), F.col("content").alias("now"))
     same = Window.partitionBy("paper_id", "content")
     alone = new.select("paper_id", "content", F.col("block_id").alias("to")).withColumn("n", F.count(F.lit(1)).over(same)).where("n = 1").drop("n")
-    # within ``let``, as inline content would be a key of the join else, and ids are what the next join is by, too
-    kept = tx.let(F.struct("want", "got"), lambda t: t["want"] == t["got"])
-    rows = said.join(was.hint("merge"), "old_id").where(kept).drop("want", "got").join(now.hint("merge"), "old_id", "left")
+    rows = said.join(was.hint("merge"), "old_id").where(_kept()).drop("want", "got").join(now.hint("merge"), "old_id", "left")
     rows = rows.join(alone.hint("merge"), ["paper_id", "content"], "left")
     rule = F.when(F.col("to").isNotNull(), 1).when(F.col("now") == F.col("content"), 2).when(F.col("now").isNull(), 3)
     placed = rows.withColumn("rule", rule).where("rule IS NOT NULL")
@@ -103,8 +108,9 @@ def without_thinking(text: Column) -> Column:
 
 def failures(translations: DataFrame, blocks: DataFrame) -> DataFrame:
     """(reason, n): why translations are not valid."""
-    both = translations.join(blocks.select("block_id", F.col("text").alias("source_text")).hint("merge"), "block_id", "left")
-    reason = F.when(F.trim("text") == "", "empty").when(F.contains("text", F.lit("think>")), "thinking").when(~F.coalesce(tx.preserves_inline(F.col("source_text"), F.col("text")), F.lit(True)), "inline")
+    early = F.when(F.trim("text") == "", "empty").when(F.contains("text", F.lit("think>")), "thinking")
+    both = _with_inline(translations.select("block_id", "text", early.alias("early")), blocks, "left")
+    reason = F.coalesce("early", F.when(~_kept(), "inline"))
     return both.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -111,6 +111,18 @@ def test_migration_shuffles_no_texts(spark):
         assert {"content", "want", "got"} <= names and not {"text", "source"} & names
 
 
+def test_validity_shuffles_no_texts(spark):
+    rows = [("a", "x ⟦f1⟧ ^2^"), ("b", "y ⟦f1⟧"), ("c", None), ("d", "z"), ("e", "z"), ("f", "z")]
+    blocks = spark.createDataFrame([(i, "p", text) for i, text in rows], "block_id string, paper_id string, text string")
+    said = [("a", "⟦f01⟧ ^2^"), ("b", "y"), ("c", "~q~"), ("d", " "), ("e", "x</think>z"), ("f", None), ("g", "⟦f2⟧")]
+    said = spark.createDataFrame([(i, 1, 1, text, 1) for i, text in said], SAID)
+    right, wrong = tm.valid(said, blocks), tm.failures(said, blocks)
+    assert {r["block_id"] for r in right.collect()} == {"a", "c", "g"} and right.columns == said.columns
+    assert {tuple(r) for r in wrong.collect()} == {("empty", 1), ("thinking", 1), ("inline", 1)}
+    assert {r["block_id"] for r in tm.latest(said, blocks).collect()} == {"a", "c"}
+    assert not {"text", "source_text"} & (shuffled(right.select("block_id")) | shuffled(wrong))
+
+
 def test_migration_reads_blocks_that_are_made_once(spark):
     """Old and new blocks and translations used to cut all texts anew, four times in all."""
     made = QUERIES["tm6_migrated"](spark, "/root/testdata/sf0.001")
