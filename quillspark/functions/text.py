@@ -165,8 +165,9 @@ def preserves_inline(source: Column, translated: Column) -> Column:
 
 
 def query_terms(question: Column) -> Column:
+    """All terms of a question, each once: runs of letters and digits, then Han characters."""
     latin = F.regexp_extract_all(question, F.lit("[a-zA-Z0-9]{3,}"), 0)
-    return F.slice(F.array_distinct(F.concat(latin, F.regexp_extract_all(question, F.lit(r"[\x{4e00}-\x{9fff}]"), 0))), 1, 12)
+    return F.array_distinct(F.concat(latin, F.regexp_extract_all(question, F.lit(r"[\x{4e00}-\x{9fff}]"), 0)))
 
 
 def broad_question(question: Column) -> Column:

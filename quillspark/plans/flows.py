@@ -178,7 +178,7 @@ def _(t):
 
 @query("ret1_query_terms", "SELECT conv_id, turn, array_to_string(list_slice(list_transform(list_sort(list_distinct(list_transform(range(1, len(k) + 1), lambda i: {'p': list_position(k, k[i]), 'w': k[i]}))), lambda x: x.w), 1, 12), ' ') AS terms FROM (SELECT conv_id, turn, regexp_extract_all(text, '[a-zA-Z0-9]{3,}') AS k FROM conversations)")
 def _(t):
-    return t("conversations").select("conv_id", "turn", F.array_join(tx.query_terms(F.col("text")), " ").alias("terms"))
+    return t("conversations").select("conv_id", "turn", F.array_join(F.slice(tx.query_terms(F.col("text")), 1, 12), " ").alias("terms"))
 
 
 @query("ret2_postings", "SELECT term, doc_id, CAST(len(k) AS INT) AS length, count(*) AS tf FROM (SELECT doc_id, k, unnest(k) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{3,}|[一-鿿]') AS k FROM documents)) GROUP BY term, doc_id, k")
@@ -190,8 +190,7 @@ def _(t):
 WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}|[一-鿿]')) AS term FROM documents),
 p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), l AS (SELECT doc_id, count(*) AS length FROM w GROUP BY ALL), c AS (SELECT count(*) AS n, avg(length) AS mean FROM l), d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 k AS (SELECT conv_id * 1000 + turn AS question_id, list_concat(regexp_extract_all(text, '[a-zA-Z0-9]{3,}'), regexp_extract_all(text, '[一-鿿]')) AS every FROM conversations WHERE role = 'user'),
-u AS (SELECT question_id, list_filter(every, lambda x, i: list_position(every, x) = i)[1:12] AS picked FROM k),
-q AS (SELECT DISTINCT question_id, lower(unnest(picked)) AS term FROM u),
+q AS (SELECT DISTINCT question_id, lower(unnest(every)) AS term FROM k),
 s AS (SELECT question_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM q JOIN d USING (term) JOIN p USING (term) JOIN l USING (doc_id), c GROUP BY ALL)
 SELECT question_id, doc_id, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 8""")
 def _(t):

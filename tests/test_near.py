@@ -162,3 +162,14 @@ def test_fingerprints_of_long_and_odd_lists():
         of = {f: fnv(f) for f in features}
         n = sum(features.values())
         assert got == sum(1 << bit for bit in range(64) if 2 * sum(c for f, c in features.items() if of[f] >> bit & 1) > n) and some == (n > 0)
+
+
+def test_search_asks_for_all_terms(spark):
+    """Only the first twelve terms of a question were looked for; ret1_query_terms still lists the first twelve, as its SQL says."""
+    from quillspark.operators import retrieval as ret
+    from quillspark.plans import ORACLE_SQL
+
+    docs = spark.createDataFrame([(1, "term0"), (2, "thirteenth")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, " ".join([*(f"none{i}" for i in range(12)), "thirteenth"])), (8, "nothing")], "question_id long, text string")
+    assert [tuple(r)[:2] for r in ret.bm25(asked, ret.postings(docs, "doc_id"), 8, "doc_id").collect()] == [(7, 2)]
+    assert "1:12" not in ORACLE_SQL["ret3_top5_bm25"]
