@@ -27,6 +27,11 @@ def plain_title(text: Column) -> Column:
     return F.trim(collapse(out))
 
 
+def without_bold(text: Column) -> Column:
+    """White space collapsed and trimmed, without bold marks; all other signs stay."""
+    return collapse(F.regexp_replace(text, r"\*\*", ""))
+
+
 def note_file_name(title: Column, year: Column, paper_id: Column) -> Column:
     """A file name of up to 60 letters, digits and Han characters of the title (else 8 of the id), and the year."""
     base = F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"[^a-z0-9\x{4e00}-\x{9fff}]+", "-")

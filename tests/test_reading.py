@@ -88,3 +88,18 @@ def test_paper_language(spark):
     blocks = spark.createDataFrame(rows, "doc_id long, page long, block_order long, kind string, text string")
     got = {r["doc_id"]: r["lang"] for r in rd.paper_language(blocks).collect()}
     assert got[1] == "de" and set(got) == {1, 3}
+
+
+def test_plain_titles_of_odd_first_lines(spark, tmp_path):
+    """Blank titles, and signs of a title that pair with those behind it, used to differ from the SQL."""
+    import duckdb
+
+    from quillspark.plans import ORACLE_SQL, QUERIES
+
+    first = ["", "  \t ", "about ~5 pages", "2^10 of x^2^", "~a~ b", "see ⟦f3⟧", "** so **** it * goes***", "\x0b a \r b", None]
+    rows = [(i, t if t is None else t + "\nmore", "en", "web", 0) for i, t in enumerate(first)] + [(len(first), "", "en", "web", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["txt5_plain_titles"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["txt5_plain_titles"](spark, str(tmp_path)).collect()) == want and len(want) == len(rows)
