@@ -173,3 +173,39 @@ def test_search_asks_for_all_terms(spark):
     asked = spark.createDataFrame([(7, " ".join([*(f"none{i}" for i in range(12)), "thirteenth"])), (8, "nothing")], "question_id long, text string")
     assert [tuple(r)[:2] for r in ret.bm25(asked, ret.postings(docs, "doc_id"), 8, "doc_id").collect()] == [(7, 2)]
     assert "1:12" not in ORACLE_SQL["ret3_top5_bm25"]
+
+
+def _sent(df):
+    """Rows that the exchanges of ``df`` gave."""
+    df.collect()
+    todo, sent = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "Exchange":
+            sent += p.metrics().apply("shuffleRecordsWritten").value()
+        todo += [p.executedPlan()] if p.nodeName().startswith("AdaptiveSparkPlan") else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(i) for i in range(p.children().size())]
+    return sent
+
+
+def test_chunks_multiply_no_rows(spark, small_chunks):
+    """A row used to be shuffled once for each chunk, so the disk that fingerprints and sketches took grew with the square of the documents."""
+    rows = spark.range(400).select((F.col("id") * 7919).alias("simhash"))
+    assert _sent(fp.hashes_within(rows)) <= 400
+
+
+def test_sets_of_one_group_do_not_meet_pair_by_pair(spark, small_chunks, monkeypatch):
+    """Near copies are a square of pairs; sets used to be shuffled for each of them, and to be written for all documents."""
+    monkeypatch.setattr(fp, "MOST_PAIRS", 30)
+    monkeypatch.setattr(fp, "MOST_IDS", 3)
+    base = [f"w{i}" for i in range(80)]
+    made = _made(150) + [(1000 + i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(60)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    pairs = {tuple(r) for r in fp.verified_pairs(docs).collect()}
+    of = {i: i for i, _ in made}
+    for _ in range(9):
+        for a, b in pairs:
+            of[a] = of[b] = min(of[a], of[b])
+    want = {(i, c, sum(x == c for x in of.values())) for i, c in of.items()}
+    assert {tuple(r) for r in fp.clusters(docs).collect()} == want
+    links = {tuple(r) for r in fp._component_links(docs, 6, 0.5).collect()}
+    assert len(pairs) > 400 and links <= pairs and len(links) < len(pairs) / 2
